@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from kinmatch.llm import exact_dedup, mixing
+from kinmatch.llm import bpe, exact_dedup, mixing, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_bpe": bpe.op1_bpe,
+        "op2_quality_rules": quality_rules.op2_quality_rules,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op10_mix_sources": mixing.op10_mix_sources,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinmatch.llm import bpe, exact_dedup, html_main, mixing, quality_knn, quality_rules, toxicity
+from kinmatch.llm import bpe, exact_dedup, html_main, mixing, ngram_join, quality_knn, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_quality_knn": quality_knn.op3_quality_knn,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_html_main_text": html_main.op9_html_main_text,

@@ -111,27 +111,46 @@ def _mark_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_mark_runs``, but only the first row of each run, with the columns it carries."""
+
+    def carried() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                yield b
+
+    held: list[pa.RecordBatch] = []
+    kinds = None
+    for marked in _mark_runs(carried()):
+        if held:
+            b = held.pop()
+            kinds = kinds or [(f.name, f.type) for f in b.schema if f.name not in ("norm", "doc_id", "text_sha256")]
+            own = [b.column(b.schema.get_field_index(n)) for n, _ in kinds]
+        else:
+            own = [pa.nulls(marked.num_rows, t) for _, t in kinds]
+        whole = pa.record_batch([*marked.columns, *own], names=[*marked.schema.names, *[n for n, _ in kinds]])
+        yield whole.filter(pc.fill_null(whole.column("is_head"), True))
+
+
 def sorted_runs(docs: DataFrame, parts: int) -> DataFrame:
     """Range-partition and sort the normalised texts, number their runs per partition."""
     text = F.coalesce(F.col("text"), F.lit(""))
     norm = F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.length(text).alias("len"),
-        norm.alias("norm"),
-    ).select(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("len"), norm.alias("norm"))
+    return _ordered(rows, parts).select("norm", "doc_id", "text_sha256").mapInArrow(_mark_runs, _RUN_SCHEMA)
+
+
+def _ordered(rows: DataFrame, parts: int) -> DataFrame:
+    """Range partitions over sampled splitters, each sorted by its whole texts."""
+    keyed = rows.select(
         "*",
         F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
         F.substring("norm", 1, 64).alias("lead"),
     )
     order = [F.col("lead"), F.col("text_sha256"), F.col("len").desc(), F.col("doc_id").asc_nulls_last()]
     full = [order[0], order[1], F.col("norm"), *order[2:]]
-    return (
-        keyed.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*full)
-        .select("doc_id", "text_sha256", "norm")
-        .mapInArrow(_mark_runs, _RUN_SCHEMA)
-    )
+    return keyed.repartitionByRange(parts, *order).sortWithinPartitions(*full)
 
 
 def _joined_runs(spark: SparkSession, marked: DataFrame) -> DataFrame:
@@ -200,6 +219,32 @@ def exact_dedup(docs: DataFrame, parts: int | None = None) -> DataFrame:
     )
 
 
+def keep_longest(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with their columns as they were.
+
+    The columns ride along in the sort, so rows that share a doc_id, or have none, are told apart.
+    """
+    spark = docs.sparkSession
+    C.prepare(spark)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.length(text).alias("len"),
+        F.regexp_replace(text, r"[\x20\x09-\x0D]+", "").alias("norm"),
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)],
+    )
+    ordered = _ordered(rows, parts or C.partitions(spark)).select("norm", "doc_id", "text_sha256", *names)
+    kind = T.StructType([*_RUN_SCHEMA.fields, *[f for f in ordered.schema.fields if f.name in names]])
+    marked = C.cut(ordered.mapInArrow(_heads, kind), "dedup-heads")
+    gone = _joined_runs(spark, marked).select("pid", "run")
+    return (
+        marked.where("edge = 0")
+        .join(F.broadcast(gone), ["pid", "run"], "left_anti")
+        .select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(C.table(spark, sf_dir, "documents"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -17,6 +18,9 @@ BATCH_ROWS = 512
 
 _own_dir: list[str] = []
 
+#: Paths of the tables that ``cut`` has written, in order.
+made: list[str] = []
+
 
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches; a value the user set below the bound stays."""
@@ -43,6 +47,7 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: ends the lineage, survives
     executors, and fixes what later steps see."""
     path = shared_path(df.sparkSession, tag)
+    made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -55,6 +60,22 @@ def drop_cut(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver forget the shuffles of plans that nothing refers to any more, so that
+    their files go while a long operator still runs."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of ``cut`` by path, and what the driver still holds of their plans."""
+    jvm = spark._jvm
+    for at in paths:
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

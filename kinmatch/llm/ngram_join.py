@@ -41,12 +41,12 @@ from kinmatch.llm import graph
 N = 4
 PERCENT = 85
 ORDERS = 3
-HEAVY = 1 << 17
-SLICE = 2_000_000
+HEAVY = 1 << 18
+SLICE = 8_000_000
 #: How often a slice must hold a token for it to be counted.
-REPEATS = 4
-BUCKET = 48
-BLOCK = 192
+REPEATS = 3
+BUCKET = 64
+BLOCK = 512
 #: Words whose hashes a worker keeps.
 KEEP = 500_000
 #: Bits of the filter that tells which texts are read again.
@@ -181,12 +181,13 @@ def _cards(docs: DataFrame, orders) -> DataFrame:
     return _texts(docs).mapInArrow(run, kind)
 
 
-def _candidates(cards: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidate links (u, v) between nodes."""
+def _candidates(cards: DataFrame, reps: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """Candidate links (u, v) between nodes; tables that may go after are added to ``made``."""
     heads = cards.select("node", "digest", "n", "p0").join(reps.select("node", "digest"), ["node", "digest"], "left_semi")
     rows = heads.select("node", "n", F.explode("p0").alias("token"))
     counted = rows.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1")
     counted = C.cut(counted, "join-tokens")
+    made.append(counted)
     few = counted.where(F.col("m") <= BUCKET).select("token", "node", "n")
     a = few.select("token", F.col("node").alias("u"), F.col("n").alias("n_u"))
     b = few.select("token", F.col("node").alias("v"), F.col("n").alias("n_v"))
@@ -241,7 +242,7 @@ def forest(nodes: list[int], sets: list[np.ndarray], percent: int = PERCENT) ->
     """A spanning forest of the links among some sets, all pairs compared in full."""
     m = len(nodes)
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    both = np.zeros((m, m), dtype=np.int64)
+    both = np.zeros((m, m), dtype=np.int32)
     if m == 2:
         both[0, 1] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
     else:
@@ -252,12 +253,19 @@ def forest(nodes: list[int], sets: list[np.ndarray], percent: int = PERCENT) ->
         row, col = row[some], rank[col[some]]
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
-        width = max(1, (1 << 20) // m)
-        for lo in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-            a, b = np.searchsorted(col, [lo, lo + width])
-            part = np.zeros((m, width), dtype=np.float32)
-            part[row[a:b], col[a:b] - lo] = 1
-            both += (part @ part.T).astype(np.int64)
+        ends = np.searchsorted(col, np.arange(int(col[-1]) + 2 if len(col) else 1))
+        often = np.diff(ends)
+        if m * m * len(often) / 4e9 > 1e-5 * len(often) + 4e-9 * float((often.astype(float) ** 2).sum()):
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                r = row[a:b]
+                both[r[:, None], r] += 1
+        else:
+            width = max(1, (1 << 20) // m)
+            for lo in range(0, len(often), width):
+                a, b = ends[lo], ends[min(lo + width, len(often))]
+                part = np.zeros((m, width), dtype=np.float32)
+                part[row[a:b], col[a:b] - lo] = 1
+                both += (part @ part.T).astype(np.int32)
     u, v = np.nonzero(np.triu((100 * both >= percent * (size[:, None] + size[None, :] - both)) & (both > 0), 1))
     root = list(range(m))
 
@@ -296,35 +304,21 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(nodes, sets)
 
 
-def _verified(docs: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
-    """Links (u, v) that span every group's components, from full comparisons.
+def _placed(cards: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, digest, blocks): the blocks in which each node of a group is compared; no sets yet.
 
-    Sizes that differ by more than a factor of 100 / PERCENT cannot link, so a large group is cut
-    by size class and then by hash; a block meets those of its own and of the next class.
+    Sizes that differ by more than a factor of 100 / PERCENT cannot link, so a group of more than
+    ``BLOCK`` nodes is cut by size class and then by hash; a block meets those of its own and of
+    the next class.
     """
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_members(groups))
-    sets = (
-        _sets_of(docs, bits)
-        .join(reps.select("node", "digest"), ["node", "digest"], "left_semi")
-        .join(groups.withColumnRenamed("component", "g"), "node")
-        .select("g", "node", "n", "tokens")
-    )
-    sets = C.cut(sets, "join-sets")
+    size = cards.select("node", "digest", "n").join(reps.select("node", "digest"), ["node", "digest"], "left_semi")
     k = F.floor(F.ln(F.col("n")) / F.lit(float(np.log(100 / PERCENT)))).cast("int")
-    total = sets.groupBy("g").agg(F.count("*").alias("m"))
-    classes = sets.withColumn("k", k).groupBy("g", "k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    classes = C.cut(classes.join(total, "g").where(F.col("m") > BLOCK), "join-classes")
-    near = (
-        classes.alias("c")
-        .join(classes.alias("d"), (F.col("c.g") == F.col("d.g")) & (F.abs(F.col("c.k") - F.col("d.k")) <= 1))
-        .groupBy(F.col("c.g").alias("g"), F.col("c.k").alias("k"))
-        .agg(
-            F.max("c.parts").alias("here"),
-            F.coalesce(F.max(F.when(F.col("d.k") == F.col("c.k") - 1, F.col("d.parts"))), F.lit(0)).alias("below"),
-            F.coalesce(F.max(F.when(F.col("d.k") == F.col("c.k") + 1, F.col("d.parts"))), F.lit(0)).alias("above"),
-        )
-    )
+    rows = C.cut(size.join(groups.withColumnRenamed("component", "g"), "node").select("node", "digest", "g", k.alias("k")), "join-sizes")
+    large = rows.groupBy("g").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("g")
+    parts = rows.groupBy("g", "k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).join(large, "g", "left_semi")
+    c = C.cut(parts, "join-classes")
+    side = lambda d, name: c.select("g", (F.col("k") + d).alias("k"), F.col("parts").alias(name))
+    near = side(0, "here").join(side(1, "below"), ["g", "k"], "left").join(side(-1, "above"), ["g", "k"], "left").fillna(0)
     j = F.pmod(F.xxhash64("node", F.lit(3)), F.col("here")).cast("int")
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
     name = lambda a, x, b, y: F.concat_ws(":", F.col("g"), a, x, b, y)
@@ -333,10 +327,16 @@ def _verified(docs: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
         F.transform(upto("above"), lambda y: name(F.col("k"), F.col("j"), F.col("k") + 1, y)),
         F.transform(upto("below"), lambda y: name(F.col("k") - 1, y, F.col("k"), F.col("j"))),
     )
-    placed = sets.withColumn("k", k).join(near, ["g", "k"], "left").withColumn("j", F.coalesce(j, F.lit(0)))
-    dealt = placed.select(
-        F.explode(F.when(F.col("here").isNull(), F.array(F.col("g").cast("string"))).otherwise(keys)).alias("block"), "node", "tokens"
-    )
+    own = F.array(F.col("g").cast("string"))
+    return rows.join(near, ["g", "k"], "left").withColumn("j", j).select("node", "digest", F.when(F.col("here").isNull(), own).otherwise(keys).alias("blocks"))
+
+
+def _verified(docs: DataFrame, cards: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (u, v) that span every group's components, from full comparisons."""
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(_members(groups))
+    sets = _sets_of(docs, bits).join(_placed(cards, groups, reps), ["node", "digest"])
+    dealt = sets.select(F.explode("blocks").alias("block"), "node", "tokens")
     return dealt.repartition(C.partitions(spark), "block").sortWithinPartitions("block").mapInArrow(_forests, "u long, v long")
 
 
@@ -352,8 +352,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     orders = spark.sparkContext.broadcast(Orders(heavy["token"].to_numpy(dtype=np.int64).view(np.uint64), heavy["c"].to_numpy(dtype=np.int64)))
     reps = C.cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "join-reps")
     cards = C.cut(_cards(docs, orders), "join-cards")
-    groups = graph.components(C.cut(_candidates(cards, reps), "join-candidates"))
-    found = graph.components(C.cut(_verified(docs, groups, reps), "join-links"))
+    made: list[DataFrame] = []
+    candidates = C.cut(_candidates(cards, reps, made), "join-candidates")
+    C.release(spark)
+    groups = graph.components(candidates)
+    links = C.cut(_verified(docs, cards, groups, reps), "join-links")
+    for x in (cards, candidates, groups, *made):
+        C.drop_cut(spark, x)
+    C.release(spark)
+    found = graph.components(links)
+    C.drop_cut(spark, links)
     node = reps.where("copies > 1").select("digest", "node")
     named = rows.join(node, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("node", "doc_id")).otherwise(F.col("doc_id")).alias("node")

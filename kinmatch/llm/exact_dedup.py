@@ -235,7 +235,7 @@ def keep_longest(docs: DataFrame, parts: int | None = None) -> DataFrame:
         *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)],
     )
     ordered = _ordered(rows, parts or C.partitions(spark)).select("norm", "doc_id", "text_sha256", *names)
-    kind = T.StructType([*_RUN_SCHEMA.fields, *[f for f in ordered.schema.fields if f.name in names]])
+    kind = T.StructType([*_RUN_SCHEMA.fields, *[T.StructField(f.name, f.dataType) for f in ordered.schema.fields if f.name in names]])
     marked = C.cut(ordered.mapInArrow(_heads, kind), "dedup-heads")
     gone = _joined_runs(spark, marked).select("pid", "run")
     return (

@@ -97,7 +97,8 @@ def epochs(
         (F.col("slot_before") + F.coalesce(F.sum("size").over(in_slot), F.lit(0)) + F.col("size") / 2.0 <= F.col("part")).cast("long"),
     )
     rest = joined.where("slot_in <> 'cut'").withColumn("extra", (F.col("slot_in") == "in").cast("long"))
-    return cut.unionByName(rest).select("doc", "id", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("reps"))
+    reps = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("long")
+    return cut.unionByName(rest).select("doc", "id", "size", "source_size", "target", reps.alias("reps"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:

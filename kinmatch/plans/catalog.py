@@ -671,7 +671,7 @@ def _(s, d):
     return _rounded(metrics.recall_at_k(_retrieve(s, d, "nm"), B.doc_truth(s, d), (1, 5, 10)))
 
 
-@query("leak_recall", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) >= 24")
+@query("leak_recall", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) >= 5")
 def _(s, d):
     return B.leak_pairs(s, d)
 

@@ -59,17 +59,18 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id) of benchmark items found in documents: equi-join on the first words.
+    """(item_id, doc_id) of benchmark items of five words or more found in documents.
 
-    An item can only lie where its first 24 characters do, so documents are cut into windows of
-    that length only at the places that a short list of item heads names.
+    Where an item lies, its second to fourth words stand whole between blanks, so documents and
+    items meet on three words; what meets is then searched in full.
     """
-    items = table(spark, sf_dir, "benchmark").where("length(text) >= 24")
-    heads = items.select("item_id", F.col("text").alias("item"), F.substring("text", 1, 24).alias("head"))
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
-    at = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - 23, F.lit(1)))).alias("at"))
-    cut = at.select("doc_id", F.substring(F.col("text"), F.col("at"), F.lit(24)).alias("head")).distinct()
-    hit = cut.join(heads, "head").select("doc_id", "item_id", "item")
+    split = lambda c: F.split(c, " ")
+    items = table(spark, sf_dir, "benchmark").where(F.size(split(F.col("text"))) >= 5)
+    heads = items.select("item_id", F.col("text").alias("item"), F.array_join(F.slice(split(F.col("text")), 2, 3), " ").alias("head"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", split(F.col("text")).alias("w")).where(F.size("w") >= 3)
+    three = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))
+    hit = words.select("doc_id", F.explode(F.array_distinct(three)).alias("head")).join(heads, "head").select("doc_id", "item_id", "item")
     return hit.join(docs, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id").distinct()
 
 

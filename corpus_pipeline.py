@@ -1,39 +1,63 @@
 """The corpus pipeline: five stages of kinmatch.llm over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents.
+again as the next one's docs. All but the last return the columns of documents. As a stage's
+result is written before the next one is called, each call first deletes the working tables that
+the stage before it left in the shared folder; one pipeline runs at a time in a driver.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from kinmatch.llm import bpe, exact_dedup, mixing, ngram_join, quality_rules
 from kinmatch.llm import common as C
 
 
+_before: list[str] = []
+
+
+def _stage(fn):
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        C.delete(spark, _before)
+        start = len(C.made)
+        out = fn(spark, docs, sf_dir)
+        _before[:] = C.made[start:]
+        return out
+
+    return run
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     C.prepare(spark)
     return quality_rules.keep_good(docs, quality_rules.fit_rules(docs, C.table(spark, sf_dir, "labels")))
 
 
+@_stage
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
     return exact_dedup.keep_longest(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
     return ngram_join.keep_one(docs)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources has them."""
     C.prepare(spark)
     return mixing.mix(docs)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document and of the text decoded from them."""
     return bpe.digests(docs, bpe.vocabulary_path())

@@ -51,6 +51,8 @@ MARKS = frozenset(
     "commentlist reply replies respond disqus discussion footer foot header masthead topbar toolbar "
     "pagination pager skip search contentinfo complementary dialog".split()
 )
+#: First words of class names that tell a state, as in "has-sidebar", not what an element is.
+STATES = frozenset("has no with without".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
@@ -58,8 +60,10 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 def _marked(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
         if value and name in ("class", "id", "role", "aria-label", "itemprop"):
-            if not MARKS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", value).lower())):
-                return True
+            for one in value.split():
+                parts = _SPLIT.split(_CAMEL.sub("-", one).lower())
+                if parts[0] not in STATES and not MARKS.isdisjoint(parts):
+                    return True
         elif name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -77,6 +81,7 @@ class _Lines(HTMLParser):
         self.links = 0
         self.containers: tuple[int, ...] = (0,)
         self.made = 0
+        self.kinds = {0: "page"}
         self.lines: list[list] = []
         self._new_line()
 
@@ -127,6 +132,7 @@ class _Lines(HTMLParser):
         if tag in CONTAINER:
             self.made += 1
             number = self.made
+            self.kinds[number] = tag
             self.containers += (number,)
         self.stack.append((tag, skip, number))
         self.skipping += skip
@@ -202,7 +208,8 @@ def main_text(html: str | None) -> str:
         best = max((c for c in mass if mass[c] >= MOST * total), key=lambda c: (depth[c], mass[c]))
     out = []
     for line, n in zip(lines, chars):
-        menu = line[4] and line[2] > 0.8 * n
+        # a list of links is a menu, except inside an element that says it is the article
+        menu = line[4] and line[2] > 0.8 * n and parser.kinds[best] not in ("article", "main")
         if best in line[3] and not menu:
             out.append(line[0])
     return " ".join(out)

@@ -443,6 +443,8 @@ def test_audit_finds_every_damaged_record(spark):
         ("<nav><a>menu</a></nav><article><h1>T &amp; U</h1><p><b>One<br>two<p>Three&nbsp;four</article><footer>end</footer>", "T & U One two Three four"),
         ("<div class='cookie-notice'>ok?</div><main><p>A long paragraph of text that is the content.</p><p>Yes.</p><form>Name</form></main><aside>side</aside>", "A long paragraph of text that is the content. Yes."),
         ("<body><div id=content><p>Words and words and words and more words.</p></div><div id='comments'><p>first!</p></div></body>", "Words and words and words and more words."),
+        ("<div class='page has-sidebar'><ul><li><a>Home</a></li></ul><p>Some words that are the content of it.</p></div>", "Some words that are the content of it."),
+        ("<article><p>Some words that are the content.</p><ul><li><a>a source</a></li></ul></article>", "Some words that are the content. a source"),
         ("<nav><ul><li>open<article><p>Text of the article here.</p></article>", "Text of the article here."),
     ],
 )

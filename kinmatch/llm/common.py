@@ -84,6 +84,25 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def most_frequent(counts: DataFrame, key: str, n: str, limit: int) -> DataFrame:
+    """The rows of the largest ``n``, at most ``limit`` of them: all rows above a cutoff.
+
+    The cutoff comes from a histogram of the logarithms of ``n``, some thousand rows at most,
+    so no more than the result is ever collected, whatever the number of partitions.
+    """
+    level = F.floor(F.log2(F.col(n).cast("double")) * 64).cast("long")
+    sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("m")).collect()
+    total, cutoff = 0, None
+    for r in sorted(sizes, key=lambda r: -r.level):
+        total += r.m
+        if total > limit:
+            break
+        cutoff = r.level
+    if cutoff is None:
+        return counts.where(F.lit(False))
+    return counts.where(level >= cutoff).select(key, n)
+
+
 def labelled(
     docs: DataFrame, labels: DataFrame, target: str, limit: int, keep=None
 ) -> DataFrame:
@@ -98,12 +117,13 @@ def labelled(
     )
     if keep is not None:
         lab = lab.where(keep)
-    lab = (
-        lab.groupBy("doc_id")
-        .agg(F.max("y").cast("int").alias("y"))
-        .orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id")
-        .limit(limit)
-    )
+    order = F.xxhash64(F.col("doc_id"), F.lit(17))
+    lab = lab.groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
+    n = labels.count()
+    if n > 4 * limit:
+        # only a little more than the sample is sorted; the first of the order are all below
+        lab = lab.where(order < int(2.0 * limit / n * 2.0**64 - 2.0**63))
+    lab = lab.orderBy(order, "doc_id").limit(limit)
     hit = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     return (
         hit.join(F.broadcast(lab), "doc_id")

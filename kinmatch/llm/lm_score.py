@@ -2,7 +2,7 @@
 
 Two bigram models of the same order, smoothing and vocabulary are compared: one of the target
 text (documents labelled good, at most ``LABELLED``), one of the whole corpus. The vocabulary has
-the ``VOCABULARY`` most frequent words of all documents; other words share one entry. Counts come
+the words above a frequency that at most ``VOCABULARY`` words reach; the others share one entry. Counts come
 from every document: each task adds up its own, and partial sums meet by slices of the count
 table, streamed, so no reducer holds more than a slice. Bigram counts live in ``BUCKETS`` hashed
 cells, which bounds what is collected and broadcast at any corpus size.
@@ -168,7 +168,9 @@ def count_table(texts: DataFrame, numbers, size: int) -> Bigrams:
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Numbers:
     words = docs.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.col("n").desc(), "word").limit(size).toPandas()
+    counts = C.cut(words, "lm-words")
+    top = C.most_frequent(counts, "word", "n", size).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    C.drop_cut(docs.sparkSession, counts)
     return Numbers(top["word"].tolist())
 
 

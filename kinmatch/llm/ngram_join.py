@@ -8,7 +8,7 @@ every order, and sizes fit. Steps:
 
 1. Equal sets collapse into one node (128-bit digests; partial minima before the shuffle), so
    exact copies cost nothing further. The same pass counts tokens that repeat within a slice of
-   ``SLICE`` tokens; the ``HEAVY`` most frequent of the whole corpus, a bounded table, weigh the
+   ``SLICE`` tokens; the most frequent of the whole corpus, at most ``HEAVY`` of them, weigh the
    orders. Any table gives right results: it only moves frequent tokens out of the prefixes.
 2. Prefixes under each order. Those of the first are dealt out by token; a token with at most
    ``BUCKET`` nodes gives pairs of fitting size, which must also share prefix tokens under the
@@ -346,9 +346,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     C.prepare(spark)
     both = C.cut(_texts(docs).mapInArrow(_sets_and_counts, "doc_id long, n long, digest binary, token long"), "join-scan")
     rows = both.where("token IS NULL").select("doc_id", "n", "digest")
-    heavy = (
-        both.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("c")).orderBy(F.col("c").desc(), "token").limit(HEAVY).toPandas()
-    )
+    counts = C.cut(both.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("c")), "join-counts")
+    heavy = C.most_frequent(counts, "token", "c", HEAVY).toPandas()
+    C.drop_cut(spark, counts)
     orders = spark.sparkContext.broadcast(Orders(heavy["token"].to_numpy(dtype=np.int64).view(np.uint64), heavy["c"].to_numpy(dtype=np.int64)))
     reps = C.cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "join-reps")
     cards = C.cut(_cards(docs, orders), "join-cards")

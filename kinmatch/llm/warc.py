@@ -24,7 +24,7 @@ from kinmatch.llm import common as C
 
 RECORDS = 1_000
 FAN = 16
-#: In the registered query the second replica has one bit flipped in these records.
+#: In the registered query the second replica has one byte changed in these records.
 DAMAGE_EVERY, DAMAGE_AT = 101, 7
 
 _HEAD = "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{0}>\r\nWARC-Target-URI: {1}\r\nContent-Type: text/html\r\nContent-Length: {2}\r\n\r\n"
@@ -140,13 +140,13 @@ def audit(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per record: archive, pos, offset, length, page_id, leaf_sha256, intact.
 
-    The second replica is the first with one bit flipped in some records, so there is something
-    to find."""
+    The second replica is the first, read again with one byte changed in some records, so there
+    is something to find; all its records are hashed like the first one's."""
     C.prepare(spark)
     one = C.cut(archive(C.table(spark, sf_dir, "pages")), "replica")
     hit = (F.col("page_id") % DAMAGE_EVERY) == DAMAGE_AT
     flipped = F.concat(F.expr("substring(record, 1, length(record) - 5)"), F.lit("\x01").cast("binary"), F.expr("substring(record, length(record) - 3, 4)"))
-    two = C.cut(one.select("archive", "pos", "offset", "length", F.when(hit, flipped).otherwise(F.col("record")).alias("record")), "replica")
+    two = one.select("archive", "pos", "offset", "length", F.when(hit, flipped).otherwise(F.col("record")).alias("record"))
     left, right = tree(one, "left"), tree(two, "right")
     damaged = audit(left, right).withColumn("damaged", F.lit(True))
     hashes = left[0].select("archive", F.col("node").alias("pos"), F.col("hash").alias("leaf_sha256"))

@@ -1,14 +1,18 @@
 """LM scoring by cross-entropy difference.
 
 Two bigram models of the same order, smoothing and vocabulary are compared: one of the target
-text (documents labelled good, at most ``LABELLED``), one of the whole corpus. The vocabulary has
-the words above a frequency that at most ``VOCABULARY`` words reach; the others share one entry. Counts come
-from every document: each task adds up its own, and partial sums meet by slices of the count
-table, streamed, so no reducer holds more than a slice. Bigram counts live in ``BUCKETS`` hashed
-cells, which bounds what is collected and broadcast at any corpus size.
+text (documents labelled good, at most ``LABELLED``), one of the whole corpus. The vocabulary is every word of the
+corpus and one entry for any other; counts of words and bigrams are exact and come from every
+document, so what is gathered grows with the corpus. Nothing of that size is collected: words of a
+document go to the slice of the table where the counts of their bigrams and of the words
+themselves meet, are counted and scored there, and the losses return to the documents.
+
+The ``HOT`` most frequent words at most would make slices uneven. Their counts and those of
+bigrams of two of them are collected, a square table, and scored where the text is; other bigrams
+that end in one are dealt by both words. That decides where a count is held, not what it is.
 
 A document's score is the mean over its words of target loss less background loss, in nats:
-lower is more like the target.
+lower is more like the target. Words are told apart by 64-bit digests, bigrams by 64 bits of both.
 
 Edge cases: a null or empty text has 0 words, losses and score 0; a repeated row is counted and
 scored again; without labels the target model is the prior of a uniform vocabulary; very long
@@ -20,22 +24,28 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.llm import common as C
 
-VOCABULARY = 50_000
-BUCKETS = 1 << 20
+#: Words whose counts, and those of their bigrams with each other, are broadcast.
+HOT = 1_000
 SLICE = 1 << 12
 LABELLED = 20_000
 #: Weight of the unigram prior behind a history, in words.
 PRIOR = 8.0
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 300_000
+#: Words, and documents, that a task deals out at once.
+DEAL, DEAL_DOCS = 300_000, 20_000
+#: Words whose digests a task keeps.
+KEEP = 500_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -58,37 +68,62 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+class Digests(dict):
+    """Word to a 64-bit digest; 0 is left for the start of a text."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEEP:
+            self.clear()
+        got = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
+        self[word] = got
+        return got
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = tokens(text)
+        return np.fromiter((self[w] for w in words), dtype=np.uint64, count=len(words))
+
+
 class Numbers:
-    """Words to numbers: 0 for the start of a text, 1 for words outside the vocabulary."""
+    """Frequent words to numbers: 0 for the start of a text, 1 for all other words.
+
+    ``distinct`` is the size of the vocabulary, one entry for words not in the corpus included.
+    """
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], distinct: int):
         self.of = {w: k + 2 for k, w in enumerate(words)}
         self.size = len(words) + 2
+        self.distinct = distinct
+        digest = np.array([Digests()[w] for w in words], dtype=np.uint64)
+        order = np.argsort(digest)
+        self.digest, self.number = digest[order], order + 2
 
     def __call__(self, text: str | None) -> np.ndarray:
         get = self.of.get
         words = tokens(text)
         return np.fromiter((get(w, 1) for w in words), dtype=np.int64, count=len(words))
 
-
-def cells(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The cell of each bigram."""
-    key = (before.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
-    key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (key >> np.uint64(40)).astype(np.int64) % BUCKETS
+    def of_digests(self, digest: np.ndarray) -> np.ndarray:
+        if not len(self.digest):
+            return np.ones(len(digest), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.digest, digest), len(self.digest) - 1)
+        return np.where(self.digest[at] == digest, self.number[at], 1)
 
 
 def _bigrams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], ids[:-1]]).astype(np.int64), ids
 
 
+def _padded(n: int) -> int:
+    return -(-n // SLICE) * SLICE
+
+
 def _tables(numbers) -> callable:
-    """Rows (slice, counts) of what a task has counted: bigram cells, then words."""
+    """Rows (slice, counts) of what a task has counted: bigrams of numbers, then words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = numbers.value.size
-        pair = np.zeros(BUCKETS, dtype=np.int64)
-        word = np.zeros(-(-size // SLICE) * SLICE, dtype=np.int64)
+        pair = np.zeros(_padded(size * size), dtype=np.int64)
+        word = np.zeros(_padded(size), dtype=np.int64)
         held: list[np.ndarray] = []
         held_words = 0
 
@@ -96,8 +131,8 @@ def _tables(numbers) -> callable:
             if held:
                 both = [_bigrams(x) for x in held]
                 before, ids = np.concatenate([x for x, _ in both]), np.concatenate([y for _, y in both])
-                pair[:] += np.bincount(cells(before, ids), minlength=BUCKETS)
-                word[: size] += np.bincount(ids, minlength=size)[:size]
+                pair[:] += np.bincount(before * size + ids, minlength=len(pair))
+                word[:] += np.bincount(ids, minlength=len(word))
                 word[0] += len(held)
 
         for b in batches:
@@ -106,12 +141,11 @@ def _tables(numbers) -> callable:
                 if len(ids):
                     held.append(ids)
                     held_words += len(ids)
-                if held_words > 200_000:
+                if held_words > DEAL:
                     add()
                     held, held_words = [], 0
         add()
-        whole = np.concatenate([pair, word])
-        rows = whole.reshape(-1, SLICE)
+        rows = np.concatenate([pair, word]).reshape(-1, SLICE)
         some = np.flatnonzero(rows.any(axis=1))
         for at in range(0, len(some), 64):
             part = some[at : at + 64]
@@ -142,63 +176,288 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Bigrams:
+    """Exact counts of numbered words (the first is the number of texts) and of their bigrams."""
+
     pair: np.ndarray
     word: np.ndarray
+    distinct: int
+
+    def __post_init__(self) -> None:
+        self.words = float(self.word[1:].sum())
+
+    def prior(self, count: np.ndarray) -> np.ndarray:
+        """The smoothed share of words that occur ``count`` times."""
+        return (count + 0.5) / (self.words + 0.5 * self.distinct)
+
+    def pair_loss(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The part of the loss that a bigram and its second word decide."""
+        return -np.log(pair + PRIOR * self.prior(word))
+
+    def history_loss(self, count: np.ndarray) -> np.ndarray:
+        """The part that the word before decides."""
+        return np.log(count + PRIOR)
 
     def loss(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Minus the log probability of each word after the one before it."""
-        words = self.word[1:].sum()
-        p1 = (self.word[ids] + 0.5) / (words + 0.5 * (len(self.word) - 1))
-        history = self.word[before]
-        pair = np.minimum(np.minimum(self.pair[cells(before, ids)], self.word[ids]), history)
-        return -np.log((pair + PRIOR * p1) / (history + PRIOR))
+        return self.pair_loss(self.pair[before * len(self.word) + ids], self.word[ids]) + self.history_loss(self.word[before])
 
 
 def count_table(texts: DataFrame, numbers, size: int) -> Bigrams:
-    """Bigram model of a column of texts; every text counts."""
+    """Counts of numbered words in a column of texts; every text counts."""
     spark = texts.sparkSession
     parts = texts.mapInArrow(_tables(numbers), "slice int, counts binary")
-    n = min(C.partitions(spark), BUCKETS // SLICE)
+    pairs = _padded(size * size)
+    n = min(C.partitions(spark), (pairs + _padded(size)) // SLICE)
     rows = parts.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(_sum_slices, "slice int, counts binary").toPandas()
-    whole = np.zeros(BUCKETS + -(-size // SLICE) * SLICE, dtype=np.int64)
+    whole = np.zeros(pairs + _padded(size), dtype=np.int64)
     for k, raw in zip(rows["slice"], rows["counts"]):
         whole[k * SLICE : (k + 1) * SLICE] = np.frombuffer(raw, dtype="<i8")
-    return Bigrams(whole[:BUCKETS].astype(np.float32), whole[BUCKETS : BUCKETS + size].astype(np.float32))
+    return Bigrams(whole[: size * size], whole[pairs : pairs + size], numbers.value.distinct)
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Numbers:
+def vocabulary(docs: DataFrame, size: int = HOT) -> Numbers:
+    """Numbers of the most frequent words, at most ``size``, and the size of the vocabulary."""
     words = docs.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = C.cut(words, "lm-words")
     top = C.most_frequent(counts, "word", "n", size).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    distinct = counts.count()
     C.drop_cut(docs.sparkSession, counts)
-    return Numbers(top["word"].tolist())
+    return Numbers(top["word"].tolist(), distinct + 1)
+
+
+def _mix(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+    """64 bits of one or two arrays of digests."""
+    x = a if b is None else a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _laid_out(held: list[np.ndarray], numbers: Numbers) -> tuple[np.ndarray, ...]:
+    """Words, words before, both by number, and the last words, of non-empty texts in a row."""
+    word = np.concatenate(held)
+    ends = np.cumsum([len(x) for x in held])
+    starts = np.concatenate([[0], ends[:-1]])
+    number = numbers.of_digests(word)
+    before, before_number = np.roll(word, 1), np.roll(number, 1)
+    before[starts], before_number[starts] = 0, 0
+    last = np.zeros(len(word), dtype=bool)
+    last[ends - 1] = True
+    return word, before, number, before_number, last
+
+
+def _slice_of(word: np.ndarray, before: np.ndarray, number: np.ndarray, slices: int) -> np.ndarray:
+    """Frequent words by bigram, others whole."""
+    return (np.where(number > 1, _mix(word, before), _mix(word)) % np.uint64(slices)).astype(np.int32)
+
+
+def _by_slice(at: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    order = np.argsort(at, kind="stable")
+    columns = [c[order] for c in columns]
+    some, starts = np.unique(at[order], return_index=True)
+    for k, lo, hi in zip(some.tolist(), starts.tolist(), [*starts[1:].tolist(), len(at)]):
+        yield k, b"".join(c[lo:hi].tobytes() for c in columns)
+
+
+def _split(raw: bytes, kinds: list[str]) -> list[np.ndarray]:
+    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        out.append(np.frombuffer(raw, dtype=k, count=n, offset=at))
+        at += n * np.dtype(k).itemsize
+    return out
+
+
+#: What a dealt row has: a batch's documents, bigrams of the target, or words of a batch.
+DOCS, TARGET, WORDS = 0, 1, 2
+DEALT = "slice int, kind int, batch long, data binary"
+_DEALT = pa.schema([("slice", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("data", pa.binary())])
+_OF_DOCS, _OF_TARGET, _OF_WORDS, _OF_SUMS = ["<i8", "u1", "<i8", "<f8", "<f8"], ["<u8", "<u8", "<i8"], ["<u8", "<u8", "<u4"], ["<u4", "<f8", "<f8"]
+
 
+def _dealt(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[3])
+        if size > 8_000_000:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), _DEALT)], schema=_DEALT)
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), _DEALT)], schema=_DEALT)
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score for all ``docs``; ``target`` has text."""
+
+def _target(numbers, slices: int) -> callable:
+    """Counts of the target's bigrams, less those of two frequent words."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+        digests, held, n = Digests(), [], 0
+
+        def out() -> Iterator[tuple[int, int, int, bytes]]:
+            if held:
+                word, before, number, before_number, _ = _laid_out(held, numbers.value)
+                rest = (number == 1) | (before_number == 1)
+                word, before, number = word[rest], before[rest], number[rest]
+                _, first, count = np.unique(_mix(word, before), return_index=True, return_counts=True)
+                word, before, number = word[first], before[first], number[first]
+                for k, data in _by_slice(_slice_of(word, before, number, slices), [word, before, count.astype(np.int64)]):
+                    yield k, TARGET, 0, data
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                x = digests(t)
+                if len(x):
+                    held.append(x)
+                    n += len(x)
+                if n >= DEAL:
+                    yield from out()
+                    held, n = [], 0
+        yield from out()
+
+    return lambda batches: _dealt(rows(batches))
+
+
+def _documents(numbers, models, slices: int) -> callable:
+    """Documents with the losses of their frequent bigrams, and the words of other bigrams."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+        task, made = TaskContext.get().partitionId(), 0
+        digests, ids, texts, n = Digests(), [], [], 0
+
+        def out() -> Iterator[tuple[int, int, int, bytes]]:
+            batch = task << 32 | made
+            length = np.array([len(x) for x in texts], dtype=np.int64)
+            sums = np.zeros((2, len(texts)))
+            if length.any():
+                word, before, number, before_number, last = _laid_out([x for x in texts if len(x)], numbers.value)
+                doc = np.repeat(np.arange(len(texts)), length)
+                here = (number > 1) & (before_number != 1)
+                known = (number > 1) & ~last
+                for k, m in enumerate(models.value):
+                    sums[k] += np.bincount(doc[here], m.pair_loss(m.pair[before_number[here] * len(m.word) + number[here]], m.word[number[here]]), len(texts))
+                    sums[k] += np.bincount(doc[known], m.history_loss(m.word[number[known]]), len(texts))
+                    sums[k] += (length > 0) * m.history_loss(m.word[0])
+                rest = ~here
+                word, before, number = word[rest], before[rest], number[rest]
+                for k, data in _by_slice(_slice_of(word, before, number, slices), [word, before, (doc[rest] * 2 + last[rest]).astype(np.uint32)]):
+                    yield k, WORDS, batch, data
+            known_id = np.array([x is not None for x in ids], dtype=np.uint8)
+            columns = [np.array([x or 0 for x in ids], dtype=np.int64), known_id, length, *sums]
+            yield batch * 0x9E3779B1 % slices, DOCS, batch, b"".join(c.tobytes() for c in columns)
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids.append(i)
+                texts.append(digests(t))
+                n += len(texts[-1])
+                if n >= DEAL or len(ids) >= DEAL_DOCS:
+                    yield from out()
+                    ids, texts, n, made = [], [], 0, made + 1
+        if ids:
+            yield from out()
+
+    return lambda batches: _dealt(rows(batches))
+
+
+def _score_slice(numbers: Numbers, models, target: list[bytes], parts: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
+    """Sums of losses, by document, of the words that lie in one slice."""
+    own = [_split(raw, _OF_WORDS) for _, raw in parts]
+    word, before, tag = (np.concatenate([x[k] for x in own]) for k in range(3))
+    of_target = [_split(raw, _OF_TARGET) for raw in target]
+    t_word, t_before, t_n = (np.concatenate([np.zeros(0, k), *(x[j] for x in of_target)]) for j, k in enumerate(_OF_TARGET))
+
+    def counts(own_key: np.ndarray, target_key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys of the corpus, how often the corpus and the target have them, and their places."""
+        key, place, n = np.unique(own_key, return_inverse=True, return_counts=True)
+        at = np.minimum(np.searchsorted(key, target_key), len(key) - 1)
+        hit = key[at] == target_key
+        return key, place, np.stack([np.bincount(at[hit], t_n[hit], len(key)), n])
+
+    _, pair, of_pair = counts(_mix(word, before), _mix(t_word, t_before))
+    words, place, of_word = counts(word, t_word)
+    number = numbers.of_digests(words)
+    hot = number > 1
+    losses = []
+    for k, m in enumerate(models):
+        n = np.where(hot, m.word[number], of_word[k])
+        history = np.where(hot, 0.0, m.history_loss(n))
+        losses.append(m.pair_loss(of_pair[k][pair], n[place]) + np.where(tag & 1, 0.0, history[place]))
+    at = 0
+    for (batch, _), x in zip(parts, own):
+        doc, here = x[2] >> 1, slice(at, at + len(x[2]))
+        at += len(x[2])
+        some, place_of = np.unique(doc, return_inverse=True)
+        yield 0, WORDS, batch, b"".join([some.astype("<u4").tobytes(), *(np.bincount(place_of, l[here], len(some)).tobytes() for l in losses)])
+
+
+def _scored(numbers, models) -> callable:
+    """Rows of sorted slices: documents as they are, words as sums of losses."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+        key, target, parts = None, [], []
+        for b in batches:
+            for k, kind, batch, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == DOCS:
+                    yield k, kind, batch, raw
+                    continue
+                if k != key:
+                    if parts:
+                        yield from _score_slice(numbers.value, models.value, target, parts)
+                    key, target, parts = k, [], []
+                if kind == TARGET:
+                    target.append(raw)
+                else:
+                    parts.append((batch, raw))
+        if parts:
+            yield from _score_slice(numbers.value, models.value, target, parts)
+
+    return lambda batches: _dealt(rows(batches))
+
+
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents from their batches' rows, which come sorted, the documents first."""
+    key, doc, sums = None, None, None
+
+    def out() -> pa.RecordBatch:
+        ids, known, n = doc
+        mean = sums / np.maximum(n, 1)
+        return pa.record_batch([pa.array(ids, mask=known == 0), pa.array(n), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], schema=_SCHEMA)
+
+    for b in batches:
+        for _, kind, batch, raw in zip(*(c.to_pylist() for c in b.columns)):
+            if kind == DOCS:
+                if key is not None:
+                    yield out()
+                *doc, t, c = _split(raw, _OF_DOCS)
+                key, sums = batch, np.stack([t, c])
+            else:
+                some, t, c = _split(raw, _OF_SUMS)
+                sums[0, some] += t
+                sums[1, some] += c
+    if key is not None:
+        yield out()
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score for all ``docs``; ``target`` has text
+    and is a part of ``docs``."""
     spark = docs.sparkSession
     C.prepare(spark)
-    own = vocabulary(docs)
+    target = C.cut(target.select("text"), "lm-target")
+    C.release(spark)
+    own = vocabulary(docs, hot)
     numbers = spark.sparkContext.broadcast(own)
-    models = spark.sparkContext.broadcast((count_table(target.select("text"), numbers, own.size), count_table(docs.select("text"), numbers, own.size)))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [numbers.value(t) for t in b.column(1).to_pylist()]
-            n = np.array([len(x) for x in ids], dtype=np.int64)
-            both = [_bigrams(x) for x in ids if len(x)]
-            losses = np.zeros((2, len(ids)))
-            if both:
-                before, word = np.concatenate([x for x, _ in both]), np.concatenate([y for _, y in both])
-                some = np.flatnonzero(n)
-                starts = np.concatenate([[0], np.cumsum(n[some])[:-1]])
-                for k, model in enumerate(models.value):
-                    losses[k, some] = np.add.reduceat(model.loss(before, word).astype(np.float64), starts) / n[some]
-            yield pa.record_batch([b.column(0), pa.array(n), pa.array(losses[0]), pa.array(losses[1]), pa.array(losses[0] - losses[1])], schema=schema)
-
-    rows = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    models = spark.sparkContext.broadcast((count_table(target, numbers, own.size), count_table(docs.select("text"), numbers, own.size)))
+    C.release(spark)
+    n = C.partitions(spark)
+    rows = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(_documents(numbers, models, n), DEALT)
+    rows = rows.unionByName(target.mapInArrow(_target(numbers, n), DEALT))
+    sums = rows.repartition(n, "slice").sortWithinPartitions("slice", "kind").mapInArrow(_scored(numbers, models), DEALT)
+    out = sums.repartition(n, "batch").sortWithinPartitions("batch", "kind").mapInArrow(_gather, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return out
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -323,6 +323,40 @@ def test_lm_counts_and_scores(spark, edge, empty):
     assert lm_score.cross_entropy_difference(empty, empty).count() == 0
 
 
+def brute_lm(texts, target):
+    """(n_tokens, target loss, background loss) of each text by exact counts in dictionaries."""
+    split = [(t or "").lower().split() for t in texts]
+    vocabulary = len({w for x in split for w in x}) + 1
+
+    def model(rows):
+        pair, word = Counter(), Counter()
+        for x in rows:
+            pair.update(zip([None, *x], x))
+            word.update(x)
+            word[None] += bool(x)
+        total = sum(word.values()) - word[None]
+        prior = {w: (word[w] + 0.5) / (total + 0.5 * vocabulary) for x in split for w in x}
+        return lambda x: sum(-np.log((pair[h, w] + lm_score.PRIOR * prior[w]) / (word[h] + lm_score.PRIOR)) for h, w in zip([None, *x], x)) / max(len(x), 1)
+
+    of_target, of_all = model([split[k] for k in target]), model(split)
+    return [(len(x), of_target(x), of_all(x)) for x in split]
+
+
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_lm_counts_are_exact_however_large_the_vocabulary(spark, hot):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(70_000 * rng.random() ** 1.3)}" if rng.random() < 0.7 else rng.choice("the of and to".split()) for _ in range(500)) for _ in range(400)]
+    texts += [None, "", "the", "of the " * 40, texts[0]]
+    good = list(range(0, 400, 7))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, docs.where(F.col("doc_id").isin(good)), *([] if hot == 1000 else [hot])).collect()}
+    assert len(got) == len(texts)
+    for k, (n, target, background) in enumerate(brute_lm(texts, good)):
+        assert got[k].n_tokens == n
+        assert abs(got[k].target_loss - target) < 1e-6 and abs(got[k].background_loss - background) < 1e-6
+        assert got[k].score == got[k].target_loss - got[k].background_loss
+
+
 # ---- exact dedup
 def brute_dedup(rows):
     groups = {}

@@ -1,7 +1,7 @@
 """LM scoring by cross-entropy difference.
 
 Two bigram models of the same order, smoothing and vocabulary are compared: one of the target
-text (documents labelled good, at most ``LABELLED``), one of the whole corpus. The vocabulary is every word of the
+text (every document labelled good), one of the whole corpus. The vocabulary is every word of the
 corpus and one entry for any other; counts of words and bigrams are exact and come from every
 document, so what is gathered grows with the corpus. Nothing of that size is collected: words of a
 document go to the slice of the table where the counts of their bigrams and of the words
@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,14 @@ from kinmatch.llm import common as C
 #: Words whose counts, and those of their bigrams with each other, are broadcast.
 HOT = 1_000
 SLICE = 1 << 12
-LABELLED = 20_000
 #: Weight of the unigram prior behind a history, in words.
 PRIOR = 8.0
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 300_000
 #: Words, and documents, that a task deals out at once.
-DEAL, DEAL_DOCS = 300_000, 20_000
+DEAL, DEAL_DOCS = 300_000, 1 << 15
+#: Bits that stand for the hashed ids of good documents.
+BITS = 1 << 26
 #: Words whose digests a task keeps.
 KEEP = 500_000
 
@@ -96,6 +98,8 @@ class Numbers:
         digest = np.array([Digests()[w] for w in words], dtype=np.uint64)
         order = np.argsort(digest)
         self.digest, self.number = digest[order], order + 2
+        #: The digest of each number; only those of frequent words and of the start are used.
+        self.by_number = np.concatenate([np.zeros(2, dtype=np.uint64), digest])
 
     def __call__(self, text: str | None) -> np.ndarray:
         get = self.of.get
@@ -268,11 +272,12 @@ def _split(raw: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-#: What a dealt row has: a batch's documents, bigrams of the target, or words of a batch.
-DOCS, TARGET, WORDS = 0, 1, 2
+#: What a dealt row has: a batch's documents, bigrams of the target, or words of a batch: those
+#: where the word is frequent, where the word before is, and where none is.
+DOCS, TARGET, WORDS, AFTER_HOT, NO_HOT = range(5)
 DEALT = "slice int, kind int, batch long, data binary"
 _DEALT = pa.schema([("slice", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("data", pa.binary())])
-_OF_DOCS, _OF_TARGET, _OF_WORDS, _OF_SUMS = ["<i8", "u1", "<i8", "<f8", "<f8"], ["<u8", "<u8", "<i8"], ["<u8", "<u8", "<u4"], ["<u4", "<f8", "<f8"]
+_OF_DOCS, _OF_TARGET, _OF_WORDS, _OF_SUMS = ["<i8", "u1", "<i8", "<f8", "<f8"], ["<u8", "<u8", "<i8"], {WORDS: ["<u2", "<u8", "<u2"], AFTER_HOT: ["<u8", "<u2", "<u2"], NO_HOT: ["<u8", "<u8", "<u2"]}, ["<u2", "<f8", "<f8"]
 
 
 def _dealt(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -337,10 +342,12 @@ def _documents(numbers, models, slices: int) -> callable:
                     sums[k] += np.bincount(doc[here], m.pair_loss(m.pair[before_number[here] * len(m.word) + number[here]], m.word[number[here]]), len(texts))
                     sums[k] += np.bincount(doc[known], m.history_loss(m.word[number[known]]), len(texts))
                     sums[k] += (length > 0) * m.history_loss(m.word[0])
-                rest = ~here
-                word, before, number = word[rest], before[rest], number[rest]
-                for k, data in _by_slice(_slice_of(word, before, number, slices), [word, before, (doc[rest] * 2 + last[rest]).astype(np.uint32)]):
-                    yield k, WORDS, batch, data
+                at, tag = _slice_of(word, before, number, slices), (doc * 2 + last).astype(np.uint16)
+                for kind, some in ((WORDS, (number > 1) & ~here), (AFTER_HOT, (number == 1) & (before_number != 1)), (NO_HOT, (number == 1) & (before_number == 1))):
+                    left = (number if kind == WORDS else word)[some].astype(_OF_WORDS[kind][0])
+                    right = (before_number if kind == AFTER_HOT else before)[some].astype(_OF_WORDS[kind][1])
+                    for k, data in _by_slice(at[some], [left, right, tag[some]]):
+                        yield k, kind, batch, data
             known_id = np.array([x is not None for x in ids], dtype=np.uint8)
             columns = [np.array([x or 0 for x in ids], dtype=np.int64), known_id, length, *sums]
             yield batch * 0x9E3779B1 % slices, DOCS, batch, b"".join(c.tobytes() for c in columns)
@@ -359,9 +366,13 @@ def _documents(numbers, models, slices: int) -> callable:
     return lambda batches: _dealt(rows(batches))
 
 
-def _score_slice(numbers: Numbers, models, target: list[bytes], parts: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
+def _score_slice(numbers: Numbers, models, target: list[bytes], parts: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
     """Sums of losses, by document, of the words that lie in one slice."""
-    own = [_split(raw, _OF_WORDS) for _, raw in parts]
+    parts.sort(key=lambda x: x[0])
+    own = []
+    for _, kind, raw in parts:
+        left, right, tag = _split(raw, _OF_WORDS[kind])
+        own.append((numbers.by_number[left] if kind == WORDS else left, numbers.by_number[right] if kind == AFTER_HOT else right, tag))
     word, before, tag = (np.concatenate([x[k] for x in own]) for k in range(3))
     of_target = [_split(raw, _OF_TARGET) for raw in target]
     t_word, t_before, t_n = (np.concatenate([np.zeros(0, k), *(x[j] for x in of_target)]) for j, k in enumerate(_OF_TARGET))
@@ -383,11 +394,10 @@ def _score_slice(numbers: Numbers, models, target: list[bytes], parts: list[tupl
         history = np.where(hot, 0.0, m.history_loss(n))
         losses.append(m.pair_loss(of_pair[k][pair], n[place]) + np.where(tag & 1, 0.0, history[place]))
     at = 0
-    for (batch, _), x in zip(parts, own):
-        doc, here = x[2] >> 1, slice(at, at + len(x[2]))
-        at += len(x[2])
-        some, place_of = np.unique(doc, return_inverse=True)
-        yield 0, WORDS, batch, b"".join([some.astype("<u4").tobytes(), *(np.bincount(place_of, l[here], len(some)).tobytes() for l in losses)])
+    for batch, same in groupby(zip(parts, own), key=lambda x: x[0][0]):
+        here = slice(at, at := at + sum(len(x[2]) for _, x in same))
+        some, place_of = np.unique(tag[here] >> 1, return_inverse=True)
+        yield 0, WORDS, batch, b"".join([some.astype("<u2").tobytes(), *(np.bincount(place_of, l[here], len(some)).tobytes() for l in losses)])
 
 
 def _scored(numbers, models) -> callable:
@@ -407,7 +417,7 @@ def _scored(numbers, models) -> callable:
                 if kind == TARGET:
                     target.append(raw)
                 else:
-                    parts.append((batch, raw))
+                    parts.append((batch, kind, raw))
         if parts:
             yield from _score_slice(numbers.value, models.value, target, parts)
 
@@ -460,7 +470,30 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, hot: int = HOT)
     return out
 
 
+def labelled_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text of all rows of ``docs`` that a label calls good.
+
+    A bitmap of hashed ids, of fixed size, keeps most other texts out of the join's shuffle; the
+    join alone decides.
+    """
+    spark = docs.sparkSession
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    place = F.xxhash64("doc_id").bitwiseAND(BITS - 1)
+    rows = good.select((place + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bits = np.zeros(BITS // 8, dtype=np.uint8)
+    for r in rows:
+        bits[(r.k - 1) << 12 : r.k << 12] = np.frombuffer(r.bits, dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def may_be(at: pa.Array) -> pa.Array:
+        x = at.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    return rows.where(may_be(place)).join(good, "doc_id", "left_semi")
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
-    good = C.table(spark, sf_dir, "labels").where("quality = 1")
-    return cross_entropy_difference(docs, C.labelled(docs, good, "quality", LABELLED))
+    return cross_entropy_difference(docs, labelled_good(docs, C.table(spark, sf_dir, "labels")))

@@ -357,6 +357,16 @@ def test_lm_counts_are_exact_however_large_the_vocabulary(spark, hot):
         assert got[k].score == got[k].target_loss - got[k].background_loss
 
 
+def test_lm_target_counts_every_document_labelled_good(spark, tmp_path):
+    n = 20_600
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id % 97, ' v', id % 89, ' u', id) AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    got = lm_score.op5_lm_score(spark, str(tmp_path))
+    assert got.count() == n
+    assert got.where("abs(target_loss - background_loss) > 1e-9").count() == 0  # one and the same model
+
+
 # ---- exact dedup
 def brute_dedup(rows):
     groups = {}

@@ -4,8 +4,11 @@ The standard-library parser streams events; block elements cut the page into lin
 text, its number of tags, the part inside links, and the containers it lies in. Elements that
 never hold main text (scripts, menus, forms, adverts, comments, ...) are passed over. The
 text-to-tag ratios of the lines are smoothed with a Gaussian, lines above the threshold form
-content regions, and the smallest container that holds most of the regions' text is the article:
-all its lines are returned, so a short paragraph between long ones is kept.
+content regions, and the innermost article or main that holds most of the regions' text is the
+article, else the innermost container of all regions: all its lines are returned, so a short
+paragraph between long ones is kept. Inside an article a class or an id that names what is no main
+text counts only where the element's text says so too: most of it lies in links, or it has few
+characters a tag.
 
 Edge cases: null or empty html gives an empty text; a page without any text outside the passed
 elements gives an empty text; unclosed and stray tags are tolerated; very long pages are parsed
@@ -28,8 +31,11 @@ from kinmatch.llm import common as C
 SIGMA = 1.0
 #: A line belongs to a region when its smoothed ratio reaches this share of the mean ratio.
 THRESHOLD = 0.5
-#: The article is the smallest container with this share of the regions' text.
+#: An article or main is taken when it has this share of the regions' text.
 MOST = 0.6
+#: A marked element of an article goes when this share of its text lies in links, or its characters
+#: a tag are below this share of the article's.
+LINKED, SPARSE = 0.5, 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset(
@@ -42,6 +48,7 @@ BLOCK = frozenset(
     "tfoot th thead tr ul aside dialog".split()
 )
 CONTAINER = frozenset("article body div main section td table figure details blockquote".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role values that mark what is no main text.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion "
@@ -57,6 +64,15 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    for name, value in attrs:
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return True
+        if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return True
+    return False
+
+
 def _marked(attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
         if value and name in ("class", "id", "role", "aria-label", "itemprop"):
@@ -64,11 +80,7 @@ def _marked(attrs: list[tuple[str, str | None]]) -> bool:
                 parts = _SPLIT.split(_CAMEL.sub("-", one).lower())
                 if parts[0] not in STATES and not MARKS.isdisjoint(parts):
                     return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+    return _hidden(attrs)
 
 
 class _Lines(HTMLParser):
@@ -76,29 +88,35 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # (tag, passed over, container number)
+        self.stack: list[tuple[str, bool, int, int]] = []  # (tag, passed over, container number, mark number)
         self.skipping = 0
         self.links = 0
         self.containers: tuple[int, ...] = (0,)
         self.made = 0
         self.kinds = {0: "page"}
+        self.marks: tuple[int, ...] = ()
+        self.marked = 0
         self.lines: list[list] = []
         self._new_line()
 
     def _new_line(self) -> None:
-        items = any(t == "li" for t, _, _ in self.stack)
+        items = any(t == "li" for t, *_ in self.stack)
         if self.lines and not self.lines[-1][0]:
-            self.lines[-1][3:] = [self.containers, items]
+            self.lines[-1][3:] = [self.containers, items, self.marks]
         else:
-            self.lines.append([[], 0, 0, self.containers, items])
+            self.lines.append([[], 0, 0, self.containers, items, self.marks])
 
     def _pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
-            tag, skip, container = self.stack.pop()
+            tag, skip, container, mark = self.stack.pop()
             self.skipping -= skip
             self.links -= tag == "a"
             if container:
                 self.containers = self.containers[:-1]
+            if mark:
+                self.marks = self.marks[:-1]
+                if not self.skipping:
+                    self._new_line()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -109,7 +127,7 @@ class _Lines(HTMLParser):
                 elif tag == "hr":
                     self._new_line()
             return
-        names = [t for t, _, _ in self.stack]
+        names = [t for t, *_ in self.stack]
         if tag in ("article", "main") and self.skipping and not any(t in ("template", "noscript") for t in names):
             # an article never lies in a menu or an advert: what was left open ends here
             if not _marked(attrs):
@@ -126,19 +144,28 @@ class _Lines(HTMLParser):
             at = len(names) - 1 - names[::-1].index("li")
             if not any(t in ("ul", "ol") for t in names[at + 1 :]):
                 self._pop_to(at)
-        in_article = any(t in ("article", "main") for t, _, _ in self.stack)
-        skip = tag in SKIP or tag == "header" and not in_article or tag not in ("html", "body", "article", "main") and _marked(attrs) or tag == "article" and in_article and _marked(attrs)
+        in_article = any(t in ("article", "main") for t, *_ in self.stack)
+        skip = tag in SKIP or tag == "header" and not in_article or _hidden(attrs) and tag not in ("html", "body", "article", "main")
+        mark = 0
+        if not skip and (tag not in ("html", "body", "article", "main") or tag == "article" and in_article) and _marked(attrs):
+            # the text of an element of an article decides, when the page is read
+            skip = not in_article
+            # the id of a heading is mostly an anchor made of its words
+            if in_article and not self.skipping and tag not in HEADING:
+                self.marked += 1
+                mark = self.marked
+                self.marks += (mark,)
         number = 0
         if tag in CONTAINER:
             self.made += 1
             number = self.made
             self.kinds[number] = tag
             self.containers += (number,)
-        self.stack.append((tag, skip, number))
+        self.stack.append((tag, skip, number, mark))
         self.skipping += skip
         self.links += tag == "a"
         if not self.skipping:
-            if tag in BLOCK:
+            if tag in BLOCK or mark:
                 self._new_line()
             self.lines[-1][1] += 1
 
@@ -178,6 +205,21 @@ def content_regions(ratios: np.ndarray, sigma: float = SIGMA, threshold: float =
     return smooth >= threshold * smooth.mean()
 
 
+def without_boilerplate(lines: list[tuple]) -> list[tuple]:
+    """Lines less those of marked elements whose text, too, says that they are no main text."""
+    inside: dict[int, np.ndarray] = {}
+    rest = np.zeros(3)
+    for text, tags, linked, _, _, marks in lines:
+        one = np.array([len(text), tags, min(linked, len(text))], dtype=float)
+        for m in marks:
+            inside[m] = inside.get(m, 0.0) + one
+        if not marks:
+            rest += one
+    usual = rest[0] / rest[1] if rest[1] else 0.0
+    gone = {m for m, (n, tags, linked) in inside.items() if linked > LINKED * n or n / tags < SPARSE * usual}
+    return [x for x in lines if gone.isdisjoint(x[5])]
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -185,10 +227,11 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     lines = []
-    for parts, tags, linked, containers, item in parser.lines:
+    for parts, tags, linked, containers, item, marks in parser.lines:
         text = " ".join("".join(parts).split())
         if text:
-            lines.append((text, max(1, tags), linked, containers, item))
+            lines.append((text, max(1, tags), linked, containers, item, marks))
+    lines = without_boilerplate(lines)
     if not lines:
         return ""
     chars = np.array([len(x[0]) for x in lines], dtype=float)
@@ -196,16 +239,15 @@ def main_text(html: str | None) -> str:
     chosen = content_regions(unlinked / np.array([x[1] for x in lines]))
     mass: dict[int, float] = {}
     depth: dict[int, int] = {}
+    shared: tuple[int, ...] | None = None
     for line, n, ok in zip(lines, unlinked, chosen):
-        if ok:
+        if ok and n:
             for level, c in enumerate(line[3]):
                 mass[c] = mass.get(c, 0.0) + n
                 depth[c] = level
-    total = mass.get(0, 0.0)
-    if not total:
-        best = 0
-    else:
-        best = max((c for c in mass if mass[c] >= MOST * total), key=lambda c: (depth[c], mass[c]))
+            shared = line[3] if shared is None else tuple(x for x, y in zip(shared, line[3]) if x == y)
+    named = [c for c in mass if parser.kinds[c] in ("article", "main") and mass[c] >= MOST * mass[0]]
+    best = max(named, key=lambda c: (depth[c], mass[c])) if named else shared[-1] if shared else 0
     out = []
     for line, n in zip(lines, chars):
         # a list of links is a menu, except inside an element that says it is the article

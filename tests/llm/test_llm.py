@@ -496,6 +496,24 @@ def test_main_text(html, want):
     assert html_main.main_text(html) == want
 
 
+LEAD, LONG, SHORT = ("lead words " * 10).strip(), ("long section " * 54).strip(), ("short section " * 14).strip()
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<article><p>{LEAD}</p><section>{LONG}</section><section>{SHORT}</section></article>", f"{LEAD} {LONG} {SHORT}"),
+        (f"<main><p>{LEAD}</p><blockquote><p>{LONG}</p></blockquote><p>{SHORT}</p></main>", f"{LEAD} {LONG} {SHORT}"),
+        (f"<body><div><p>{LEAD}</p><div><p>{LONG}</p></div><details><p>{SHORT}</p></details></div></body>", f"{LEAD} {LONG} {SHORT}"),
+        (f"<article><p>{LONG}</p><section id='discussion'><p>{LONG}</p></section></article>", f"{LONG} {LONG}"),
+        (f"<article><p>{LONG}</p><h2 id='social-impact'>Impact</h2><p>{LEAD}</p></article>", f"{LONG} Impact {LEAD}"),
+        (f"<article><p>{LONG}</p><div class='share'><a>one</a><a>two</a></div><p style='display:none'>{LEAD}</p></article>", LONG),
+    ],
+)
+def test_main_text_keeps_all_regions_of_the_article(html, want):
+    assert html_main.main_text(html) == want
+
+
 def test_pages_equal_their_articles(spark):
     rows = html_main.op9_html_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
     import html as H

@@ -5,8 +5,10 @@ first 4, 5 and 6 characters, so that inflected forms share a term. The machine a
 each term and, for each pair of terms, the product of their learned factors; a term that is
 harmless alone can thus count next to another. It is fitted with Adam on log loss over at most
 ``LABELLED`` labelled documents, rows whose crc32(doc_id as text) mod 5 is not 0; terms in fewer
-than ``LEAST`` of them, or with no more to do with the label than chance has (``SURE`` standard
-deviations), stay at zero, which keeps the broadcast model small.
+than ``LEAST`` of them stay at zero, and so do those that have no more to do with the label than
+chance has, neither alone (``SURE`` standard deviations) nor next to any other term
+(``PAIR_SURE``, beyond what the two have alone); this keeps the broadcast model small. The test of
+pairs covers all pairs of terms that ``PAIR_LEAST`` toxic documents share.
 
 Edge cases: a null or empty text, or one without known terms, scores the bias alone; one label
 class only, or no labels, gives a constant; a repeated row scores again, the same; very long texts
@@ -32,6 +34,9 @@ BUCKETS = 1 << 18
 FACTORS = 4
 LEAST = 3
 SURE = 3.5
+PAIR_LEAST, PAIR_SURE = 8, 8.0
+#: Terms whose pairs are counted at a time, as a matrix product.
+PAIR_BLOCK = 1024
 FOLDS, HELD_OUT = 5, 0
 KEEP = 300_000
 _OUTER = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»¡¿…“”‘’—–"
@@ -100,6 +105,53 @@ class Machine:
         return {k: v for k, v in self.__dict__.items() if k in ("bias", "weight", "factors", "known")} | {"terms": None}
 
 
+def telling_pairs(cols: list[np.ndarray], y: np.ndarray, df: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """Terms, as flags, that are toxic together with another one, beyond what each is alone."""
+    out = np.zeros(len(df), dtype=bool)
+    at = np.flatnonzero((toxic >= PAIR_LEAST) & (df < len(cols)))
+    if not len(at):
+        return out
+    # terms of the same documents, as most prefixes of a word are, are tested once
+    mark = np.random.default_rng(7).integers(1, 1 << 32, len(cols)).astype(np.float64)
+    of_doc, col = np.repeat(np.arange(len(cols), dtype=np.int32), [len(c) for c in cols]), np.concatenate(cols).astype(np.int32)
+    _, first, same = np.unique(np.bincount(col, mark[of_doc], len(df))[at], return_index=True, return_inverse=True)
+    one = at[first]
+    place = np.full(len(df), -1, dtype=np.int32)
+    place[one] = np.arange(len(one))
+    some = place[col] >= 0
+    # toxic documents first, terms in the order of their places
+    rank = np.argsort(np.argsort(-y, kind="stable"), kind="stable").astype(np.int32)
+    of_doc, col = rank[of_doc[some]], place[col[some]]
+    order = np.argsort(col, kind="stable")
+    of_doc, col = of_doc[order], col[order]
+    bad, alone = int(y.sum()), np.maximum(share, toxic[one] / df[one])
+
+    def block(lo: int) -> np.ndarray:
+        x = np.zeros((len(y), min(PAIR_BLOCK, len(one) - lo)), dtype=np.float32)
+        a, b = np.searchsorted(col, [lo, lo + PAIR_BLOCK])
+        x[of_doc[a:b], col[a:b] - lo] = 1
+        return x
+
+    def sure(t: np.ndarray, n: np.ndarray, rate: np.ndarray) -> np.ndarray:
+        return (t >= PAIR_LEAST) & (t - n * rate >= PAIR_SURE * np.sqrt(n * rate * (1 - rate))) & (rate < 1)
+
+    hit = np.zeros(len(one), dtype=bool)
+    for lo in range(0, len(one), PAIR_BLOCK):
+        left = block(lo)
+        for lo2 in range(lo, len(one), PAIR_BLOCK):
+            right = left if lo2 == lo else block(lo2)
+            rate = np.maximum(alone[lo : lo + left.shape[1], None], alone[None, lo2 : lo2 + right.shape[1]])
+            t = left[:bad].T @ right[:bad]
+            i, j = np.nonzero(sure(t, t, rate))  # where even no other document with both would do
+            if len(i):
+                n = t + left[bad:].T @ right[bad:]
+                ok = sure(t[i, j], n[i, j], rate[i, j]) & (i + lo != j + lo2)
+                hit[i[ok] + lo] = True
+                hit[j[ok] + lo2] = True
+    out[at] = hit[same]
+    return out
+
+
 def fit(
     texts: list[str],
     y: np.ndarray,
@@ -115,6 +167,7 @@ def fit(
     share = (y.sum() + 0.5) / (len(y) + 1.0)
     toxic = np.bincount(np.concatenate([*cols, np.zeros(0, dtype=np.int64)]), np.repeat(y, [len(c) for c in cols]), BUCKETS)
     known = (df >= LEAST) & (np.abs(toxic - df * share) >= SURE * np.sqrt(df * share * (1 - share)))
+    known |= telling_pairs(cols, y, df, toxic, share)
     bias = float(np.log(share / (1 - share)))
     width = int(known.sum())
     rng = np.random.default_rng(seed)

@@ -307,6 +307,24 @@ def test_prefixes_never_miss_a_link():
                 assert len(np.intersect1d(x, y))
 
 
+def test_machine_learns_a_pair_of_terms_that_chance_could_explain_alone():
+    rng = random.Random(6)
+
+    def text(*more):
+        w = [rng.choice(WORDS) for _ in range(6)] + list(more)
+        rng.shuffle(w)
+        return " ".join(w)
+
+    texts = [text("slur") for _ in range(400)] + [text("crowd", "insult") for _ in range(22)]
+    y = [1.0] * len(texts)
+    texts += [text("crowd") for _ in range(98)] + [text("insult") for _ in range(300)] + [text() for _ in range(3180)]
+    y += [0.0] * (len(texts) - len(y))
+    m = toxicity.fit(texts, np.array(y), epochs=25)
+    both, crowd, insult = (np.array(m.score([text(*w) for _ in range(100)])) for w in (("crowd", "insult"), ("crowd",), ("insult",)))
+    assert all(m.known[x] for w in ("crowd", "insult") for x in toxicity.term_ids(w))
+    assert np.mean(both >= 0.5) > 0.9 and np.mean(crowd >= 0.5) < 0.1 and np.mean(insult >= 0.5) < 0.1
+
+
 # ---- LM scoring
 def test_lm_counts_and_scores(spark, edge, empty):
     docs = spark.createDataFrame([(1, "a b a b a b"), (2, "a b c"), (3, "x y z x y z"), (4, None)], "doc_id long, text string")

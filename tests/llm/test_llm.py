@@ -230,7 +230,7 @@ def test_machine_learns_a_pair_that_no_single_term_tells():
         rng.shuffle(w)
         texts.append(" ".join(w))
         y.append(float(a and b))
-    m = toxicity.fit(texts, np.array(y), epochs=25)
+    m = toxicity.fit(texts, np.array(y))
     p = m.score(["kaban insult crowd", "kaban insult", "kaban crowd", "kaban"])
     assert p[0] > 0.5 > max(p[1:])
 
@@ -307,24 +307,65 @@ def test_prefixes_never_miss_a_link():
                 assert len(np.intersect1d(x, y))
 
 
-def test_machine_learns_a_pair_of_terms_that_chance_could_explain_alone():
-    rng = random.Random(6)
+def texts_with(rng, *more):
+    w = [rng.choice(WORDS) for _ in range(6)] + list(more)
+    rng.shuffle(w)
+    return " ".join(w)
 
-    def text(*more):
-        w = [rng.choice(WORDS) for _ in range(6)] + list(more)
-        rng.shuffle(w)
-        return " ".join(w)
 
+def mean_scores(m, rng, *cases):
+    return [float(np.mean(m.score([texts_with(rng, *w) for _ in range(200)]))) for w in cases]
+
+
+def test_machine_learns_a_pair_of_terms_that_chance_could_explain_alone():
+    rng = random.Random(6)
+    text = lambda *more: texts_with(rng, *more)
     texts = [text("slur") for _ in range(400)] + [text("crowd", "insult") for _ in range(22)]
     y = [1.0] * len(texts)
     texts += [text("crowd") for _ in range(98)] + [text("insult") for _ in range(300)] + [text() for _ in range(3180)]
     y += [0.0] * (len(texts) - len(y))
-    m = toxicity.fit(texts, np.array(y), epochs=25)
+    m = toxicity.fit(texts, np.array(y))
     both, crowd, insult = (np.array(m.score([text(*w) for _ in range(100)])) for w in (("crowd", "insult"), ("crowd",), ("insult",)))
     assert all(m.known[x] for w in ("crowd", "insult") for x in toxicity.term_ids(w))
     assert np.mean(both >= 0.5) > 0.9 and np.mean(crowd >= 0.5) < 0.1 and np.mean(insult >= 0.5) < 0.1
 
 
+def test_machine_learns_terms_that_tell_nothing_alone():
+    rng = random.Random(2)
+    texts, y = [], []
+    for _ in range(2000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(texts_with(rng, *["insult"] * a, *["crowd"] * b))
+        y.append(float(a != b))
+    both, insult, crowd, none = mean_scores(toxicity.fit(texts, np.array(y)), rng, ("insult", "crowd"), ("insult",), ("crowd",), ())
+    assert max(both, none) < 0.2 and min(insult, crowd) > 0.8
+
+
+def test_machine_learns_a_group_term_that_is_neutral_alone():
+    rng = random.Random(9)
+    texts, y = [], []
+    for _ in range(4000):
+        insult, group = rng.random() < 0.4, rng.random() < 0.2
+        texts.append(texts_with(rng, *["insult"] * insult, *["crowd"] * group))
+        # the group's texts are toxic as often as all others are
+        y.append(float(rng.random() < (1.0 if insult and group else 0.7 if insult else 0.0 if group else 0.2)))
+    y = np.array(y)
+    with_group = np.array(["crowd" in t for t in texts])
+    assert abs(y[with_group].mean() - y[~with_group].mean()) < 0.05
+    both, insult, crowd, none = mean_scores(toxicity.fit(texts, y), rng, ("insult", "crowd"), ("insult",), ("crowd",), ())
+    assert both > 0.9 > insult > 0.5 > none > crowd
+
+
+def test_margin_sums_the_products_of_all_pairs():
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(0.3, rng.normal(size=30), rng.normal(size=(30, 4)), np.ones(30, dtype=bool))
+    rows = [np.unique(rng.choice(30, 8)) for _ in range(20)]
+    got = m.margin(toxicity.sparse.from_lists(rows, [np.ones(len(c)) for c in rows]))
+    for c, z in zip(rows, got):
+        pairs = sum(float(m.factors[i] @ m.factors[j]) for k, i in enumerate(c) for j in c[:k])
+        assert z == pytest.approx(0.3 + m.weight[c].sum() + pairs)
+
+
 # ---- LM scoring
 def test_lm_counts_and_scores(spark, edge, empty):
     docs = spark.createDataFrame([(1, "a b a b a b"), (2, "a b c"), (3, "x y z x y z"), (4, None)], "doc_id long, text string")

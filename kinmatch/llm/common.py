@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows in one Arrow batch, so that a batch of long texts stays within a worker's memory.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch, so that a batch of long texts stays within a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 _own_dir: list[str] = []
 
@@ -23,16 +23,22 @@ made: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches; a value the user set below the bound stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the Arrow batches; a number of rows the user set below the bound stays, and so does
+    any number of bytes."""
+    rows, size = (f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if not 0 < int(spark.conf.get(rows, "0")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset and one
+    machine does everything (tests, local mode). A cluster without the setting is refused."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         if not _own_dir:
             _own_dir.append("file://" + tempfile.mkdtemp(prefix="kinmatch-"))
         at = _own_dir[0]
@@ -85,22 +91,21 @@ def partitions(spark: SparkSession) -> int:
 
 
 def most_frequent(counts: DataFrame, key: str, n: str, limit: int) -> DataFrame:
-    """The rows of the largest ``n``, at most ``limit`` of them: all rows above a cutoff.
+    """The ``limit`` rows of the largest ``n``, ties by key; all rows where there are fewer.
 
-    The cutoff comes from a histogram of the logarithms of ``n``, some thousand rows at most,
-    so no more than the result is ever collected, whatever the number of partitions.
+    A histogram of the logarithms of ``n``, some thousand rows at most, tells which rows are in
+    whatever their order; only the level in which the limit falls is sorted.
     """
     level = F.floor(F.log2(F.col(n).cast("double")) * 64).cast("long")
     sizes = counts.groupBy(level.alias("level")).agg(F.count("*").alias("m")).collect()
-    total, cutoff = 0, None
+    left, above = limit, None
     for r in sorted(sizes, key=lambda r: -r.level):
-        total += r.m
-        if total > limit:
-            break
-        cutoff = r.level
-    if cutoff is None:
-        return counts.where(F.lit(False))
-    return counts.where(level >= cutoff).select(key, n)
+        if r.m > left:
+            # the last rows come from this level, in order
+            last = counts.where(level == r.level).orderBy(F.col(n).desc(), key).limit(left).select(key, n)
+            return last if above is None else counts.where(level >= above).select(key, n).unionAll(last)
+        left, above = left - r.m, r.level
+    return counts.select(key, n)
 
 
 def labelled(

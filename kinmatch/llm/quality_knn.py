@@ -6,7 +6,8 @@ of repeated neighbours, distinct words and repeated lines lies.
 Log term frequencies times the inverse document frequencies of the training sample are projected
 on the leading singular vectors of that sample. The labelled vectors are broadcast; blocks of
 documents are multiplied with all of them, exact cosines throughout, and the ``NEIGHBOURS``
-nearest vote with their similarity as weight.
+nearest vote with their similarity as weight. Labelled documents that tie for the last places share
+them, so neither their order nor that of the blocks matters.
 
 The training sample has at most ``LABELLED`` documents, all of them rows whose crc32(doc_id as
 text) mod 3 is not 1; its size bounds the broadcast. Scores use the text alone.
@@ -46,7 +47,7 @@ _RUNS = ((re.compile(r"[^\W\d_A-Z]+"), "x"), (re.compile(r"[A-Z]+"), "X"), (re.c
 def shape(word: str) -> str:
     for pattern, to in _RUNS:
         word = pattern.sub(to, word)
-    return word[:24]
+    return word
 
 
 class Terms(dict):
@@ -113,12 +114,14 @@ class Neighbours:
         for at in range(0, len(texts), block):
             v = vectors[at : at + block]
             cosine = v @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0.0)
+            # all labelled documents as near as the k-th share the places that are left
+            last = np.partition(cosine, len(self.y) - k, axis=1)[:, [len(self.y) - k]]
+            nearer, tied = cosine > last, cosine == last
+            places = nearer + tied * ((k - nearer.sum(axis=1)) / tied.sum(axis=1))[:, None]
+            weight = places * np.maximum(cosine, 0.0)
             total = weight.sum(axis=1)
             ok = total > 1e-6
-            vote = (weight * self.y[near]).sum(axis=1)
-            out[at : at + block][ok] = np.clip(vote[ok] / total[ok], 0.0, 1.0)
+            out[at : at + block][ok] = np.clip((weight @ self.y)[ok] / total[ok], 0.0, 1.0)
         return out
 
     def __getstate__(self) -> dict:
@@ -130,16 +133,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 1e-9)
 
 
-def fit(texts: list[str], y: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 7) -> Neighbours:
-    """Truncated SVD of the weighted bags by subspace iteration."""
+def fit(texts: list[str], y: np.ndarray, **how) -> Neighbours:
     terms = Terms()
-    bags = [bag(t, terms) for t in texts]
+    return fit_bags([bag(t, terms) for t in texts], y, **how)
+
+
+def fit_bags(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 7) -> Neighbours:
+    """Truncated SVD of the weighted bags by subspace iteration."""
     rows = sparse.from_lists([c for c, _ in bags], [v for _, v in bags])
     df = np.bincount(rows.col, minlength=BUCKETS)
-    idf = (np.log((len(texts) + 1) / (df + 1)) * (df > 1)).astype(np.float32)
+    idf = (np.log((len(bags) + 1) / (df + 1)) * (df > 1)).astype(np.float32)
     rows.val = rows.val * idf[rows.col]
-    d = max(1, min(dimensions, len(texts)))
-    if not len(texts):
+    d = max(1, min(dimensions, len(bags)))
+    if not len(bags):
         return Neighbours(idf, np.zeros((BUCKETS, d), np.float32), np.zeros((0, d), np.float32), np.zeros(0), 0.5)
     back = rows.transposed(BUCKETS)
     basis = np.random.default_rng(seed).standard_normal((BUCKETS, d)).astype(np.float32)
@@ -150,10 +156,27 @@ def fit(texts: list[str], y: np.ndarray, dimensions: int = DIMENSIONS, seed: int
     return Neighbours(idf, axes, vectors, y.astype(np.float64), float(y.mean()))
 
 
-def fit_labels(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Neighbours:
+def labelled_bags(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, y, terms, values) of the sample: at most ``BUCKETS`` terms a document go to the
+    driver, not texts."""
     sample = C.labelled(docs, labels, "quality", limit, C.crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-    rows = sample.orderBy("doc_id").toPandas()
-    return fit(rows["text"].tolist(), rows["y"].to_numpy(dtype=np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms()
+        for b in batches:
+            bags = [bag(t, terms) for t in b.column(2).to_pylist()]
+            columns = [pa.array([c.astype(np.int32) for c, _ in bags], pa.list_(pa.int32())), pa.array([v for _, v in bags], pa.list_(pa.float32()))]
+            yield pa.record_batch([b.column(0), b.column(1), *columns], names=["doc_id", "y", "terms", "values"])
+
+    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text")
+    return rows.mapInArrow(run, "doc_id long, y int, terms array<int>, values array<float>")
+
+
+def fit_labels(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Neighbours:
+    C.prepare(docs.sparkSession)
+    rows = labelled_bags(docs, labels, limit).toArrow().sort_by("doc_id")
+    bags = [(c.values.to_numpy().astype(np.int64), v.values.to_numpy()) for c, v in zip(rows["terms"], rows["values"])]
+    return fit_bags(bags, rows["y"].to_numpy().astype(np.float64))
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])

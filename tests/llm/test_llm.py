@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from kinmatch.llm import common as C
 from kinmatch.llm import (
     bpe,
     exact_dedup,
@@ -221,6 +222,42 @@ def test_labels_of_the_held_out_fold_are_never_read(spark):
     assert quality_knn.fit_labels(docs, lab).prior == 0.0
 
 
+def test_votes_equal_a_loop_and_share_tied_places():
+    rng = np.random.default_rng(1)
+    axes = np.eye(6, dtype=np.float32)
+    vectors = quality_knn._unit(rng.normal(size=(40, 6)).astype(np.float32))
+    vectors[20:] = vectors[:20]  # every labelled vector twice: the last place is always tied
+    y = (np.arange(40) % 3 == 0).astype(float)
+    asked = quality_knn._unit(rng.normal(size=(25, 6)).astype(np.float32))
+    model = quality_knn.Neighbours(np.ones(6), axes, vectors, y, 0.5)
+    model.embed = lambda texts: asked
+    got = model.score([""] * 25, block=7)
+    order = np.argsort(rng.random(40))
+    other = quality_knn.Neighbours(np.ones(6), axes, vectors[order], y[order], 0.5)
+    other.embed = model.embed
+    assert np.allclose(got, other.score([""] * 25))
+    for v, p in zip(asked, got):
+        c = sorted(((float(v @ x), k) for k, x in enumerate(vectors)), reverse=True)
+        last = c[quality_knn.NEIGHBOURS - 1][0]
+        tied = [k for s, k in c if abs(s - last) < 1e-6]
+        sure = [(s, k) for s, k in c if s > last + 1e-6]
+        part = (quality_knn.NEIGHBOURS - len(sure)) / len(tied)
+        votes = [(max(s, 0), y[k]) for s, k in sure] + [(max(last, 0) * part, y[k]) for k in tied]
+        total = sum(w for w, _ in votes)
+        assert p == pytest.approx(sum(w * a for w, a in votes) / total if total else 0.5, abs=1e-5)
+
+
+def test_long_words_keep_their_whole_shape():
+    assert quality_knn.shape("a1" * 30) != quality_knn.shape("a1" * 31)
+
+
+def test_most_frequent_takes_ties_by_key(spark):
+    rows = spark.createDataFrame([(f"w{k:03}", 1) for k in range(100)] + [("top", 9), ("mid", 4)], "word string, n long")
+    got = lambda k: sorted(r.word for r in C.most_frequent(rows, "word", "n", k).collect())
+    assert got(1) == ["top"] and got(2) == ["mid", "top"] and got(4) == ["mid", "top", "w000", "w001"] and len(got(500)) == 102
+    assert C.most_frequent(rows.where("false"), "word", "n", 5).count() == 0
+
+
 def test_machine_learns_a_pair_that_no_single_term_tells():
     rng = random.Random(2)
     texts, y = [], []

@@ -5,15 +5,19 @@ text, its number of tags, the part inside links, and the containers it lies in.
 never hold main text (scripts, menus, forms, adverts, comments, ...) are passed over. The
 text-to-tag ratios of the lines are smoothed with a Gaussian, lines above the threshold form
 content regions, and the innermost article or main that holds most of the regions' text is the
-article, else the innermost container of all regions: all its lines are returned, so a short
-paragraph between long ones is kept. Inside an article a class or an id that names what is no main
-text counts only where the element's text says so too: most of it lies in links, or it has few
-characters a tag.
+article: all its lines are returned, so a short paragraph between long ones is kept. Without one it
+is the innermost container of all regions; there, lines that lie in links are left out, outside the
+regions those that mostly do. Inside an article a class or an id counts only if it says nothing but what is
+no main text, as "share-buttons" does and "share-price" does not; where the word may also name a
+section, as "discussion" does, the element's text must say so too: most of it lies in links, or it
+has few characters a tag.
+
+Parsing takes time and memory in proportion to the page, however deeply it is nested.
 
 Edge cases: null or empty html gives an empty text; a page without any text outside the passed
-elements gives an empty text; unclosed and stray tags are tolerated; very long pages are parsed
-whole; a repeated row is parsed again; an empty table gives no rows; only page_id, url and html
-are read.
+elements gives an empty text; of containers that tie the innermost is taken; unclosed and stray tags
+are tolerated; very long pages are parsed whole; a repeated row is parsed again; an empty table gives
+no rows; only page_id, url and html are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -49,6 +53,7 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article body div main section td table figure details blockquote".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+ARTICLE = frozenset("article main".split())
 #: Words of class, id and role values that mark what is no main text.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion "
@@ -58,6 +63,17 @@ MARKS = frozenset(
     "commentlist reply replies respond disqus discussion footer foot header masthead topbar toolbar "
     "pagination pager skip search contentinfo complementary dialog".split()
 )
+#: Those of them that may name a section of an article as well.
+AMBIGUOUS = frozenset(
+    "notice notices alert banner search skip side rail aside head header footer dialog discussion promotion "
+    "reply replies respond navigation complementary toolbar masthead recommended recommendations".split()
+)
+#: Words that go with a mark and say nothing themselves.
+LAYOUT = frozenset(
+    "area bar block body box btn button buttons card col column container content count group holder icon icons "
+    "inner item items label left link links list main module outer panel post row right section slot text "
+    "thread title top unit wrap wrapper".split()
+)
 #: First words of class names that tell a state, as in "has-sidebar", not what an element is.
 STATES = frozenset("has no with without".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -73,98 +89,131 @@ def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _names(attrs: list[tuple[str, str | None]]) -> Iterator[list[str]]:
+    """The words of every class, id and role, less those that tell a state."""
     for name, value in attrs:
         if value and name in ("class", "id", "role", "aria-label", "itemprop"):
             for one in value.split():
-                parts = _SPLIT.split(_CAMEL.sub("-", one).lower())
-                if parts[0] not in STATES and not MARKS.isdisjoint(parts):
-                    return True
-    return _hidden(attrs)
+                parts = [x for x in _SPLIT.split(_CAMEL.sub("-", one).lower()) if x]
+                if parts and parts[0] not in STATES:
+                    yield parts
+
+
+def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+    return _hidden(attrs) or any(not MARKS.isdisjoint(parts) for parts in _names(attrs))
+
+
+def _mark_in_article(attrs: list[tuple[str, str | None]]) -> str | None:
+    """"sure" if a name of the element says only what is no main text, "maybe" if its words may
+    name a section too, else None."""
+    found = None
+    for parts in _names(attrs):
+        words = [x for x in parts if not x.isdigit() and x not in LAYOUT]
+        if words and MARKS.issuperset(words):
+            if not AMBIGUOUS.issuperset(words):
+                return "sure"
+            found = "maybe"
+    return found
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: [text parts, tags, characters in links, containers, in a list item]."""
+    """Lines of a page: [text parts, tags, characters in links, container, mark].
+
+    Containers and marks are numbers that know their parents; positions of open elements are kept
+    by tag, so no step looks through the stack.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int, int]] = []  # (tag, passed over, container number, mark number)
-        self.skipping = 0
-        self.links = 0
-        self.containers: tuple[int, ...] = (0,)
-        self.made = 0
-        self.kinds = {0: "page"}
-        self.marks: tuple[int, ...] = ()
-        self.marked = 0
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # (tag, passed over, container, mark)
+        self.open: dict[str, list[int]] = {}
+        self.skips: list[int] = []
+        self.fences: list[int] = []  # article, main, body
+        self.holders: list[int] = []  # containers and list items
+        self.seen_article = False
+        self.container, self.mark = 0, 0
+        self.kinds, self.parents, self.depths = ["page"], [0], [0]
+        self.mark_parents = [0]
         self.lines: list[list] = []
         self._new_line()
 
+    def _last(self, *tags: str) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
     def _new_line(self) -> None:
-        items = any(t == "li" for t, *_ in self.stack)
+        place = [self.container, self.mark]
         if self.lines and not self.lines[-1][0]:
-            self.lines[-1][3:] = [self.containers, items, self.marks]
+            self.lines[-1][3:] = place
         else:
-            self.lines.append([[], 0, 0, self.containers, items, self.marks])
+            self.lines.append([[], 0, 0, *place])
 
     def _pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
             tag, skip, container, mark = self.stack.pop()
-            self.skipping -= skip
-            self.links -= tag == "a"
+            at = len(self.stack)
+            self.open[tag].pop()
+            for places in (self.skips, self.fences, self.holders):
+                if places and places[-1] == at:
+                    places.pop()
             if container:
-                self.containers = self.containers[:-1]
+                self.container = self.parents[self.container]
             if mark:
-                self.marks = self.marks[:-1]
-                if not self.skipping:
+                self.mark = self.mark_parents[self.mark]
+                if not self.skips:
                     self._new_line()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
-            if not self.skipping:
+            if not self.skips:
                 self.lines[-1][1] += 1
                 if tag == "br":
                     self.lines[-1][0].append(" ")
                 elif tag == "hr":
                     self._new_line()
             return
-        names = [t for t, *_ in self.stack]
-        if tag in ("article", "main") and self.skipping and not any(t in ("template", "noscript") for t in names):
-            # an article never lies in a menu or an advert: what was left open ends here
+        if tag in ARTICLE and self.skips and not self.seen_article and self._last("template", "noscript") < 0:
+            # the page's article never lies in a menu or an advert: what was left open ends here
             if not _marked(attrs):
-                at = next(k for k, x in enumerate(self.stack) if x[1])
-                self._pop_to(at)
-        elif tag in BLOCK and "p" in names:
+                self._pop_to(self.skips[0])
+        elif tag in BLOCK and self.open.get("p"):
             # a block ends an open paragraph, unless a container was opened inside it
-            at = len(names) - 1 - names[::-1].index("p")
-            if not any(t in CONTAINER or t == "li" for t in names[at + 1 :]):
+            at = self.open["p"][-1]
+            if not self.holders or self.holders[-1] < at:
                 self._pop_to(at)
-        elif tag == "a" and "a" in names:
-            self._pop_to(len(names) - 1 - names[::-1].index("a"))
-        if tag == "li" and "li" in names:
-            at = len(names) - 1 - names[::-1].index("li")
-            if not any(t in ("ul", "ol") for t in names[at + 1 :]):
-                self._pop_to(at)
-        in_article = any(t in ("article", "main") for t, *_ in self.stack)
-        skip = tag in SKIP or tag == "header" and not in_article or _hidden(attrs) and tag not in ("html", "body", "article", "main")
-        mark = 0
-        if not skip and (tag not in ("html", "body", "article", "main") or tag == "article" and in_article) and _marked(attrs):
-            # the text of an element of an article decides, when the page is read
-            skip = not in_article
-            # the id of a heading is mostly an anchor made of its words
-            if in_article and not self.skipping and tag not in HEADING:
-                self.marked += 1
-                mark = self.marked
-                self.marks += (mark,)
-        number = 0
+        elif tag == "a" and self.open.get("a"):
+            self._pop_to(self.open["a"][-1])
+        if tag == "li" and self.open.get("li") and self._last("ul", "ol") < self.open["li"][-1]:
+            self._pop_to(self.open["li"][-1])
+        in_article = self._last("article", "main") >= 0
+        plain = tag not in ("html", "body", "article", "main")
+        skip = tag in SKIP or tag == "header" and not in_article or plain and _hidden(attrs)
+        mark = False
+        # the id of a heading is mostly an anchor made of its words
+        if not skip and not self.skips and tag not in HEADING and (plain or tag == "article" and in_article):
+            if in_article:
+                kind = _mark_in_article(attrs)
+                skip, mark = kind == "sure", kind == "maybe"
+            else:
+                skip = _marked(attrs)
+        at = len(self.stack)
         if tag in CONTAINER:
-            self.made += 1
-            number = self.made
-            self.kinds[number] = tag
-            self.containers += (number,)
-        self.stack.append((tag, skip, number, mark))
-        self.skipping += skip
-        self.links += tag == "a"
-        if not self.skipping:
+            self.kinds.append(tag)
+            self.parents.append(self.container)
+            self.depths.append(self.depths[self.container] + 1)
+            self.container = len(self.kinds) - 1
+        if mark:
+            self.mark_parents.append(self.mark)
+            self.mark = len(self.mark_parents) - 1
+        self.stack.append((tag, skip, tag in CONTAINER, mark))
+        self.open.setdefault(tag, []).append(at)
+        if skip:
+            self.skips.append(at)
+        if tag in ARTICLE or tag == "body":
+            self.fences.append(at)
+        if tag in CONTAINER or tag == "li":
+            self.holders.append(at)
+        if not self.skips:
+            self.seen_article |= tag in ARTICLE
             if tag in BLOCK or mark:
                 self._new_line()
             self.lines[-1][1] += 1
@@ -173,24 +222,22 @@ class _Lines(HTMLParser):
         self.handle_starttag(tag, attrs)  # a slash does not close an HTML element
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                was = self.skipping
-                self._pop_to(k)
-                if not self.skipping:
-                    if not was:
-                        self.lines[-1][1] += 1
-                    if tag in BLOCK:
-                        self._new_line()
-                return
-            if self.stack[k][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                return
+        at = self._last(tag)
+        if at < 0 or self.fences and self.fences[-1] > at and tag not in ("article", "main", "body", "html"):
+            return
+        was = bool(self.skips)
+        self._pop_to(at)
+        if not self.skips:
+            if not was:
+                self.lines[-1][1] += 1
+            if tag in BLOCK:
+                self._new_line()
 
     def handle_data(self, data: str) -> None:
-        if not self.skipping:
+        if not self.skips:
             line = self.lines[-1]
             line[0].append(data)
-            if self.links:
+            if self.open.get("a"):
                 line[2] += len(data.strip())
 
 
@@ -205,19 +252,23 @@ def content_regions(ratios: np.ndarray, sigma: float = SIGMA, threshold: float =
     return smooth >= threshold * smooth.mean()
 
 
-def without_boilerplate(lines: list[tuple]) -> list[tuple]:
+def _up(values: np.ndarray, parents: list[int]) -> np.ndarray:
+    """Sums over each number and all below it; parents come before their children."""
+    for k in range(len(values) - 1, 0, -1):
+        values[parents[k]] += values[k]
+    return values
+
+
+def without_boilerplate(lines: list[tuple], parents: list[int]) -> list[tuple]:
     """Lines less those of marked elements whose text, too, says that they are no main text."""
-    inside: dict[int, np.ndarray] = {}
-    rest = np.zeros(3)
-    for text, tags, linked, _, _, marks in lines:
-        one = np.array([len(text), tags, min(linked, len(text))], dtype=float)
-        for m in marks:
-            inside[m] = inside.get(m, 0.0) + one
-        if not marks:
-            rest += one
-    usual = rest[0] / rest[1] if rest[1] else 0.0
-    gone = {m for m, (n, tags, linked) in inside.items() if linked > LINKED * n or n / tags < SPARSE * usual}
-    return [x for x in lines if gone.isdisjoint(x[5])]
+    sums = np.zeros((len(parents), 3))
+    for text, tags, linked, _, mark in lines:
+        sums[mark] += (len(text), tags, min(linked, len(text)))
+    usual = sums[0][0] / sums[0][1] if sums[0][1] else 0.0
+    gone = [False]
+    for (n, tags, linked), parent in zip(_up(sums, parents)[1:], parents[1:]):
+        gone.append(gone[parent] or bool(n) and bool(linked > LINKED * n or n / tags < SPARSE * usual))
+    return [x for x in lines if not gone[x[4]]]
 
 
 def main_text(html: str | None) -> str:
@@ -227,33 +278,34 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     lines = []
-    for parts, tags, linked, containers, item, marks in parser.lines:
+    for parts, tags, linked, container, mark in parser.lines:
         text = " ".join("".join(parts).split())
         if text:
-            lines.append((text, max(1, tags), linked, containers, item, marks))
-    lines = without_boilerplate(lines)
+            lines.append((text, max(1, tags), linked, container, mark))
+    lines = without_boilerplate(lines, parser.mark_parents)
     if not lines:
         return ""
     chars = np.array([len(x[0]) for x in lines], dtype=float)
     unlinked = np.array([max(0, len(x[0]) - x[2]) for x in lines], dtype=float)
     chosen = content_regions(unlinked / np.array([x[1] for x in lines]))
-    mass: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    shared: tuple[int, ...] | None = None
-    for line, n, ok in zip(lines, unlinked, chosen):
-        if ok and n:
-            for level, c in enumerate(line[3]):
-                mass[c] = mass.get(c, 0.0) + n
-                depth[c] = level
-            shared = line[3] if shared is None else tuple(x for x, y in zip(shared, line[3]) if x == y)
-    named = [c for c in mass if parser.kinds[c] in ("article", "main") and mass[c] >= MOST * mass[0]]
-    best = max(named, key=lambda c: (depth[c], mass[c])) if named else shared[-1] if shared else 0
+    counted = chosen & (unlinked > 0)
+    # (text, lines) of the regions in every container
+    mass = np.zeros((len(parser.kinds), 2))
+    np.add.at(mass, [x[3] for x in lines], np.stack([unlinked * counted, counted], axis=1))
+    mass = _up(mass, parser.parents)
+    depth, kinds = parser.depths, parser.kinds
+    named = [c for c in range(len(kinds)) if kinds[c] in ARTICLE and mass[c][1] and mass[c][0] >= MOST * mass[0][0]]
+    whole = [c for c in range(len(kinds)) if mass[c][1] and mass[c][1] == mass[0][1]]
+    best = max(named, key=lambda c: (depth[c], mass[c][0])) if named else max(whole, key=lambda c: depth[c], default=0)
+    inside = [best == 0]
+    for c in range(1, len(kinds)):
+        inside.append(c == best or inside[parser.parents[c]])
     out = []
-    for line, n in zip(lines, chars):
-        # a list of links is a menu, except inside an element that says it is the article
-        menu = line[4] and line[2] > 0.8 * n and parser.kinds[best] not in ("article", "main")
-        if best in line[3] and not menu:
-            out.append(line[0])
+    for (text, _, linked, container, _), n, ok in zip(lines, chars, chosen):
+        # a block of links is a menu, except inside an element that says it is the article
+        menu = kinds[best] not in ARTICLE and linked > (0.8 if ok else LINKED) * n
+        if inside[container] and not menu:
+            out.append(text)
     return " ".join(out)
 
 

@@ -610,6 +610,39 @@ def test_main_text_keeps_all_regions_of_the_article(html, want):
     assert html_main.main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<article><p>{LONG}</p><p class='share-price'>Up 3 %.</p><div class='alert-level'>Two.</div></article>", f"{LONG} Up 3 %. Two."),
+        (f"<article><p>{LONG}</p><div class='comment-list'><p>{LEAD}</p></div><div class='ad-slot'>{SHORT}</div></article>", LONG),
+        (f"<article><p>{LONG}</p></article><section class='comments'><article><p>{LEAD}</p></article></section>", LONG),
+        (f"<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><div><a>one</a> <a>two</a></div><div><a>three</a></div><div><a>four</a></div></div>", f"{LONG} {LONG} {LONG}"),
+        (f"<body><div><p>{SHORT}</p></div><div><p>{LONG}</p></div></body>", f"{SHORT} {LONG}"),
+    ],
+)
+def test_names_and_links_of_an_article(html, want):
+    assert html_main.main_text(html) == want
+
+
+@pytest.mark.parametrize("unit", ["<div>x y ", "<b>x ", "<ul><li>x ", "<article>x ", "<p><div>x ", "<div class='notice'>x ", "</p>x "])
+def test_deep_pages_take_time_in_proportion(unit):
+    import time
+
+    def took(n):
+        t = time.process_time()
+        html_main.main_text("<article>" + unit * n)
+        return time.process_time() - t
+
+    took(500)
+    assert took(40_000) < 30 * max(took(4_000), 0.05)
+
+
+def test_extract_reads_no_other_column(spark):
+    pages = spark.createDataFrame([(1, "u", f"<p>{LONG}</p>", "x", 7), (2, None, "<p>" + LEAD * 9_000 + "</p>", None, None)], "page_id long, url string, html string, text string, n_chars long")
+    got = {r.page_id: r for r in html_main.extract(pages).collect()}
+    assert got[1].text == LONG and got[2].n_chars == len(got[2].text) == 9_000 * len(LEAD)
+
+
 def test_pages_equal_their_articles(spark):
     rows = html_main.op9_html_main_text(spark, SF).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect()
     import html as H

@@ -66,6 +66,13 @@ def drop_cut(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def keep_only(spark: SparkSession, start: int, *read: DataFrame) -> None:
+    """Delete the tables that ``cut`` made from number ``start`` on, but for those that the given
+    lazy results read."""
+    need = {x.rsplit("/", 1)[0].split("/")[-1] for df in read for x in df.inputFiles()}
+    delete(spark, [x for x in made[start:] if x.split("/")[-1] not in need])
+
+
 def release(spark: SparkSession) -> None:
     """Have the driver forget the shuffles of plans that nothing refers to any more, so that
     their files go while a long operator still runs."""

@@ -7,14 +7,17 @@ floor(epochs) times, and a seeded part of the documents once more: documents of
 ordered by md5(seed, doc_id) and taken while the middle of a document still lies below the
 fraction wanted, so a source misses its target by half a document at most and reruns agree.
 
-The order is never a sort of a whole source: documents are summed by (source, leading hex digits
-of the md5), the running sums of those at most ``16**DIGITS`` slots a source tell which slots are
-in or out whole, and only the one slot a source in which the cut falls is sorted. All of it is
-built-in SQL; a hot source only adds to partial sums.
+The order is never a sort of a whole source, and texts are never sorted or shuffled: one scan writes
+id, source, size and key of every document; they are summed by (source, leading hex digits of the
+md5), the running sums of those at most ``16**DIGITS`` slots a source tell in which slot the part
+ends, and only that one slot a source is sorted. What is taken is a prefix of the order, so one
+row a source, its last document taken, decides for all others. All of it is built-in SQL; a hot
+source only adds to partial sums. The water level comes from windows over one row a source.
 
 Edge cases: a null text has size 0 and is never taken; a null source is a source of its own,
-last in order; rows that repeat an id are ordered by size too and count each; a source without
-words gets target 0; an empty table gives no rows; other columns pass ``mix`` unread.
+last in order; rows that repeat an id are ordered by size, then by a hash of the text, and count
+each; a source without words gets target 0; very long texts count whole; an empty table gives no
+rows; columns besides doc_id, text and source pass ``mix`` unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,17 +62,30 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...], share: float, max_epo
     return out.select("source", "source_size", target.alias("target"))
 
 
-def epochs(
+_ORDER = ("key", "id", "size", "tie")
+
+
+def _keyed(docs: DataFrame, seed: int) -> dict[str, Column]:
+    """What orders a document within its source."""
+    text = F.col("text")
+    return {
+        "id": F.col("doc_id"),
+        "key": F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")),
+        "size": F.coalesce(F.regexp_count(text, F.lit(C.WORD)), F.lit(0)).cast("long"),
+        "tie": F.xxhash64("text"),
+    }
+
+
+def plan(
     docs: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
     share: float = 1.5,
     max_epochs: float = 2.0,
     seed: int = SEED,
-) -> DataFrame:
-    """The rows of ``docs`` with size, source_size, target and reps (how often the mix has them)."""
-    size: Column = F.coalesce(F.regexp_count(F.col("text"), F.lit(C.WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), "source", size.alias("size"), key.alias("key"))
+) -> tuple[DataFrame, DataFrame]:
+    """(documents, sources): id, source, size, key and tie of every document; and of every source
+    its size, target, ``whole`` repetitions of all and the ``last`` document that has one more."""
+    rows = C.cut(docs.select("source", *[c.alias(n) for n, c in _keyed(docs, seed).items()]), "mix-rows")
     rows = rows.withColumn("slot", F.substring("key", 1, DIGITS))
     slots = C.cut(rows.groupBy("source", "slot").agg(F.sum("size").alias("slot_size")), "mix-slots")
     sources = water_fill(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, share, max_epochs)
@@ -77,34 +93,54 @@ def epochs(
     sources = sources.withColumn("whole", whole.cast("long")).withColumn(
         "part", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))
     )
+    named = sources.select(F.col("source").alias("s"), "part")
     before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    named = sources.withColumnRenamed("source", "s")
-    plan = (
+    # the slot in which the part ends: the last that begins below it
+    ends = (
         slots.withColumn("slot_before", F.coalesce(F.sum("slot_size").over(before), F.lit(0)))
-        .join(F.broadcast(named), F.col("source").eqNullSafe(F.col("s")))
-        .drop("s")
-        # whole: in with all documents; cut: sorted by document; the others stay out
-        .withColumn("slot_in", F.when(F.col("slot_before") + F.col("slot_size") <= F.col("part"), F.lit("in")).when(F.col("slot_before") < F.col("part"), F.lit("cut")).otherwise(F.lit("out")))
+        .join(named, F.col("source").eqNullSafe(F.col("s")))
+        .where("slot_before < part")
+        .groupBy("source", "part")
+        .agg(F.max(F.struct("slot", "slot_before")).alias("end"))
+        .select(F.col("source").alias("e_source"), "part", "end.*")
+        .withColumnRenamed("slot", "e_slot")
     )
-    slot_id = ["source", "slot"]
-    p = plan.select(*[F.col(c).alias(f"p_{c}") for c in slot_id], "slot_before", "slot_in", "source_size", "target", "whole", "part")
-    joined = rows.join(
-        p, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("slot") == F.col("p_slot"))
-    ).drop("p_source", "p_slot")
-    in_slot = Window.partitionBy("source", "slot").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = joined.where("slot_in = 'cut'").withColumn(
-        "extra",
-        (F.col("slot_before") + F.coalesce(F.sum("size").over(in_slot), F.lit(0)) + F.col("size") / 2.0 <= F.col("part")).cast("long"),
+    in_slot = Window.partitionBy("source").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    middle = F.col("slot_before") + F.coalesce(F.sum("size").over(in_slot), F.lit(0)) + F.col("size") / 2.0
+    last = (
+        rows.join(ends, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("slot") == F.col("e_slot")))
+        .withColumn("in", middle <= F.col("part"))
+        .groupBy("source", "e_slot")
+        .agg(F.max(F.when(F.col("in"), F.struct(*_ORDER))).alias("last"))
     )
-    rest = joined.where("slot_in <> 'cut'").withColumn("extra", (F.col("slot_in") == "in").cast("long"))
-    reps = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("long")
-    return cut.unionByName(rest).select("doc", "id", "size", "source_size", "target", reps.alias("reps"))
+    # where not even the first of the slot is in, all before the slot are
+    none = F.struct(F.col("e_slot").alias("key"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in _ORDER[1:]])
+    last = last.select(F.col("source").alias("l_source"), F.coalesce("last", none).alias("last"))
+    sources = sources.join(last, F.col("source").eqNullSafe(F.col("l_source")), "left").select("source", "source_size", "target", "whole", "last")
+    return rows.drop("slot"), C.cut(sources, "mix-sources")
+
+
+def _reps() -> Column:
+    """How often the mix has a document, from its size and order and its source's plan."""
+    extra = F.coalesce(F.struct(*_ORDER) <= F.col("last"), F.lit(False)).cast("long")
+    return F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0).cast("long")
+
+
+def epochs(docs: DataFrame, **how) -> DataFrame:
+    """id, source, size, source_size, target and reps (how often the mix has it) of every row."""
+    rows, sources = plan(docs, **how)
+    named = sources.withColumnRenamed("source", "s")
+    return rows.join(named, F.col("source").eqNullSafe(F.col("s"))).select("id", "source", "size", "source_size", "target", _reps().alias("reps"))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as the mix has it."""
+    _, sources = plan(docs, **how)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(own, F.col("source").alias("d_source"), *[c.alias(n) for n, c in _keyed(docs, how.get("seed", SEED)).items()])
     return (
-        epochs(docs, **how)
+        rows.join(sources, F.col("d_source").eqNullSafe(F.col("source")))
+        .select("doc", _reps().alias("reps"))
         .where("reps > 0")
         .select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("reps"))).alias("copy"))
         .select("doc.*")

@@ -273,15 +273,15 @@ def test_machine_learns_a_pair_that_no_single_term_tells():
 
 
 # ---- n-gram join
-def brute_components(rows):
+def brute_components(rows, n=4, percent=85):
     sets = {}
     for i, t in rows:
         w = words(re.sub("[A-Z]+", lambda m: m.group().lower(), t or ""))
-        sets[i] = set(zip(w, w[1:], w[2:], w[3:])) if len(w) >= 4 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
     comp = {i: i for i in sets}
     ids = sorted(sets)
     changed = True
-    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     while changed:
         changed = False
         for a, b in links:
@@ -308,23 +308,56 @@ def near_rows(n=150, seed=5):
     return rows
 
 
-@pytest.mark.parametrize("bucket, block", [(64, 512), (3, 8)])
-def test_join_equals_brute_force(spark, monkeypatch, bucket, block):
+@pytest.mark.parametrize("bucket, block, n, percent", [(64, 256, 4, 85), (3, 8, 4, 85), (3, 8, 5, 80), (2, 3, 4, 85)])
+def test_join_equals_brute_force(spark, monkeypatch, bucket, block, n, percent):
     monkeypatch.setattr(ngram_join, "BUCKET", bucket)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = near_rows()
-    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, n, percent)
+
+
+def test_sets_dealt_grow_with_a_family_not_with_its_square(spark, monkeypatch):
+    """A family of near copies moves about once, and a row that is repeated is one node."""
+    monkeypatch.setattr(ngram_join, "BUCKET", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    dealt = []
+    compared = ngram_join._compared
+
+    def counting(sets, blocks, percent):
+        blocks = blocks.cache()
+        dealt.append(blocks.count())
+        return compared(sets, blocks, percent)
+
+    monkeypatch.setattr(ngram_join, "_compared", counting)
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) for _ in range(150)]
+    took = {}
+    for m in (100, 200, 400):
+        rows = []
+        for i in range(m):
+            w = list(base)
+            w[rng.randrange(150)] = f"x{i}"
+            rows.append((i, " ".join(w)))
+        got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+        assert {r.component_id for r in got} == {0}
+        took[m] = sum(dealt)
+        dealt.clear()
+    assert took[400] < 3 * took[200] < 9 * took[100] and took[400] < 4 * 400
+    rows = [(1, " ".join(base))] * 80 + [(2, " ".join(base + ["more"]))]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()
+    assert sum(dealt) == 2 and len(got) == 81 and {r.component_id for r in got} == {1}
 
 
 def test_join_on_edges(spark, edge, empty):
-    got = ngram_join.jaccard_components(edge).collect()
+    got = ngram_join.jaccard_components(edge, 4, 85).collect()
     want = brute_components([(i, t) for i, t, *_ in edge_rows() if i is not None])
     assert len(got) == len(edge_rows())
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got if r.doc_id is not None)
     assert all(r.component_id is None for r in got if r.doc_id is None)
-    kept = ngram_join.keep_one(edge)
-    assert kept.columns == edge.columns
+    clash = edge.withColumns({"_gone": F.lit(1), "component_id": F.lit(2)})
+    kept = ngram_join.keep_one(clash, 4, 85)
+    assert kept.columns == clash.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == sorted(i for i, *_ in edge_rows() if i and want[i][1] == i)
     assert ngram_join.jaccard_components(empty).count() == 0
 
@@ -340,7 +373,7 @@ def test_prefixes_never_miss_a_link():
         b = np.unique(b)
         both = len(np.intersect1d(a, b))
         if 100 * both >= 85 * (len(a) + len(b) - both):
-            for x, y in zip(orders.prefixes(a), orders.prefixes(b)):
+            for x, y in zip(orders.prefixes(a, 85), orders.prefixes(b, 85)):
                 assert len(np.intersect1d(x, y))
 
 
@@ -502,7 +535,7 @@ def test_mixing_is_water_filling(spark, edge, empty):
     assert len(got) == len(edge_rows())
     per = {}
     for r in got:
-        s = per.setdefault(r.doc.source, [r.source_size, r.target, 0, 0])
+        s = per.setdefault(r.source, [r.source_size, r.target, 0, 0])
         s[2] += r.size
         s[3] += r.size * r.reps
         assert 0 <= r.reps <= 2

@@ -593,16 +593,28 @@ def test_audit_finds_every_damaged_record(spark):
     hit = {7, 8, 150, 299}
     two = one.withColumn("record", F.when(F.col("page_id").isin(*hit), F.lit(b"bad")).otherwise(F.col("record")))
     gone = two.where("page_id IS NULL OR page_id <> 42")
-    left = warc.tree(one, "t")
-    assert warc.audit(left, warc.tree(one, "t")).count() == 0
-    found = warc.audit(left, warc.tree(two, "t")).join(one, ["archive", "pos"]).collect()
+    left = warc.tree(warc.leaves(one), "t")
+    assert warc.audit(left, warc.tree(warc.leaves(one), "t")).count() == 0
+    found = warc.audit(left, warc.tree(warc.leaves(two), "t")).join(one, ["archive", "pos"]).collect()
     assert {r.page_id for r in found} == hit
-    lost = warc.audit(left, warc.tree(gone, "t")).join(one, ["archive", "pos"]).collect()
+    lost = warc.audit(left, warc.tree(warc.leaves(gone), "t")).join(one, ["archive", "pos"]).collect()
     assert {r.page_id for r in lost} == hit | {42}
     end = one.groupBy("archive").agg(F.max(F.col("offset") + F.col("length")).alias("a"), F.sum("length").alias("b")).collect()
     assert all(r.a == r.b for r in end)
     none = warc.archive(spark.createDataFrame([], "page_id long, url string, html string"))
-    assert none.count() == 0 and warc.audit(warc.tree(none, "t"), warc.tree(none, "t")).count() == 0
+    assert none.count() == 0 and warc.audit(warc.tree(warc.leaves(none), "t"), warc.tree(warc.leaves(none), "t")).count() == 0
+
+
+def test_archives_of_one_id_are_as_small_as_any(spark):
+    rows = [(None, None, f"<p>{i}</p>") for i in range(200)] + [(7, "u", "<p>same</p>")] * 150 + [(i, "u", "x") for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("archive", "pos", "record", "uid")})
+    got = warc.archive(pages.repartition(6), 60).collect()
+    sizes = Counter(r.archive for r in got)
+    assert len(got) == 400 and sorted(sizes.values()) == [40] + [60] * 6
+    assert len({(r.archive, r.pos) for r in got}) == 400
+    for k in sizes:
+        mine = sorted((r for r in got if r.archive == k), key=lambda r: r.pos)
+        assert [r.offset for r in mine] == [sum(x.length for x in mine[:j]) for j in range(len(mine))]
 
 
 # ---- HTML

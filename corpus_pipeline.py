@@ -3,7 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents. As a stage's
 result is written before the next one is called, each call first deletes the working tables that
-the stage before it left in the shared folder; one pipeline runs at a time in a driver.
+the stage before it left in the shared folder; one pipeline runs at a time in a driver. ``run``
+also deletes each stage's result once the next one's is written; the last one stays.
+
+Edge cases are those of the operators: a null or empty text fails the quality rules and goes; of
+equal or near-equal texts the one with most code points, or the smallest doc_id, stays; rows
+without doc_id are kept by the near-duplicate stage; a null source is a source of its own; very long
+texts are read whole; an empty table gives no rows; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -46,8 +52,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return ngram_join.keep_one(docs)
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays."""
+    return ngram_join.keep_one(docs, n=5, percent=80)
 
 
 @_stage
@@ -77,7 +83,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = C.table(spark, sf_dir, "documents")
+    docs, before = C.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = C.cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if before is not None:
+            C.delete(spark, [before])
+        before = C.made[-1]
+    C.delete(spark, _before)
+    _before.clear()
     return docs

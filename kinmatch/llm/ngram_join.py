@@ -207,10 +207,12 @@ def _cards(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
 
 
 def _nodes_only(cards: DataFrame, reps: DataFrame) -> DataFrame:
-    """The cards of nodes, each once; only rows that may be repeated are compared for that."""
-    cards = cards.join(reps, ["node", "digest"])
-    again = cards.where("copies > 1").dropDuplicates(["node", "digest"])
-    return cards.where("copies = 1").unionAll(again).drop("copies")
+    """The cards of nodes, each once. Only sets that several rows have are looked up, so cards of
+    single ones do not move; rows that repeat a node are compared after."""
+    more = reps.where("copies > 1").select("digest", F.col("node").alias("first"))
+    cards = C.cut(cards.join(more, "digest", "left").where("first IS NULL OR first = node"), "join-cards")
+    again = cards.where("first IS NOT NULL").dropDuplicates(["node", "digest"])
+    return cards.where("first IS NULL").unionAll(again).drop("first")
 
 
 def _fits(u: str, v: str, percent: int) -> F.Column:
@@ -452,7 +454,7 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     heavy = C.most_frequent(counts, "token", "c", HEAVY).toPandas()
     orders = spark.sparkContext.broadcast(Orders(heavy["token"].to_numpy(dtype=np.int64).view(np.uint64), heavy["c"].to_numpy(dtype=np.int64)))
     reps = C.cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "join-reps")
-    cards = C.cut(_nodes_only(_cards(docs, orders, n, percent), reps), "join-cards")
+    cards = _nodes_only(_cards(docs, orders, n, percent), reps)
     passed, many = _candidates(cards, percent)
     passed = C.cut(passed, "join-passed")
     C.release(spark)

@@ -10,10 +10,12 @@ import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinmatch.functions import text as X
+
 _LETTER = re.compile(r"(?:LETTER|SYLLABLE|IDEOGRAPH|DIGIT) (?:FINAL |SMALL |VOCALIC )?([A-Z]+)")
 _BRAHMIC = re.compile(r"^(DEVANAGARI|BENGALI|GURMUKHI|GUJARATI|ORIYA|TAMIL|TELUGU|KANNADA|MALAYALAM|SINHALA) ")
 
@@ -75,6 +77,18 @@ def fold_text(s: str | None) -> str:
 
 def fold_full(c: Column) -> Column:
     def run(s: pa.Array) -> pa.Array:
-        return pa.array([fold_text(x) for x in s.to_pylist()], pa.string())
+        return pa.array([None if x is None else fold_text(x) for x in s.to_pylist()], pa.string())
 
     return F.arrow_udf(run, T.StringType())(c)
+
+
+def romanised(rec: DataFrame) -> DataFrame:
+    """Records with name and addr in Latin letters, and ``native``: whether either was not.
+
+    Only texts in other scripts are handed to Python; all others pass as nulls and stay as they are.
+    """
+    out = {"native": X.has_native_script(F.col("name")) | X.has_native_script(F.col("addr"))}
+    for c in ("name", "addr"):
+        raw = F.col(c)
+        out[c] = F.coalesce(fold_full(F.when(X.has_native_script(raw), raw)), raw)
+    return rec.withColumns(out)

@@ -1,7 +1,8 @@
 """Text normalisation as Column builders; every function takes and returns Columns.
 
 Missing text is the empty string throughout. ``fold_latin`` stays in whole-stage code and covers
-Latin letters; ``kinmatch.functions.romanise.fold_full`` covers other scripts.
+Latin letters; records in other scripts pass ``kinmatch.functions.romanise.romanised`` first, which
+the chain sees to, so all functions here meet Latin letters.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ TLDS = (
 DOMAIN = r"\b(?:https?://)?(?:www\.)?([a-z0-9][a-z0-9-]{2,})\.(?:" + TLDS + r")\b"
 ALIAS_SPLIT = r"\s+\|\s+|\s+(?:dba|d/b/a|t/a)\s+"
 JUNK = r"<\s*null\s*>|#{2,}"
+NULL_WORD = r"\bnull\b"
+BRACKETS, LEADING = r"[\[\](){}]", r"^[\W_]+"
 
 
 def _text(c: Column) -> Column:
@@ -64,7 +67,7 @@ def tokens(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Folded words without placeholders, repeats kept, one blank between."""
     s = F.regexp_replace(fold_latin(c), JUNK, " ")
-    s = F.regexp_replace(s, r"\bnull\b", " ")
+    s = F.regexp_replace(s, NULL_WORD, " ")
     return F.array_join(words_of(s), " ")
 
 
@@ -75,8 +78,8 @@ def is_domain_name(c: Column) -> Column:
 def name_aliases(c: Column) -> Column:
     """Trading names, parts and domain labels of a name, in order, without repeats."""
     s = F.regexp_replace(fold_latin(c), JUNK, " ")
-    s = F.regexp_replace(s, r"[\[\](){}]", " ")
-    s = F.regexp_replace(s, r"^[\W_]+", " ")
+    s = F.regexp_replace(s, BRACKETS, " ")
+    s = F.regexp_replace(s, LEADING, " ")
 
     def of_part(part: Column) -> Column:
         label = F.replace(F.regexp_extract(part, DOMAIN, 1), F.lit("-"), F.lit(" "))
@@ -122,14 +125,25 @@ def skeleton_of_folded(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _windows(s: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, F.lit(n)))
+    """All runs of n characters, over an array of them: places in a string are counted from its
+    start each time."""
+
+    def of(chars: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
+
+    return _let(F.split(s, ""), of)
 
 
 def char_ngrams(s: Column, n: int = 3) -> Column:
     """Set of n-grams; a shorter text whole; nothing of an empty one."""
     none = F.array().cast("array<string>")
-    return F.when(F.length(s) == 0, none).when(F.length(s) < n, F.array(s)).otherwise(F.array_distinct(_windows(s, n)))
+    return _let(s, lambda x: F.when(F.length(x) == 0, none).when(F.length(x) < n, F.array(x)).otherwise(F.array_distinct(_windows(x, n))))
 
 
 def char_wb_ngrams(s: Column, n: int = 4) -> Column:
@@ -145,11 +159,15 @@ def char_wb_ngrams(s: Column, n: int = 4) -> Column:
 
 def word_ngrams(s: Column, n: int = 1) -> Column:
     """Word n-grams; a text of fewer words whole."""
-    words = F.filter(F.split(s, r"\s+"), lambda w: w != "")
+    split = F.filter(F.split(s, r"\s+"), lambda w: w != "")
     if n == 1:
-        return words
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.when(F.size(words) == 0, words).when(F.size(words) < n, F.array(F.array_join(words, " "))).otherwise(grams)
+        return split
+
+    def of(words: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+        return F.when(F.size(words) == 0, words).when(F.size(words) < n, F.array(F.array_join(words, " "))).otherwise(grams)
+
+    return _let(split, of)
 
 
 def analyse(s: Column, kind: str, n: int) -> Column:
@@ -210,6 +228,6 @@ def pair_text(a: Column, b: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays as sets; null when both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union)
+    """Of two arrays as sets; null when either is empty."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / F.size(F.array_union(a, b)))

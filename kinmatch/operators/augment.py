@@ -16,7 +16,8 @@ PUBLIC_WORDS = frozenset(
     "allee place square no num number opp opposite near behind next above north south east west new old main "
     "cross and the of de du la le des".split()
 )
-_RUN = re.compile("[0-9A-Za-zÀ-ɏऀ-෿]+")
+# Fixed value: runs of digits and letters, Latin to U+024F and the Indic blocks.
+_RUN = re.compile("[0-9A-Za-z\u00c0-\u024f\u0900-\u0dff]+")
 
 
 def shift_number(addr: str, rng: random.Random, low: int = 3, high: int = 20) -> str | None:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 AFFIX_SHARE, EDGE_SHARE, BIGRAM_SHARE = 0.003, 0.85, 0.002
+#: The limits of affixes, then of affix pairs.
+SHARES = (AFFIX_SHARE, EDGE_SHARE, BIGRAM_SHARE, EDGE_SHARE)
 UNKNOWN_COUNTRY = 10.0
 DAMPING = 0.1
 

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from kinmatch.functions import kernels as K
 from kinmatch.functions import text as X
 from kinmatch.operators import corpus, metrics
+from kinmatch.sources import working
 
 LOCALITY_WEIGHT = 6.0
 
-#: The 52 pair features in order, with the sign of their constraint.
+# Names and order of the features and the signs of their constraints.
+#: The 52 pair features.
 PAIR_FEATURES: dict[str, int] = {
     "name_jw": 1, "name_lev": 1, "name_tsort": 1, "name_tset": 1, "name_gram_jac": 1, "name_skel_jac": 1,
     "name_me_12": 1, "name_me_21": 1, "name_softtfidf": 1, "name_idf_contain": 1, "name_idf_unmatched_1": -1,
@@ -28,6 +30,7 @@ PAIR_FEATURES: dict[str, int] = {
     "sk_rank": -1, "key_hit": 0, "rrf": 1, "nret": 1, "pre": 1,
     "x_support_name": 1, "x_support_addr": 1, "x_rrf_rank": 0, "x_rrf_gap": -1, "x_n_cands": 0,
 }
+#: The nine features of a pair's standing.
 META_FEATURES: dict[str, int] = {
     "m_prob": 1, "m_rank": 0, "m_gap_to_best": -1, "m_score_share": 0, "m_n_strong": 0, "m_excl_prob": 1,
     "m_excl_rank": 0, "m_n_competitors": 0, "m_best_other_source": 1,
@@ -46,12 +49,14 @@ def _weights(rec: DataFrame, col: str, weights: DataFrame, fallback: DataFrame,
     return w.groupBy("country", "src", "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "weight")))).alias(f"{col}_w"))
 
 
-def record_view(rec: DataFrame) -> DataFrame:
-    """All derived columns of a record; write it once, join it per pair.
+def record_view(rec: DataFrame, shares: tuple[float, ...] = corpus.SHARES) -> DataFrame:
+    """All derived columns of a record, written once, to be joined per pair.
 
-    Needs ``tok`` and ``atok``; statistics are those of the records given.
+    Needs ``tok`` and ``atok``; statistics are those of the records given. ``shares`` are the
+    limits of affixes and of affix pairs.
     """
-    affix, bigram = corpus.affixes(rec), corpus.affix_bigrams(rec)
+    rec = working.cut(rec, "records")
+    affix, bigram = working.cut(corpus.affixes(rec, *shares[:2]), "affixes"), corpus.affix_bigrams(rec, *shares[2:])
     top = corpus.max_idf(rec)
     out = corpus.name_freq_pct(corpus.with_core(rec, affix, bigram))
     name_w = _weights(rec, "tok", corpus.idf(rec), top.select("country", "max_idf"), affix)
@@ -64,7 +69,7 @@ def record_view(rec: DataFrame) -> DataFrame:
     clean = X.clean_text(F.col("name"))
     core = F.array_join("core", " ")
     core = F.when(core == "", clean).otherwise(core)
-    return out.select(
+    view = out.select(
         *keys, "name", "addr", "tok", "atok", "core", "freq",
         core.alias("core_name"),
         F.coalesce("tok_w", empty).alias("tok_w"),
@@ -76,8 +81,9 @@ def record_view(rec: DataFrame) -> DataFrame:
         X.name_aliases(F.col("name")).alias("aliases"),
         X.house_numbers(F.col("addr")).alias("nums"),
         X.is_domain_name(F.col("name")).alias("domain"),
-        (X.has_native_script(F.col("name")) | X.has_native_script(F.col("addr"))).alias("native"),
+        F.col("native") if "native" in rec.columns else (X.has_native_script(F.col("name")) | X.has_native_script(F.col("addr"))).alias("native"),
     )
+    return working.cut(view, "record-view")
 
 
 def join_views(cand: DataFrame, view: DataFrame) -> DataFrame:

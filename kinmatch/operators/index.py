@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.functions import text as X
+from kinmatch.sources import working
 
 
 @dataclass(frozen=True)
@@ -104,9 +105,9 @@ def top_k(qv: DataFrame, post: DataFrame, k: int) -> DataFrame:
 
 
 def retrieve(rec: DataFrame, spec: ViewSpec, k: int, budget: int = 60_000, min_terms: int = 6, max_terms: int = 96) -> DataFrame:
-    """One view end to end."""
-    t = terms(rec, spec)
+    """One view end to end; terms and vocabulary, which several parts read, are written once."""
+    t = working.cut(terms(rec, spec), "terms")
     pool = t.where("src > 1")
-    vocab = vocabulary(pool, rec, spec)
+    vocab = working.cut(vocabulary(pool, rec, spec), "vocabulary")
     qv = query_vectors(t.where("src = 1"), vocab, budget, min_terms, max_terms)
     return top_k(qv, postings(pool, vocab), k)

@@ -107,24 +107,62 @@ def min_gap(a: Column, b: Column) -> Column:
     return F.array_min(F.transform(a, lambda x: F.array_min(F.transform(b, lambda y: F.abs(number(x) - number(y))))))
 
 
+# The names of the patterns, those of numbers by their relation (0 to 5).
+NUMBER_PATTERNS = (
+    "no house number on one side",
+    None,
+    "house number truncated (1447 -> 447)",
+    "house numbers differ by 1-2 (same street, next door)",
+    "house numbers differ by 3-20 (same street, a few doors away)",
+    "house numbers unrelated",
+)
+ADDRESS_PATTERN = "missing address on one side"
+SCRIPT_PATTERN, DOMAIN_PATTERN = "native-script name", "domain-style name"
+#: By how names overlap: the same words, none in common, at most two apart, else.
+WORD_PATTERNS = ("identical name, same number", "no shared name token", "name differs by a legal form or one token", "name partly overlapping")
+
+
 def error_pattern(qn: Column, qa: Column, cn: Column, ca: Column) -> Column:
-    """A short label for why a pair is hard."""
-    rel = number_relation(X.house_numbers(qa), X.house_numbers(ca))
-    tq, tc = F.array_distinct(X.tokens(qn)), F.array_distinct(X.tokens(cn))
-    apart = F.size(F.array_except(tq, tc)) + F.size(F.array_except(tc, tq))
-    return (
-        F.when((F.trim(qa) == "") | (F.trim(ca) == ""), "address missing")
-        .when(rel == 2, "number cut short")
-        .when(rel == 3, "next door")
-        .when(rel == 4, "some doors away")
-        .when(rel == 5, "numbers unrelated")
-        .when(rel == 0, "number missing")
-        .when(X.has_native_script(cn) | X.has_native_script(qn), "native script")
-        .when(X.is_domain_name(cn) | X.is_domain_name(qn), "domain name")
-        .when(apart == 0, "same name and number")
-        .when(~F.arrays_overlap(tq, tc), "no shared word")
-        .when(apart <= 2, "one or two words differ")
-        .otherwise("names overlap in part")
+    """Why a pair is hard: what its addresses, else its numbers, else its names say.
+
+    Each of the three looks at both sides at once and is null if it has nothing to say.
+    """
+    either = lambda test, *sides: F.exists(F.array(*sides), test)
+    address = F.when(either(lambda x: F.trim(x) == "", qa, ca), ADDRESS_PATTERN)
+    relation = number_relation(X.house_numbers(qa), X.house_numbers(ca))
+    number = F.element_at(F.array(*[F.lit(x) for x in NUMBER_PATTERNS]), relation + 1)
+    words = [F.array_distinct(X.tokens(c)) for c in (qn, cn)]
+    shared = F.size(F.array_intersect(*words))
+    apart = F.size(words[0]) + F.size(words[1]) - 2 * shared
+    overlap = F.when(apart == 0, 1).when(shared == 0, 2).otherwise(F.when(apart > 2, 4).otherwise(3))
+    name = F.element_at(F.array(*[F.lit(x) for x in WORD_PATTERNS]), overlap)
+    kind = F.coalesce(F.when(either(X.has_native_script, cn, qn), SCRIPT_PATTERN), F.when(either(X.is_domain_name, cn, qn), DOMAIN_PATTERN))
+    return F.coalesce(address, number, kind, name)
+
+
+def error_examples(scored: DataFrame, taken: Column, top: int = 5) -> DataFrame:
+    """(kind, rank, country, s1, src, cid, p): of each country the surest false positives and the
+    least likely false negatives."""
+    kind = F.when(taken & (F.col("y") == 0), "false positive").when(~taken & (F.col("y") == 1), "false negative")
+    surest = F.when(F.col("kind") == "false positive", -F.col("p")).otherwise(F.col("p"))
+    w = Window.partitionBy("country", "kind").orderBy(surest, "s1", "src", "cid")
+    rows = scored.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("rank", F.row_number().over(w))
+    return rows.where(F.col("rank") <= top).select("kind", "rank", "country", "s1", "src", "cid", "p")
+
+
+def blocking_stats(entities: DataFrame, cand: DataFrame, pool: DataFrame) -> DataFrame:
+    """(country, entities, pairs, average, reduction) of a candidate table; ``pool`` has a row a
+    record of the other side."""
+    own = entities.groupBy("country").agg(F.count("*").alias("entities"))
+    size = pool.groupBy("country").agg(F.count("*").alias("pool"))
+    pairs = cand.groupBy("country").agg(F.count("*").alias("pairs"))
+    j = own.join(pairs, "country", "left").join(size, "country", "left").fillna(0)
+    return j.select(
+        "country",
+        "entities",
+        "pairs",
+        (F.col("pairs") / F.col("entities")).alias("average"),
+        (1 - F.try_divide(F.col("pairs"), F.col("entities") * F.col("pool"))).alias("reduction"),
     )
 
 

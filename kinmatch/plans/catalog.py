@@ -1,9 +1,10 @@
 """Registered queries of the linkage engine, each beside its oracle SQL where SQL can express it.
 
 Queries bind the operators to the driver's tables (``kinmatch.sources.bindings``) and run over
-whole tables. At this size a document-frequency cap of 2 % leaves partitions without terms, so the
-registered retrieval queries set the caps in ``SPECS`` below; production defaults are in
-``kinmatch.operators.index``.
+whole tables and whole texts: functions of text and corpus statistics over the documents, retrieval,
+features and what follows over the pages' titles and URLs, decisions and metrics over order lines.
+Retrieval has the operators' own caps; only the share of documents that a term may occur in is
+looser, as 2 % of some hundred records would leave no terms.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from kinmatch.operators import augment, candidates, corpus, decide, features, in
 from kinmatch.plans import oracle_parts as O
 from kinmatch.sources import bindings as B
 from kinmatch.sources import tables as T
+from kinmatch.sources import working
 
-FRAC, BUDGET, K_TOP = 0.25, 2_000, 10
-SPECS = {s.name: replace(s, max_df_frac=FRAC, max_df_abs=500) for s in index.SPECS}
+FRAC, CFG = 0.25, index.BlockingConfig()
+BUDGET, K_TOP = CFG.budget, CFG.k
+SPECS = {s.name: replace(s, max_df_frac=FRAC) for s in index.SPECS}
 AFFIX = (0.005, 0.3, 0.005, 0.3)
 
 _QUERIES: dict[str, Callable] = {}
@@ -52,9 +55,9 @@ def joined(c: str) -> F.Column:
 
 
 # ---- scans and text
-@query("scan_project_filter", f"WITH {O.DOCS} SELECT id, name FROM rec WHERE src = 1 AND country = 'en'")
+@query("scan_project_filter", f"WITH {O.DOCS} SELECT id, text FROM rec WHERE src = 1 AND country = 'en'")
 def _(s, d):
-    return B.doc_records(s, d).where("src = 1 AND country = 'en'").select("id", "name")
+    return B.doc_records(s, d).where("src = 1 AND country = 'en'").select("id", "text")
 
 
 @query("countries_distinct", f"WITH {O.DOCS} SELECT DISTINCT country FROM rec")
@@ -67,24 +70,24 @@ def _(s, d):
     return T.first_rows(B.doc_records(s, d), 5).select("country", "id")
 
 
-@query("norm_fold", f"WITH {O.DOCS} SELECT id, {O.fold('name')} AS folded FROM rec")
+@query("norm_fold", f"WITH {O.DOCS} SELECT id, {O.fold('text')} AS folded FROM rec")
 def _(s, d):
-    return B.doc_records(s, d).select("id", X.fold_latin(F.col("name")).alias("folded"))
+    return B.doc_records(s, d).select("id", X.fold_latin(F.col("text")).alias("folded"))
 
 
-@query("norm_tokens", f"WITH {O.TOKENS} SELECT id, array_to_string(tok, ' ') AS tokens FROM tok")
+@query("norm_tokens", f"WITH {O.TOKENS} SELECT id, array_to_string(tok, ' ') AS tokens, array_to_string(atok, ' ') AS addr_tokens FROM tok")
 def _(s, d):
-    return B.doc_records(s, d).select("id", F.array_join(X.tokens(F.col("name")), " ").alias("tokens"))
+    return B.record_tokens(B.doc_records(s, d)).select("id", F.array_join("tok", " ").alias("tokens"), F.array_join("atok", " ").alias("addr_tokens"))
 
 
-@query("norm_clean_text", f"WITH {O.DOCS} SELECT id, {O.clean('name')} AS cleaned FROM rec")
+@query("norm_clean_text", f"WITH {O.DOCS} SELECT id, {O.clean('text')} AS cleaned FROM rec")
 def _(s, d):
-    return B.doc_records(s, d).select("id", X.clean_text(F.col("name")).alias("cleaned"))
+    return B.doc_records(s, d).select("id", X.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query("norm_skeleton", f"WITH {O.DOCS} SELECT id, {O.skeleton('name')} AS skeleton FROM rec")
+@query("norm_skeleton", f"WITH {O.DOCS} SELECT id, {O.skeleton('text')} AS skeleton FROM rec")
 def _(s, d):
-    return B.doc_records(s, d).select("id", X.skeleton(F.col("name")).alias("skeleton"))
+    return B.doc_records(s, d).select("id", X.skeleton(F.col("text")).alias("skeleton"))
 
 
 @query("norm_numbers", f"WITH t AS (SELECT page_id, coalesce(url, '') AS url FROM pages) SELECT page_id, array_to_string(list_sort({O.numbers('url')}), ' ') AS numbers FROM t")
@@ -103,43 +106,43 @@ def _(s, d):
     return B.page_records(s, d).select("page_id", X.index_view(F.concat_ws(" | ", "title", "host")).alias("aliases"), X.skeleton_view(F.col("host")).alias("skeletons"))
 
 
-@query("native_script_flag", f"WITH {O.DOCS} SELECT id, len(list_filter(string_split(name, ''), lambda c: ord(c) > 591)) > 0 AS native FROM rec")
+@query("native_script_flag", f"WITH {O.DOCS} SELECT id, len(list_filter(string_split(text, ''), lambda c: ord(c) > 591)) > 0 AS native FROM rec")
 def _(s, d):
-    return B.doc_records(s, d).select("id", X.has_native_script(F.col("name")).alias("native"))
+    return B.doc_records(s, d).select("id", X.has_native_script(F.col("text")).alias("native"))
 
 
 @query("fold_full_rows")
 def _(s, d):
     from kinmatch.functions.romanise import fold_full
 
-    return B.doc_records(s, d).select("id", fold_full("name").alias("folded"))
+    return B.doc_records(s, d).select("id", fold_full("text").alias("folded"))
 
 
-@query("char_ngrams_bag", f"WITH {O.DOCS}, g AS (SELECT id, unnest({O.wb_grams(O.clean('name'), 4)}) AS term FROM rec) SELECT id, term, count(*) AS tf FROM g GROUP BY ALL")
+@query("char_ngrams_bag", f"WITH {O.DOCS}, g AS (SELECT id, unnest({O.wb_grams(O.clean('text'), 4)}) AS term FROM rec) SELECT id, term, count(*) AS tf FROM g GROUP BY ALL")
 def _(s, d):
-    g = B.doc_records(s, d).select("id", F.explode(X.char_wb_ngrams(X.clean_text(F.col("name")), 4)).alias("term"))
+    g = B.doc_records(s, d).select("id", F.explode(X.char_wb_ngrams(X.clean_text(F.col("text")), 4)).alias("term"))
     return g.groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-@query("char_ngrams_set", f"WITH {O.DOCS}, c AS (SELECT id, {O.clean('name')} AS s FROM rec) SELECT id, array_to_string(list_sort({O.grams('s')}), '|') AS grams FROM c")
+@query("char_ngrams_set", f"WITH {O.DOCS}, c AS (SELECT id, {O.clean('text')} AS s FROM rec) SELECT id, array_to_string(list_sort({O.grams('s')}), '|') AS grams FROM c")
 def _(s, d):
-    return B.doc_records(s, d).select("id", F.array_join(F.array_sort(X.char_ngrams(X.clean_text(F.col("name")))), "|").alias("grams"))
+    return B.doc_records(s, d).select("id", F.array_join(F.array_sort(X.char_ngrams(X.clean_text(F.col("text")))), "|").alias("grams"))
 
 
-@query("word_ngrams", f"WITH {O.DOCS}, w AS (SELECT id, {O.words(O.fold('name'))} AS w FROM rec) SELECT id, CASE WHEN len(w) < 2 THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]), '|') END AS grams FROM w")
+@query("word_ngrams", f"WITH {O.DOCS}, w AS (SELECT id, {O.words(O.fold('text'))} AS w FROM rec) SELECT id, CASE WHEN len(w) < 2 THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]), '|') END AS grams FROM w")
 def _(s, d):
-    return B.doc_records(s, d).select("id", F.array_join(X.word_ngrams(F.array_join(X.words_of(X.fold_latin(F.col("name"))), " "), 2), "|").alias("grams"))
+    return B.doc_records(s, d).select("id", F.array_join(X.word_ngrams(F.array_join(X.words_of(X.fold_latin(F.col("text"))), " "), 2), "|").alias("grams"))
 
 
 @query(
     "abbrev_pairs",
-    f"""WITH {O.TOKENS}, p AS (SELECT DISTINCT unnest(tok[1:4]) AS a, id FROM tok),
+    O.on_pages(f"""WITH {O.TOKENS}, p AS (SELECT DISTINCT unnest(tok) AS a, id FROM tok),
 q AS (SELECT DISTINCT x.a AS a, y.a AS b FROM p x JOIN p y ON x.id = y.id AND x.a <> y.a)
-SELECT a, b FROM q WHERE length(a) > 0 AND length(a) <= 0.7::DOUBLE * length(b) AND a[1] = b[1] AND regexp_matches(b, '^' || regexp_replace(a, '(.)', '\\1.*', 'g'))""",
+SELECT a, b FROM q WHERE length(a) > 0 AND length(a) <= 0.7::DOUBLE * length(b) AND a[1] = b[1] AND regexp_matches(b, '^' || regexp_replace(a, '(.)', '\\1.*', 'g'))"""),
 )
 def _(s, d):
-    rec = B.record_tokens(B.doc_records(s, d))
-    one = rec.select("id", F.array_distinct(F.slice("tok", 1, 4)).alias("w"))
+    """Words of one title of which one abbreviates another."""
+    one = B.record_tokens(B.page_rows(s, d)).select(F.array_distinct("tok").alias("w"))
     pairs = one.select(F.explode("w").alias("a"), "w").select("a", F.explode("w").alias("b")).where("a <> b").distinct()
     return pairs.where(X.is_abbrev(F.col("a"), F.col("b")))
 
@@ -154,14 +157,14 @@ def _(s, d):
     return B.doc_records(s, d).select("id", X.serialise(F.col("name"), F.col("addr"), F.col("country")).alias("line"))
 
 
-@query("stable_hash", f"WITH {O.DOCS}, c AS (SELECT id, 'k' || {O.clean('name')} AS s FROM rec) SELECT id, {O.crc32('s')}::BIGINT AS h FROM c")
+@query("stable_hash", f"WITH {O.DOCS}, c AS (SELECT id, 'k' || {O.clean('text')} AS s FROM rec) SELECT id, {O.crc32('s')}::BIGINT AS h FROM c")
 def _(s, d):
-    return B.doc_records(s, d).select("id", X.stable_hash(F.concat(F.lit("k"), X.clean_text(F.col("name")))).alias("h"))
+    return B.doc_records(s, d).select("id", X.stable_hash(F.concat(F.lit("k"), X.clean_text(F.col("text")))).alias("h"))
 
 
-@query("hash64_rows")
+@query("hash64_rows", f"WITH {O.DOCS}, c AS (SELECT id, 'k' || {O.clean('text')} AS s FROM rec), h AS (SELECT id, {O.crc32('s')}::HUGEINT AS hi, {O.crc32('s', salted=True)}::HUGEINT AS lo FROM c) SELECT id, (CASE WHEN hi >= 2147483648 THEN (hi - 4294967296) * 4294967296 + lo ELSE hi * 4294967296 + lo END)::BIGINT AS h FROM h")
 def _(s, d):
-    return B.doc_records(s, d).select("id", X.hash64(X.clean_text(F.col("name"))).alias("h"))
+    return B.doc_records(s, d).select("id", X.hash64(F.concat(F.lit("k"), X.clean_text(F.col("text")))).alias("h"))
 
 
 @query("mask_examples")
@@ -239,47 +242,52 @@ def _spec_sql(name: str, p: str = "") -> str:
 
 
 def _top_sql(name: str, p: str = "") -> str:
-    return f"{_spec_sql(name, p)},\n{O.query_vectors(p, BUDGET, 6, 96)},\n{O.top_k(p, K_TOP)}"
+    return f"{_spec_sql(name, p)},\n{O.query_vectors(p, BUDGET, CFG.min_query_terms, CFG.max_query_terms)},\n{O.top_k(p, K_TOP)}"
 
 
 def _retrieve(s, d, name: str) -> DataFrame:
-    got = index.retrieve(B.doc_records(s, d), SPECS[name], K_TOP, BUDGET)
+    got = index.retrieve(B.page_rows(s, d), SPECS[name], K_TOP, BUDGET, CFG.min_query_terms, CFG.max_query_terms)
     return got.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("postings_tfidf", f"WITH {O.DOCS},\n{_spec_sql('nm')} SELECT country, src, id, term, round(w, 6) AS w FROM post")
+@query("postings_tfidf", O.on_pages(f"WITH {O.DOCS},\n{_spec_sql('nm')} SELECT country, src, id, term, round(w, 6) AS w FROM post"))
 def _(s, d):
-    rec = B.doc_records(s, d)
+    rec = B.page_rows(s, d)
     pool = index.terms(rec, SPECS["nm"]).where("src > 1")
     return index.postings(pool, index.vocabulary(pool, rec, SPECS["nm"])).withColumn("w", F.round("w", 6))
 
 
-@query("query_prune_budget", f"WITH {O.DOCS},\n{_spec_sql('nm')},\n{O.query_vectors('', 150, 6, 20)} SELECT country, s1, src, term, df, round(w, 6) AS w FROM q")
+@query("query_prune_budget", O.on_pages(f"WITH {O.DOCS},\n{_spec_sql('nm')},\n{O.query_vectors('', BUDGET, CFG.min_query_terms, CFG.max_query_terms)} SELECT country, s1, src, term, df, round(w, 6) AS w FROM q"))
 def _(s, d):
-    rec = B.doc_records(s, d)
+    rec = B.page_rows(s, d)
     t = index.terms(rec, SPECS["nm"])
     vocab = index.vocabulary(t.where("src > 1"), rec, SPECS["nm"])
-    return index.query_vectors(t.where("src = 1"), vocab, 150, 6, 20).withColumn("w", F.round("w", 6))
+    return index.query_vectors(t.where("src = 1"), vocab, BUDGET, CFG.min_query_terms, CFG.max_query_terms).withColumn("w", F.round("w", 6))
 
 
 for _name, _short in (("topk_name", "nm"), ("topk_addr", "ad"), ("topk_nameaddr", "na"), ("topk_skeleton", "sk")):
-    query(_name, f"WITH {O.DOCS},\n{_top_sql(_short)} SELECT * FROM top")(lambda s, d, v=_short: _retrieve(s, d, v))
+    query(_name, O.on_pages(f"WITH {O.DOCS},\n{_top_sql(_short)} SELECT * FROM top"))(lambda s, d, v=_short: _retrieve(s, d, v))
 
-_KEYS = f"""{O.core(*AFFIX)},
+_KEYS = f"""{O.on_pages(O.core(*AFFIX))},
 ck1 AS (SELECT id, src, country, core, {O.numbers('addr')} AS nums, core[1] AS c1, array_to_string(core, ' ') AS cs FROM core WHERE len(core) > 0),
 ck2 AS (SELECT *, {O.skeleton('c1')} AS sk1, array_to_string(list_sort(list_filter(string_split({O.skeleton('cs')}, ' '), lambda w: w <> '')), ' ') AS sks FROM ck1),
 keys AS (SELECT DISTINCT country, src, id, key FROM (SELECT country, src, id, unnest(list_concat(list_transform(nums, lambda n: 'n:' || n || '|' || CASE WHEN sk1 = '' THEN c1 ELSE sk1 END), CASE WHEN sks <> '' THEN ['s:' || sks] ELSE []::VARCHAR[] END)) AS key FROM ck2)),
 blocks AS (SELECT country, src, id, key FROM (SELECT *, row_number() OVER (PARTITION BY country, src, key ORDER BY id) AS r FROM keys WHERE src > 1) WHERE r <= 50)"""
 
 
+def _page_core(s, d) -> DataFrame:
+    rec = B.record_tokens(B.page_rows(s, d))
+    return corpus.with_core(rec, corpus.affixes(rec, *AFFIX[:2]), corpus.affix_bigrams(rec, *AFFIX[2:]))
+
+
 @query("record_keys", f"WITH {_KEYS} SELECT * FROM keys")
 def _(s, d):
-    return candidates.record_keys(_core(s, d))
+    return candidates.record_keys(_page_core(s, d))
 
 
-@query("key_blocks_capped", f"WITH {_KEYS} SELECT country, src, id, key FROM (SELECT *, row_number() OVER (PARTITION BY country, src, key ORDER BY id) AS r FROM keys WHERE src > 1) WHERE r <= 2")
+@query("key_blocks_capped", f"WITH {_KEYS} SELECT country, src, id, key FROM (SELECT *, row_number() OVER (PARTITION BY country, src, key ORDER BY id) AS r FROM keys WHERE src > 1) WHERE r <= 50")
 def _(s, d):
-    return candidates.key_blocks(candidates.record_keys(_core(s, d)).where("src > 1"), 2)
+    return candidates.key_blocks(candidates.record_keys(_page_core(s, d)).where("src > 1"), 50)
 
 
 _KEY_CAND = f"""{_KEYS},
@@ -288,7 +296,7 @@ kc AS (SELECT country, s1, src, cid FROM (SELECT *, row_number() OVER (PARTITION
 
 
 def _key_candidates(s, d) -> DataFrame:
-    keys = candidates.record_keys(_core(s, d))
+    keys = working.cut(candidates.record_keys(_page_core(s, d)), "keys")
     return candidates.key_candidates(keys.where("src = 1"), candidates.key_blocks(keys.where("src > 1")))
 
 
@@ -318,9 +326,9 @@ def _fused(s, d, most: int) -> DataFrame:
     return got.withColumns({f"{v}_rank": F.col(f"{v}_rank").cast("long") for v in candidates.VIEWS} | {"nret": F.col("nret").cast("long")})
 
 
-@query("fuse_rrf", f"WITH {_FUSE} SELECT * EXCLUDE (r) FROM fr WHERE r <= 80")
+@query("fuse_rrf", f"WITH {_FUSE} SELECT * EXCLUDE (r) FROM fr WHERE r <= {CFG.max_per_source}")
 def _(s, d):
-    return _fused(s, d, 80)
+    return _fused(s, d, CFG.max_per_source)
 
 
 @query("fuse_capped", f"WITH {_FUSE} SELECT country, s1, src, cid, rrf FROM fr WHERE r <= 5")
@@ -370,8 +378,8 @@ def _(s, d):
 
 
 # ---- joins, labels, pruning
-_TRUTH = """tk AS (SELECT doc_id AS id, (doc_id % 3 + 1)::INT AS src, substr(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 1, 60) AS key FROM documents),
-dt AS (SELECT a.id AS s1, b.src, b.id AS cid FROM tk a JOIN tk b ON a.key = b.key WHERE a.src = 1 AND b.src > 1 AND length(a.key) = 60)"""
+_TRUTH = """tk AS (SELECT id, src, country, regexp_replace(lower(name), '[^a-z]', '', 'g') AS key FROM rec),
+dt AS (SELECT a.id AS s1, b.src, b.id AS cid FROM tk a JOIN tk b ON a.key = b.key WHERE a.src = 1 AND b.src > 1 AND a.key <> '')"""
 
 
 @query("label_left_join", f"WITH {O.CLAIMS}, t AS (SELECT s1, src, cid FROM claims WHERE y = 1) SELECT c.s1, c.src, c.cid, (t.s1 IS NOT NULL)::INT AS y FROM claims c LEFT JOIN t USING (s1, src, cid)")
@@ -385,15 +393,15 @@ def _(s, d):
     return T.semi_filter(B.claims(s, d), B.entities(s, d).where("country = '1-URGENT'")).select("s1", "src", "cid")
 
 
-@query("anti_distractors", f"WITH {_TRUTH}, p AS (SELECT id, src FROM tk WHERE src > 1) SELECT src, id AS cid FROM p WHERE NOT EXISTS (SELECT 1 FROM dt WHERE dt.src = p.src AND dt.cid = p.id)")
+@query("anti_distractors", f"WITH {O.PAGES}, {_TRUTH}, p AS (SELECT id, src FROM tk WHERE src > 1) SELECT src, id AS cid FROM p WHERE NOT EXISTS (SELECT 1 FROM dt WHERE dt.src = p.src AND dt.cid = p.id)")
 def _(s, d):
-    pool = B.doc_records(s, d).where("src > 1").select("src", F.col("id").alias("cid"))
-    return candidates.distractors(pool, B.doc_truth(s, d))
+    pool = B.page_rows(s, d).where("src > 1").select("src", F.col("id").alias("cid"))
+    return candidates.distractors(pool, B.page_truth(s, d))
 
 
-@query("cluster_size", f"WITH {_TRUTH}, n AS (SELECT s1, count(*) AS size FROM dt GROUP BY s1) SELECT id AS s1, coalesce(size, 0) AS size FROM tk LEFT JOIN n ON n.s1 = tk.id WHERE src = 1")
+@query("cluster_size", f"WITH {O.PAGES}, {_TRUTH}, n AS (SELECT s1, count(*) AS size FROM dt GROUP BY s1) SELECT id AS s1, coalesce(size, 0) AS size FROM tk LEFT JOIN n ON n.s1 = tk.id WHERE src = 1")
 def _(s, d):
-    return candidates.cluster_size(B.doc_records(s, d).where("src = 1").select(F.col("id").alias("s1")), B.doc_truth(s, d))
+    return candidates.cluster_size(B.page_rows(s, d).where("src = 1").select(F.col("id").alias("s1")), B.page_truth(s, d))
 
 
 @query("write_id_lists", f"WITH {O.CLAIMS}, l AS (SELECT s1, string_agg('S' || src || '-' || cid, ',' ORDER BY src, cid) AS ids, count(*) AS n FROM claims WHERE p >= 0.5 GROUP BY s1) SELECT ent.s1, coalesce(ids, '') AS ids, coalesce(n, 0) AS n FROM ent LEFT JOIN l USING (s1)")
@@ -419,62 +427,125 @@ def _(s, d):
 
 
 # ---- features
-_PAIRS_SQL = f"""{_top_sql('nm')}, prs AS (SELECT country, s1, src, cid FROM top WHERE rank < 3)"""
+def _view(s, d) -> DataFrame:
+    return features.record_view(B.record_tokens(B.page_rows(s, d)), AFFIX)
 
 
-def _pairs(s, d) -> DataFrame:
-    return _retrieve(s, d, "nm").where("rank < 3")
-
-
-def _with_names(s, d) -> DataFrame:
-    """Pairs with the words and texts of both sides."""
-    rec = B.record_tokens(B.doc_records(s, d))
-    a = rec.select(F.col("id").alias("s1"), *[F.col(c).alias(f"{c}_a") for c in ("name", "addr", "tok", "atok")])
-    b = rec.select(F.col("id").alias("cid"), *[F.col(c).alias(f"{c}_b") for c in ("name", "addr", "tok", "atok")])
-    return _pairs(s, d).select("country", "s1", "src", "cid").join(a, "s1").join(b, "cid")
+def _features(s, d) -> DataFrame:
+    """All 52 pair features of the fused candidates of all views and keys."""
+    return features.featurize(working.cut(_fused(s, d, CFG.max_per_source), "fused"), _view(s, d))
 
 
-_NAMES_SQL = f"""{O.TOKEN_DF},
-{_PAIRS_SQL},
-pn AS (SELECT prs.country, s1, prs.src, cid, a.name AS name_a, a.addr AS addr_a, a.tok AS tok_a, a.atok AS atok_a, b.name AS name_b, b.addr AS addr_b, b.tok AS tok_b, b.atok AS atok_b
-  FROM prs JOIN tok a ON a.id = s1 JOIN tok b ON b.id = cid)"""
+@query("feat_all_pairs")
+def _(s, d):
+    return _features(s, d)
+
+
+_ABBREV = "(length({a}) > 0 AND length({a}) <= 0.7::DOUBLE * length({b}) AND {a}[1] = {b}[1] AND regexp_matches({b}, '^' || regexp_replace({a}, '(.)', '\\1.*', 'g')))"
+_LONE = f"len(list_filter(list_distinct({{x}}), lambda t: NOT list_contains({{y}}, t) AND NOT list_contains({{f}}, t) AND len(list_filter({{y}}, lambda o: {_ABBREV.format(a='t', b='o')} OR {_ABBREV.format(a='o', b='t')})) = 0))"
+
+
+def _feature_sql(columns: str) -> str:
+    """Columns of the fused pairs, with both records as a and b."""
+    return f"""WITH {_FUSE}, prs AS (SELECT * FROM fr WHERE r <= {CFG.max_per_source}),
+wt AS (SELECT t.country, t.token, ln(nd::DOUBLE / t.df) * CASE WHEN x.token IS NULL THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END AS w FROM token_df t JOIN totals USING (country) LEFT JOIN affix x ON x.country = t.country AND x.token = t.token),
+awt AS (SELECT country, token, ln(nad::DOUBLE / df) AS w FROM (SELECT country, token, count(*) AS df FROM (SELECT DISTINCT country, id, unnest(atok) AS token FROM tok) GROUP BY ALL) JOIN totals USING (country)),
+nw AS (SELECT id, token, w FROM (SELECT country, id, unnest(list_distinct(tok)) AS token FROM tok) JOIN wt USING (country, token)),
+aw AS (SELECT id, token, w FROM (SELECT country, id, unnest(list_distinct(atok)) AS token FROM tok) JOIN awt USING (country, token)),
+nt AS (SELECT id, sum(w) AS nt FROM nw GROUP BY id), adt AS (SELECT id, sum(w) AS adt FROM aw GROUP BY id),
+nsh AS (SELECT p.s1, p.src, p.cid, sum(x.w) AS nsh FROM prs p JOIN nw x ON x.id = p.s1 JOIN nw y ON y.id = p.cid AND x.token = y.token GROUP BY ALL),
+ash AS (SELECT p.s1, p.src, p.cid, sum(x.w) AS ash FROM prs p JOIN aw x ON x.id = p.s1 JOIN aw y ON y.id = p.cid AND x.token = y.token GROUP BY ALL),
+frq AS (SELECT country, array_to_string(tok, ' ') AS k, count(*) AS n FROM tok GROUP BY ALL),
+v0 AS (SELECT core.*, {O.clean('name')} AS cl, {O.clean('addr')} AS ca, array_to_string(core, ' ') AS cs, {O.numbers('addr')} AS nums, coalesce(al.a, []::VARCHAR[]) AS al,
+  ln(1.0::DOUBLE + n) / ln(1.0::DOUBLE + greatest(nd, 2)) AS freq, coalesce(nt, 0.0) AS nt, coalesce(adt, 0.0) AS adt
+  FROM core JOIN totals USING (country) JOIN frq ON frq.country = core.country AND frq.k = array_to_string(core.tok, ' ') LEFT JOIN al ON al.country = core.country LEFT JOIN nt ON nt.id = core.id LEFT JOIN adt ON adt.id = core.id),
+v1 AS (SELECT *, CASE WHEN cs = '' THEN cl ELSE cs END AS cn, {O.skeleton('cl')} AS sk, list_filter(list_distinct(tok), lambda t: list_contains(al, t)) AS fx,
+  regexp_matches({O.fold('name')}, '{X.DOMAIN}') AS dom, (len(list_filter(string_split(name || addr, ''), lambda c: ord(c) > 591)) > 0)::INT AS nat FROM v0),
+v AS (SELECT *, {O.grams("replace(cn, ' ', '')")} AS ng, {O.grams('sk')} AS sg, {O.grams("replace(ca, ' ', '')")} AS ag FROM v1),
+f AS (SELECT p.s1, p.src, p.cid, a.cn AS cn_a, b.cn AS cn_b, a.ng AS ng_a, b.ng AS ng_b, a.sg AS sg_a, b.sg AS sg_b, a.ag AS ag_a, b.ag AS ag_b, a.tok AS tok_a, b.tok AS tok_b, a.atok AS atok_a, b.atok AS atok_b,
+  a.nums AS x, b.nums AS y, a.fx AS fx_a, b.fx AS fx_b, a.freq AS freq_a, b.freq AS freq_b, a.nt AS nt_a, b.nt AS nt_b, a.adt AS adt_a, b.adt AS adt_b, a.dom OR b.dom AS dom, a.nat + b.nat AS nat,
+  coalesce(nsh, 0.0) AS nsh, coalesce(ash, 0.0) AS ash, p.* EXCLUDE (country, s1, src, cid)
+  FROM prs p JOIN v a ON a.id = p.s1 JOIN v b ON b.id = p.cid LEFT JOIN nsh ON nsh.s1 = p.s1 AND nsh.src = p.src AND nsh.cid = p.cid LEFT JOIN ash ON ash.s1 = p.s1 AND ash.src = p.src AND ash.cid = p.cid),
+g AS (SELECT *, list_min(list_transform(x, lambda i: list_min(list_transform(y, lambda j: abs(substr(i, 1, 9)::BIGINT - substr(j, 1, 9)::BIGINT))))) AS gap,
+  len(list_filter(x, lambda i: len(list_filter(y, lambda j: length(i) > 1 AND length(j) > 1 AND (starts_with(i, j) OR starts_with(j, i) OR ends_with(i, j) OR ends_with(j, i)))) > 0)) > 0 AS cut,
+  len(x) > 0 AND len(y) > 0 AS both_n, len(atok_a) > 0 AND len(atok_b) > 0 AS addrs FROM f)
+SELECT s1, src, cid, {columns} FROM g"""
+
+
+#: Columns of ``featurize`` and the SQL of each, by query.
+_COLUMNS = {
+    "feat_edit": {
+        "name_jw": "CASE WHEN cn_a = '' OR cn_b = '' THEN 0.0::DOUBLE ELSE jaro_winkler_similarity(cn_a, cn_b) END",
+        "name_lev": "CASE WHEN greatest(length(cn_a), length(cn_b)) > 0 THEN 1 - levenshtein(cn_a, cn_b)::DOUBLE / greatest(length(cn_a), length(cn_b)) END",
+    },
+    "feat_set_similarity": {
+        "name_gram_jac": O.jaccard("ng_a", "ng_b"),
+        "name_skel_jac": O.jaccard("sg_a", "sg_b"),
+        "name_tok_jac": O.jaccard("tok_a", "tok_b").replace("THEN len(list_intersect(tok_a, tok_b))", "THEN len(list_intersect(list_distinct(tok_a), list_distinct(tok_b)))"),
+        "addr_gram_jac": f"CASE WHEN addrs THEN {O.jaccard('ag_a', 'ag_b')} END",
+        "name_len_ratio": "CASE WHEN greatest(length(cn_a), length(cn_b)) > 0 THEN least(length(cn_a), length(cn_b))::DOUBLE / greatest(length(cn_a), length(cn_b)) END",
+        "addr_len_ratio": "CASE WHEN addrs THEN least(len(atok_a), len(atok_b))::DOUBLE / greatest(len(atok_a), len(atok_b)) END",
+        "name_tok_eq": "(len(list_filter(tok_a, lambda t: NOT list_contains(tok_b, t))) + len(list_filter(tok_b, lambda t: NOT list_contains(tok_a, t))) = 0)::INT",
+        "name_tok_only_1": _LONE.format(x="tok_a", y="tok_b", f="fx_a"),
+        "name_tok_only_2": _LONE.format(x="tok_b", y="tok_a", f="fx_b"),
+    },
+    "feat_idf_containment": {
+        "name_idf_contain": "CASE WHEN least(nt_a, nt_b) > 0 THEN nsh / least(nt_a, nt_b) END",
+        "name_idf_unmatched_1": "CASE WHEN nt_a > 0 THEN (nt_a - nsh) / nt_a END",
+        "name_idf_unmatched_2": "CASE WHEN nt_b > 0 THEN (nt_b - nsh) / nt_b END",
+        "addr_contain": "CASE WHEN addrs AND least(adt_a, adt_b) > 0 THEN ash / least(adt_a, adt_b) END",
+        "addr_unmatched_1": "CASE WHEN addrs AND adt_a > 0 THEN (adt_a - ash) / adt_a END",
+        "addr_unmatched_2": "CASE WHEN addrs AND adt_b > 0 THEN (adt_b - ash) / adt_b END",
+        "name_freq_max": "greatest(freq_a, freq_b)",
+    },
+    "feat_flags": {
+        "affix_rel": "CASE WHEN len(fx_a) = 0 AND len(fx_b) = 0 THEN 0 WHEN len(fx_a) = 0 OR len(fx_b) = 0 THEN 1 WHEN list_sort(fx_a) = list_sort(fx_b) THEN 2 ELSE 3 END",
+        "domain_flag": "dom::INT",
+        "native_flag": "nat",
+        "addr_missing": "(len(atok_a) = 0)::INT + (len(atok_b) = 0)::INT",
+    },
+    "feat_pair_numbers": {
+        "num_rel": "CASE WHEN NOT both_n THEN 0 WHEN list_has_any(x, y) THEN 1 WHEN cut THEN 2 WHEN gap <= 2 THEN 3 WHEN gap <= 20 THEN 4 ELSE 5 END",
+        "num_min_diff": "CASE WHEN both_n THEN ln(1.0::DOUBLE + gap) END",
+        "num_shared": "len(list_intersect(x, y))",
+        "num_unmatched_1": "CASE WHEN both_n THEN len(list_filter(x, lambda i: NOT list_contains(y, i)))::DOUBLE / len(x) END",
+        "num_unmatched_2": "CASE WHEN both_n THEN len(list_filter(y, lambda i: NOT list_contains(x, i)))::DOUBLE / len(y) END",
+    },
+    "feat_retrieval": {c: c for v in candidates.VIEWS for c in (f"{v}_score", f"{v}_rank")} | {c: c for c in ("key_hit", "rrf", "nret")},
+    "feat_list_shape": {
+        "x_rrf_rank": "row_number() OVER (PARTITION BY s1 ORDER BY rrf DESC, src, cid) - 1",
+        "x_rrf_gap": "max(rrf) OVER (PARTITION BY s1) - rrf",
+        "x_n_cands": "count(*) OVER (PARTITION BY s1)",
+    },
+}
+
+
+def _feature_query(columns: dict[str, str]):
+    def run(s, d):
+        return _features(s, d).select("s1", "src", "cid", *[(F.round(c, 6) + 0.0).alias(c) for c in columns])
+
+    return run
+
+
+for _name, _cols in _COLUMNS.items():
+    query(_name, _feature_sql(", ".join(f"round(({sql})::DOUBLE, 6) + 0.0 AS {c}" for c, sql in _cols.items())))(_feature_query(_cols))
 
 
-@query(
-    "feat_set_similarity",
-    f"""WITH {_NAMES_SQL}, c AS (SELECT *, {O.clean('name_a')} AS ca, {O.clean('name_b')} AS cb FROM pn),
-k AS (SELECT *, {O.skeleton('ca')} AS ka, {O.skeleton('cb')} AS kb FROM c),
-g AS (SELECT *, {O.grams("replace(ca, ' ', '')")} AS ga, {O.grams("replace(cb, ' ', '')")} AS gb, {O.grams('ka')} AS sa, {O.grams('kb')} AS sb FROM k)
-SELECT s1, src, cid, round({O.jaccard('ga', 'gb')}, 6) AS gram_jac, round({O.jaccard('sa', 'sb')}, 6) AS skel_jac, round({O.jaccard('tok_a', 'tok_b')}, 6) AS tok_jac,
-  CASE WHEN greatest(length(ca), length(cb)) > 0 THEN round(least(length(ca), length(cb))::DOUBLE / greatest(length(ca), length(cb)), 6) END AS len_ratio,
-  (len(list_filter(list_distinct(tok_a), lambda x: NOT list_contains(tok_b, x))) = 0 AND len(list_filter(list_distinct(tok_b), lambda x: NOT list_contains(tok_a, x))) = 0) AS tok_eq FROM g""",
-)
+@query("feat_token_ratio")
 def _(s, d):
-    ca, cb = X.clean_text(F.col("name_a")), X.clean_text(F.col("name_b"))
-    flat = lambda c: X.char_ngrams(F.replace(c, F.lit(" "), F.lit("")))
-    return _with_names(s, d).select(
-        "s1", "src", "cid",
-        F.round(X.jaccard(flat(ca), flat(cb)), 6).alias("gram_jac"),
-        F.round(X.jaccard(X.char_ngrams(X.skeleton(ca)), X.char_ngrams(X.skeleton(cb))), 6).alias("skel_jac"),
-        F.round(X.jaccard(F.col("tok_a"), F.col("tok_b")), 6).alias("tok_jac"),
-        F.round(features._ratio(F.length(ca), F.length(cb)), 6).alias("len_ratio"),
-        ((F.size(F.array_except("tok_a", "tok_b")) == 0) & (F.size(F.array_except("tok_b", "tok_a")) == 0)).alias("tok_eq"),
-    )
+    """The measures of words and token sets; they have no SQL form."""
+    names = ("name_tsort", "name_tset", "name_me_12", "name_me_21", "name_softtfidf", "alias_best", "addr_me")
+    return _features(s, d).select("s1", "src", "cid", *[F.round(c, 6).alias(c) for c in names])
 
 
 @query(
-    "feat_idf_containment",
-    f"""WITH {_NAMES_SQL}, wt AS (SELECT country, token, ln(nd::DOUBLE / df) AS w FROM token_df JOIN totals USING (country)),
-wa AS (SELECT s1, src, cid, sum(w) AS wa, sum(CASE WHEN list_contains(tok_b, token) THEN w ELSE 0 END) AS sh FROM (SELECT s1, src, cid, country, tok_b, unnest(list_distinct(tok_a)) AS token FROM pn) JOIN wt USING (country, token) GROUP BY ALL),
-wb AS (SELECT s1, src, cid, sum(w) AS wb FROM (SELECT s1, src, cid, country, unnest(list_distinct(tok_b)) AS token FROM pn) JOIN wt USING (country, token) GROUP BY ALL)
-SELECT s1, src, cid, round(CASE WHEN least(wa, wb) > 0 THEN sh / least(wa, wb) END, 6) AS contain, round(CASE WHEN wa > 0 THEN (wa - sh) / wa END, 6) + 0.0 AS unmatched_1, round(CASE WHEN wb > 0 THEN (wb - sh) / wb END, 6) + 0.0 AS unmatched_2 FROM wa JOIN wb USING (s1, src, cid)""",
+    "feat_support",
+    f"""WITH {_FUSE}, prs AS (SELECT * FROM fr WHERE r <= {CFG.max_per_source}), cg AS (SELECT id, {O.grams("replace(CASE WHEN array_to_string(core, ' ') = '' THEN " + O.clean('name') + " ELSE array_to_string(core, ' ') END, ' ', '')")} AS g, {O.grams("replace(" + O.clean('addr') + ", ' ', '')")} AS h FROM core WHERE src > 1),
+b AS (SELECT country, s1, src, cid FROM prs WHERE r = 1)
+SELECT t.s1, t.src, t.cid, CASE WHEN y.g IS NOT NULL THEN round({O.jaccard('x.g', 'y.g')}, 6) END AS x_support_name, CASE WHEN y.g IS NOT NULL THEN round({O.jaccard('x.h', 'y.h')}, 6) END AS x_support_addr FROM prs t JOIN cg x ON x.id = t.cid LEFT JOIN b ON b.country = t.country AND b.s1 = t.s1 AND b.src = 5 - t.src LEFT JOIN cg y ON y.id = b.cid""",
 )
 def _(s, d):
-    rec = B.record_tokens(B.doc_records(s, d))
-    w = features._weights(rec, "tok", corpus.idf(rec), corpus.max_idf(rec).select("country", "max_idf"), None)
-    a, b = (w.select(F.col("id").alias(k), F.col("tok_w").alias(n)) for k, n in (("s1", "wa"), ("cid", "wb")))
-    c, u1, u2 = features.containment(F.col("wa"), F.col("wb"))
-    return _pairs(s, d).join(a, "s1").join(b, "cid").select("s1", "src", "cid", F.round(c, 6).alias("contain"), (F.round(u1, 6) + 0.0).alias("unmatched_1"), (F.round(u2, 6) + 0.0).alias("unmatched_2"))
+    return _features(s, d).select("s1", "src", "cid", F.round("x_support_name", 6).alias("x_support_name"), F.round("x_support_addr", 6).alias("x_support_addr"))
 
 
 @query(
@@ -490,54 +561,6 @@ def _(s, d):
     return li.select("a", "b", "c", metrics.number_relation(x, y).alias("num_rel"), F.round(F.ln(1.0 + metrics.min_gap(x, y)), 6).alias("num_min_diff"), F.size(F.array_intersect(x, y)).cast("long").alias("num_shared"))
 
 
-@query(
-    "feat_edit",
-    f"""WITH {_NAMES_SQL}, c AS (SELECT *, {O.clean('name_a')} AS ca, {O.clean('name_b')} AS cb FROM pn)
-SELECT s1, src, cid, round(CASE WHEN ca = '' OR cb = '' THEN 0.0::DOUBLE ELSE jaro_winkler_similarity(ca, cb) END, 6) AS name_jw, round(CASE WHEN greatest(length(ca), length(cb)) > 0 THEN 1 - levenshtein(ca, cb)::DOUBLE / greatest(length(ca), length(cb)) END, 6) AS name_lev FROM c""",
-)
-def _(s, d):
-    j = _with_names(s, d).select("s1", "src", "cid", X.clean_text(F.col("name_a")).alias("ca"), X.clean_text(F.col("name_b")).alias("cb"))
-    longest = F.greatest(F.length("ca"), F.length("cb"))
-    return j.select("s1", "src", "cid", F.round(K.jaro_winkler("ca", "cb"), 6).alias("name_jw"), F.round(F.when(longest > 0, 1 - F.levenshtein("ca", "cb") / longest), 6).alias("name_lev"))
-
-
-@query("feat_token_ratio")
-def _(s, d):
-    j = _with_names(s, d).select("s1", "src", "cid", X.clean_text(F.col("name_a")).alias("ca"), X.clean_text(F.col("name_b")).alias("cb"))
-    return j.select("s1", "src", "cid", F.round(K.token_sort("ca", "cb"), 6).alias("name_tsort"), F.round(K.token_set("ca", "cb"), 6).alias("name_tset"))
-
-
-@query("feat_all_pairs")
-def _(s, d):
-    """All 52 pair features of the fused candidates."""
-    rec = B.record_tokens(B.doc_records(s, d))
-    return features.featurize(candidates.fuse({"nm": _pairs(s, d)}, None), features.record_view(rec))
-
-
-@query(
-    "feat_list_shape",
-    f"""WITH {O.DOCS},\n{_top_sql('nm')}, r AS (SELECT *, score AS rrf FROM top)
-SELECT s1, src, cid, row_number() OVER (PARTITION BY country, s1 ORDER BY rrf DESC, src, cid) - 1 AS x_rrf_rank, round(max(rrf) OVER (PARTITION BY country, s1) - rrf, 6) AS x_rrf_gap, count(*) OVER (PARTITION BY country, s1) AS x_n_cands FROM r""",
-)
-def _(s, d):
-    got = features.list_features(_retrieve(s, d, "nm").withColumn("rrf", F.col("score")))
-    return got.select("s1", "src", "cid", F.col("x_rrf_rank").cast("long").alias("x_rrf_rank"), F.round("x_rrf_gap", 6).alias("x_rrf_gap"), "x_n_cands")
-
-
-@query(
-    "feat_support",
-    f"""WITH {O.DOCS},\n{_top_sql('nm')}, cg AS (SELECT id, {O.grams("replace(" + O.clean('name') + ", ' ', '')")} AS g FROM rec WHERE src > 1),
-b AS (SELECT country, s1, src, cid FROM (SELECT *, row_number() OVER (PARTITION BY country, s1, src ORDER BY score DESC, cid) AS r FROM top) WHERE r = 1)
-SELECT t.s1, t.src, t.cid, CASE WHEN y.g IS NOT NULL THEN round({O.jaccard('x.g', 'y.g')}, 6) END AS x_support_name FROM top t JOIN cg x ON x.id = t.cid LEFT JOIN b ON b.country = t.country AND b.s1 = t.s1 AND b.src = 5 - t.src LEFT JOIN cg y ON y.id = b.cid""",
-)
-def _(s, d):
-    rec = B.doc_records(s, d)
-    grams = X.char_ngrams(F.replace(X.clean_text(F.col("name")), F.lit(" "), F.lit("")))
-    view = rec.select("country", "src", "id", grams.alias("name_grams"), grams.alias("addr_grams"))
-    got = features.support_features(_retrieve(s, d, "nm").withColumn("rrf", F.col("score")), view)
-    return got.select("s1", "src", "cid", F.round("x_support_name", 6).alias("x_support_name"))
-
-
 # ---- decisions
 @query(
     "meta_features",
@@ -657,21 +680,22 @@ def _(s, d):
 
 @query(
     "blocking_ceiling",
-    f"""WITH {O.DOCS},\n{_top_sql('nm')},\n{_TRUTH}, pt AS (SELECT dt.s1, count(*) AS n_true, count(top.cid) AS tp FROM dt LEFT JOIN top USING (s1, src, cid) GROUP BY dt.s1),
+    f"""WITH {O.PAGES},\n{_top_sql('nm')},\n{_TRUTH}, pt AS (SELECT dt.s1, count(*) AS n_true, count(top.cid) AS tp FROM dt LEFT JOIN top USING (s1, src, cid) GROUP BY dt.s1),
 pc AS (SELECT s1, count(*) AS n_cand FROM top GROUP BY s1), w AS (SELECT rec.id, coalesce(n_true, 0) AS n_true, coalesce(tp, 0) AS tp, coalesce(n_cand, 0) AS n_cand FROM rec LEFT JOIN pt ON pt.s1 = rec.id LEFT JOIN pc ON pc.s1 = rec.id WHERE src = 1)
-SELECT round(sum(tp)::DOUBLE / nullif(sum(n_true), 0), 6) AS pair_recall, round(avg(CASE WHEN n_true > 0 THEN (tp = n_true)::INT::DOUBLE END), 6) AS full_cluster_recall, round(avg(n_cand), 6) AS avg_candidates, round(avg({O.f05('tp', 'tp', 'n_true')}), 6) AS f05_ceiling, round(1 - sum(n_cand)::DOUBLE / (count(*) * 1000), 6) AS reduction_ratio FROM w""",
+SELECT round(sum(tp)::DOUBLE / nullif(sum(n_true), 0), 6) AS pair_recall, round(avg(CASE WHEN n_true > 0 THEN (tp = n_true)::INT::DOUBLE END), 6) AS full_cluster_recall, round(avg(n_cand), 6) AS avg_candidates, round(avg({O.f05('tp', 'tp', 'n_true')}), 6) AS f05_ceiling, round(1 - sum(n_cand)::DOUBLE / (count(*) * (SELECT count(*) FROM rec WHERE src > 1)), 6) AS reduction_ratio FROM w""",
 )
 def _(s, d):
-    ent = B.doc_records(s, d).where("src = 1").select(F.col("id").alias("s1"))
-    return _rounded(metrics.blocking_report(ent, _retrieve(s, d, "nm"), B.doc_truth(s, d), 1000))
+    rec = B.page_rows(s, d)
+    ent = rec.where("src = 1").select(F.col("id").alias("s1"))
+    return _rounded(metrics.blocking_report(ent, _retrieve(s, d, "nm"), B.page_truth(s, d), rec.where("src > 1").count()))
 
 
-@query("recall_at_k", f"WITH {O.DOCS},\n{_top_sql('nm')},\n{_TRUTH}, j AS (SELECT dt.s1, dt.cid, rank FROM dt LEFT JOIN top USING (s1, src, cid)), k(k) AS (VALUES (1), (5), (10)) SELECT k.k, (SELECT count(*) FROM j WHERE rank < k.k) AS hits, (SELECT count(*) FROM j) AS total, round((SELECT count(*) FROM j WHERE rank < k.k)::DOUBLE / nullif((SELECT count(*) FROM j), 0), 6) AS recall FROM k")
+@query("recall_at_k", f"WITH {O.PAGES},\n{_top_sql('nm')},\n{_TRUTH}, j AS (SELECT dt.s1, dt.cid, rank FROM dt LEFT JOIN top USING (s1, src, cid)), k(k) AS (VALUES (1), (5), (10)) SELECT k.k, (SELECT count(*) FROM j WHERE rank < k.k) AS hits, (SELECT count(*) FROM j) AS total, round((SELECT count(*) FROM j WHERE rank < k.k)::DOUBLE / nullif((SELECT count(*) FROM j), 0), 6) AS recall FROM k")
 def _(s, d):
-    return _rounded(metrics.recall_at_k(_retrieve(s, d, "nm"), B.doc_truth(s, d), (1, 5, 10)))
+    return _rounded(metrics.recall_at_k(_retrieve(s, d, "nm"), B.page_truth(s, d), (1, 5, 10)))
 
 
-@query("leak_recall", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) >= 5")
+@query("leak_recall", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''")
 def _(s, d):
     return B.leak_pairs(s, d)
 
@@ -692,17 +716,51 @@ def _(s, d):
     return model.calibrate(rows, model.fit_isotonic(rows)).select("country", "id", "p", "y")
 
 
-@query("error_patterns")
+_REL = "CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 WHEN list_has_any(x, y) THEN 1 WHEN len(list_filter(x, lambda i: len(list_filter(y, lambda j: length(i) > 1 AND length(j) > 1 AND (starts_with(i, j) OR starts_with(j, i) OR ends_with(i, j) OR ends_with(j, i)))) > 0)) > 0 THEN 2 WHEN list_min(list_transform(x, lambda i: list_min(list_transform(y, lambda j: abs(substr(i, 1, 9)::BIGINT - substr(j, 1, 9)::BIGINT))))) <= 2 THEN 3 WHEN list_min(list_transform(x, lambda i: list_min(list_transform(y, lambda j: abs(substr(i, 1, 9)::BIGINT - substr(j, 1, 9)::BIGINT))))) <= 20 THEN 4 ELSE 5 END"
+_PATTERN_SQL = f"""{O.on_pages(O.TOKENS)},
+{_top_sql('nm')},
+{_TRUTH}, pr AS (SELECT top.country, s1, top.src, cid, score AS p, (dt.s1 IS NOT NULL)::INT AS y0 FROM top LEFT JOIN dt USING (s1, src, cid)),
+pj AS (SELECT pr.*, a.name AS qn, b.name AS cn, a.addr AS qa, b.addr AS ca, list_distinct(a.tok) AS ta, list_distinct(b.tok) AS tb FROM pr JOIN tok a ON a.id = s1 JOIN tok b ON b.id = cid),
+pn AS (SELECT *, {O.numbers('qa')} AS x, {O.numbers('ca')} AS y, len(list_intersect(ta, tb)) AS sh FROM pj),
+pp AS (SELECT country, s1, src, cid, p, y0, CASE WHEN trim(qa) = '' OR trim(ca) = '' THEN '{metrics.ADDRESS_PATTERN}' WHEN rel <> 1 THEN [{', '.join(repr(x or '') for x in metrics.NUMBER_PATTERNS)}][rel + 1]
+  WHEN regexp_matches({O.fold('cn')}, '{X.DOMAIN}') OR regexp_matches({O.fold('qn')}, '{X.DOMAIN}') THEN '{metrics.DOMAIN_PATTERN}'
+  WHEN len(ta) + len(tb) = 2 * sh THEN '{metrics.WORD_PATTERNS[0]}' WHEN sh = 0 THEN '{metrics.WORD_PATTERNS[1]}' WHEN len(ta) + len(tb) - 2 * sh <= 2 THEN '{metrics.WORD_PATTERNS[2]}' ELSE '{metrics.WORD_PATTERNS[3]}' END AS pattern
+  FROM (SELECT *, {_REL} AS rel FROM pn))"""
+
+
+def _errors(s, d) -> DataFrame:
+    """Neighbours by name with their truth; those of a cosine of 0.5 or more count as taken."""
+    rec = B.page_rows(s, d)
+    a = rec.select(F.col("id").alias("s1"), F.col("name").alias("name_a"), F.col("addr").alias("addr_a"))
+    b = rec.select(F.col("id").alias("cid"), F.col("name").alias("name_b"), F.col("addr").alias("addr_b"))
+    top = _retrieve(s, d, "nm").join(a, "s1").join(b, "cid").withColumn("p", F.col("score"))
+    return candidates.label(top, B.page_truth(s, d))
+
+
+@query("error_patterns", f"WITH {_PATTERN_SQL}, cnt AS (SELECT CASE WHEN y0 = 1 THEN 'false negative' ELSE 'false positive' END AS kind, pattern, count(*) AS n FROM pp WHERE (p >= 0.5) <> (y0 = 1) GROUP BY ALL) SELECT kind, pattern, n, share FROM (SELECT *, round(n / sum(n) OVER (PARTITION BY kind), 6) AS share, row_number() OVER (PARTITION BY kind ORDER BY n DESC, pattern) AS r FROM cnt) WHERE r <= 8")
 def _(s, d):
-    top = _with_names(s, d)
-    hit = candidates.label(top, B.doc_truth(s, d))
-    kind = F.when(F.col("y") == 1, "hit").otherwise("false positive")
+    hit = _errors(s, d).where((F.col("p") >= 0.5) != (F.col("y") == 1))
+    kind = F.when(F.col("y") == 1, "false negative").otherwise("false positive")
     rows = hit.select(kind.alias("kind"), metrics.error_pattern(F.col("name_a"), F.col("addr_a"), F.col("name_b"), F.col("addr_b")).alias("pattern"))
     return metrics.top_patterns(rows)
 
 
+@query("error_examples", f"WITH {O.PAGES}, {_top_sql('nm')}, {_TRUTH}, e AS (SELECT top.country, s1, top.src, cid, score AS p, CASE WHEN score >= 0.5 AND dt.s1 IS NULL THEN 'false positive' WHEN score < 0.5 AND dt.s1 IS NOT NULL THEN 'false negative' END AS kind FROM top LEFT JOIN dt USING (s1, src, cid)) SELECT * FROM (SELECT kind, row_number() OVER (PARTITION BY country, kind ORDER BY CASE WHEN kind = 'false positive' THEN -p ELSE p END, s1, src, cid) AS rank, country, s1, src, cid, p FROM e WHERE kind IS NOT NULL) WHERE rank <= 5")
+def _(s, d):
+    return metrics.error_examples(_errors(s, d), F.col("p") >= 0.5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("blocking_by_country", f"WITH {O.PAGES}, {_top_sql('nm')}, e AS (SELECT country, count(*) FILTER (src = 1) AS entities, count(*) FILTER (src > 1) AS pool FROM rec GROUP BY country), cnt AS (SELECT country, count(*) AS raw, count(*) FILTER (rank < 5) AS pruned FROM top GROUP BY country) SELECT country, stage, entities, pairs, round(pairs::DOUBLE / entities, 6) AS average, round(1 - pairs::DOUBLE / nullif(entities * pool, 0), 6) AS reduction FROM (SELECT country, entities, pool, unnest(['raw', 'pruned']) AS stage, unnest([coalesce(raw, 0), coalesce(pruned, 0)]) AS pairs FROM e LEFT JOIN cnt USING (country) WHERE entities > 0)")
+def _(s, d):
+    """Candidates per country, as retrieved and after a cut at five a source."""
+    rec, top = B.page_rows(s, d), working.cut(_retrieve(s, d, "nm"), "top")
+    own, pool = rec.where("src = 1"), rec.where("src > 1")
+    parts = [metrics.blocking_stats(own, c, pool).withColumn("stage", F.lit(name)) for name, c in (("raw", top), ("pruned", top.where("rank < 5")))]
+    return _rounded(parts[0].unionByName(parts[1]))
+
+
 # ---- splits
-_FAMILY = f"""{O.core(*AFFIX)}, f0 AS (SELECT id, country, array_to_string(core, ' ') AS cs, name FROM core),
+_FAMILY = f"""{O.on_pages(O.core(*AFFIX))}, f0 AS (SELECT id, country, array_to_string(core, ' ') AS cs, name FROM core),
 f1 AS (SELECT id, country, array_to_string(list_sort(list_filter(string_split({O.skeleton('cs')}, ' '), lambda w: w <> '')), ' ') AS a, {O.skeleton('name')} AS b FROM f0),
 f2 AS (SELECT id, country, CASE WHEN a <> '' THEN a WHEN b <> '' THEN b ELSE '<empty>' END AS family FROM f1),
 fam AS (SELECT id, country, family, ({O.crc32('family')} % 5)::INT AS fold, {O.crc32('family')} % 1000 AS sub FROM f2)"""
@@ -710,17 +768,17 @@ fam AS (SELECT id, country, family, ({O.crc32('family')} % 5)::INT AS fold, {O.c
 
 @query("family_folds", f"WITH {_FAMILY} SELECT country, id, family, fold FROM fam")
 def _(s, d):
-    return splits.families(_core(s, d))
+    return splits.families(_page_core(s, d))
 
 
 @query("fold_split_roles", f"WITH {_FAMILY} SELECT country, id, CASE fold WHEN 0 THEN 'val' WHEN 1 THEN 'm1' WHEN 2 THEN 'm1' WHEN 3 THEN 'pre' ELSE CASE WHEN sub < 500 THEN 'm2' ELSE 'cal' END END AS role FROM fam")
 def _(s, d):
-    return splits.roles(splits.families(_core(s, d)))
+    return splits.roles(splits.families(_page_core(s, d)))
 
 
 @query("sample_by_family", f"WITH {_FAMILY}, z AS (SELECT country, family, count(*) AS m FROM fam GROUP BY ALL), c AS (SELECT *, coalesce(sum(m) OVER (PARTITION BY country ORDER BY md5('1:' || family), family ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z) SELECT fam.country, id, fam.family, fold FROM fam JOIN c ON c.country = fam.country AND c.family = fam.family WHERE before < 20")
 def _(s, d):
-    return splits.sample_by_family(splits.families(_core(s, d)), 20)
+    return splits.sample_by_family(splits.families(_page_core(s, d)), 20)
 
 
 @query("sample_ids", f"WITH {O.DOCS} SELECT country, id FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY md5('1:' || id), id) AS r FROM rec) WHERE r <= 10")
@@ -771,12 +829,13 @@ def _(s, d):
 
 @query("end_to_end_lists")
 def _(s, d):
-    """Retrieve, fuse, prune, score by the fused rank, decide, and list per query record."""
-    cand = _fused(s, d, 20)
+    """Retrieve, fuse, score by the fused rank, prune, decide, and list per query record."""
+    cand = _fused(s, d, CFG.max_per_source)
     p = F.least(F.col("rrf") * 15 + 0.5 * F.col("nm_score"), F.lit(0.99))
-    scored = decide.exclusivity(cand.withColumn("p", p)).drop("p").withColumnRenamed("p_excl", "p")
+    pruned = candidates.prune(cand.withColumn("p", p), CFG.prune_min, CFG.prune_max, CFG.prune_eps)
+    scored = decide.exclusivity(pruned).drop("p").withColumnRenamed("p_excl", "p")
     chosen = decide.apply_decision(scored, decide.decide_expected(scored, arrays=False))
-    ent = B.doc_records(s, d).where("src = 1").select(F.col("id").alias("s1"))
+    ent = B.page_rows(s, d).where("src = 1").select(F.col("id").alias("s1"))
     return T.id_lists(ent, chosen)
 
 

@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinmatch.functions.romanise import romanised
 from kinmatch.operators import candidates, corpus, decide, features, index, metrics, model, splits
-from kinmatch.sources import bindings, tables
+from kinmatch.sources import bindings, tables, working
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,7 @@ class Linkage:
     def block(self, rec: DataFrame) -> DataFrame:
         """Fused candidates (country, s1, src, cid, scores, ranks, rrf) of records."""
         cfg = self.blocking
+        rec = working.cut(romanised(rec), "records")
         views = {s.name: index.retrieve(rec, s, cfg.k, cfg.budget, cfg.min_query_terms, cfg.max_query_terms) for s in self.specs}
         full = bindings.record_tokens(rec)
         keys = candidates.record_keys(corpus.with_core(full, corpus.affixes(full), corpus.affix_bigrams(full)))
@@ -39,7 +41,7 @@ class Linkage:
         return candidates.prune(scored, cfg.prune_min, cfg.prune_max, cfg.prune_eps).withColumnRenamed("p", "pre")
 
     def featurize(self, rec: DataFrame, cand: DataFrame) -> DataFrame:
-        return features.featurize(cand, features.record_view(bindings.record_tokens(rec)))
+        return features.featurize(cand, features.record_view(bindings.record_tokens(romanised(rec))))
 
     def fit(self, feats: DataFrame, roles: DataFrame, names: list[str] | None = None) -> model.Stack:
         return model.fit_stack(feats, roles, names or list(features.PAIR_FEATURES), self.monotone)

@@ -9,8 +9,16 @@ from __future__ import annotations
 from kinmatch.functions import text as X
 
 DOCS = """rec AS (
-  SELECT doc_id AS id, (doc_id % 3 + 1)::INT AS src, coalesce(lang, '') AS country,
-         substr(coalesce(text, ''), 1, 80) AS name, substr(coalesce(text, ''), 81, 80) AS addr FROM documents)"""
+  SELECT id, src, country, text, split_part(text, chr(10), 1) AS name, substr(text, length(split_part(text, chr(10), 1)) + 2) AS addr
+  FROM (SELECT doc_id AS id, (doc_id % 3 + 1)::INT AS src, coalesce(lang, '') AS country, coalesce(text, '') AS text FROM documents))"""
+#: The same relation over pages: it takes the place of DOCS, see ``on_pages``.
+PAGES = """rec AS (
+  SELECT page_id AS id, (page_id % 3 + 1)::INT AS src, regexp_extract(coalesce(url, ''), '^https?://[^/]*/([a-z]*)', 1) AS country,
+         regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS name, coalesce(url, '') AS addr FROM pages)"""
+
+
+def on_pages(sql: str) -> str:
+    return sql.replace(DOCS, PAGES)
 
 
 def fold(c: str) -> str:
@@ -67,9 +75,10 @@ def grams(s: str, n: int = 3) -> str:
 
 
 def jaccard(a: str, b: str) -> str:
+    """Undefined where either side is empty."""
     i = f"len(list_intersect({a}, {b}))"
     u = f"len(list_distinct(list_concat({a}, {b})))"
-    return f"(CASE WHEN {u} > 0 THEN {i}::DOUBLE / {u} END)"
+    return f"(CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN {i}::DOUBLE / {u} END)"
 
 
 TOKENS = f"""{DOCS},
@@ -166,8 +175,11 @@ counts AS (SELECT *, {f05('tp', 'n_pred', 'n_true')} AS f05 FROM counts0)"""
 
 LABELLED = """scored AS (SELECT d.lang AS country, d.doc_id AS id, round((d.n_chars % 97)::DOUBLE / 97.0::DOUBLE * 0.5::DOUBLE + l.quality * 0.4::DOUBLE + 0.05::DOUBLE, 6) AS p, l.quality AS y FROM documents d JOIN labels l USING (doc_id))"""
 
-def crc32(c: str) -> str:
-    """crc32 of ASCII text that is not empty: bytes through the reflected polynomial."""
+def crc32(c: str, salted: bool = False) -> str:
+    """crc32 of ASCII text that is not empty, a salt after it or not: bytes through the reflected
+    polynomial."""
     byte = "list_reduce(list_prepend(xor(h, ch), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
     codes = f"list_transform(string_split({c}, ''), lambda z: ord(z)::BIGINT)"
+    if salted:
+        codes = f"list_concat({codes}, [0, 115, 97, 108, 116]::BIGINT[])"
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda h, ch: {byte}), 4294967295)"

@@ -6,10 +6,14 @@ empty. Country is an open set and a column of every key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmatch.functions import text as X
+from kinmatch.functions.romanise import romanised
 
 VIEWS = {"na": "index", "nm": "name", "ad": "addr", "sk": "skeleton"}
 
@@ -18,23 +22,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _source(c: str) -> F.Column:
+    return (F.col(c) % 3 + 1).cast("int")
+
+
 def doc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records: the first 80 characters are the name, the next 80 the address."""
+    """Documents as records, whole: the first line is the name, all other lines are the address;
+    ``text`` has both."""
     t = F.coalesce(F.col("text"), F.lit(""))
+    first = F.substring_index(t, "\n", 1)
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
-        (F.col("doc_id") % 3 + 1).cast("int").alias("src"),
+        _source("doc_id").alias("src"),
         F.coalesce("lang", F.lit("")).alias("country"),
-        F.substring(t, 1, 80).alias("name"),
-        F.substring(t, 81, 80).alias("addr"),
+        t.alias("text"),
+        first.alias("name"),
+        F.substring(t, F.length(first) + 2, F.length(t)).alias("addr"),
     )
 
 
-def doc_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(s1, src, cid): pool documents whose first 60 letters equal those of a query document."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    key = F.substring(F.regexp_replace(F.lower(t), "[^a-z]", ""), 1, 60)
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3 + 1).cast("int").alias("src"), key.alias("key")).where(F.length("key") == 60)
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as records that are short by nature: the title is the name, the URL the address, the
+    first part of its path the country; romanised where other scripts occur."""
+    url = F.coalesce(F.col("url"), F.lit(""))
+    rows = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"),
+        _source("page_id").alias("src"),
+        F.regexp_extract(url, "^https?://[^/]*/([a-z]*)", 1).alias("country"),
+        F.regexp_extract(F.coalesce("html", F.lit("")), "<title>([^<]*)</title>", 1).alias("name"),
+        url.alias("addr"),
+    )
+    return romanised(rows)
+
+
+def page_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s1, src, cid): pool pages whose title has the same letters as a query page's."""
+    key = F.regexp_replace(F.lower("name"), "[^a-z]", "")
+    rows = page_rows(spark, sf_dir).select("id", "src", key.alias("key")).where("key <> ''")
     a = rows.where("src = 1").select(F.col("id").alias("s1"), "key")
     b = rows.where("src > 1").select(F.col("id").alias("cid"), "src", "key")
     return a.join(b, "key").select("s1", "src", "cid")
@@ -58,20 +82,47 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("country"), F.col("o_orderkey").alias("s1"))
 
 
-def leak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id) of benchmark items of five words or more found in documents.
+#: Characters of benchmark items that one pass over the documents searches for.
+ITEM_CHARS = 32_000_000
+
+
+def leak_pairs(spark: SparkSession, sf_dir: str, most: int = ITEM_CHARS) -> DataFrame:
+    """(item_id, doc_id) of benchmark items found in documents, items of any length.
 
-    Where an item lies, its second to fourth words stand whole between blanks, so documents and
-    items meet on three words; what meets is then searched in full.
+    An automaton over all items reads every document once. Items beyond ``most`` characters, counted
+    first, are searched in further passes, so what a worker holds is bounded.
     """
-    split = lambda c: F.split(c, " ")
-    items = table(spark, sf_dir, "benchmark").where(F.size(split(F.col("text"))) >= 5)
-    heads = items.select("item_id", F.col("text").alias("item"), F.array_join(F.slice(split(F.col("text")), 2, 3), " ").alias("head"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", split(F.col("text")).alias("w")).where(F.size("w") >= 3)
-    three = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))
-    hit = words.select("doc_id", F.explode(F.array_distinct(three)).alias("head")).join(heads, "head").select("doc_id", "item_id", "item")
-    return hit.join(docs, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id").distinct()
+    items = table(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", "text")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    passes = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // most))
+    out = None
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect() if passes > 1 else items.collect()
+        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in part])
+        got = docs.mapInArrow(_found(shared), "item_id long, doc_id long")
+        out = got if out is None else out.unionAll(got)
+    return out
+
+
+def _found(items) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        ids: dict[str, list[int]] = {}
+        for i, t in items.value:
+            ids.setdefault(t, []).append(i)
+        search = ahocorasick.Automaton()
+        for t in ids:
+            search.add_word(t, t)
+        search.make_automaton()
+        for b in batches:
+            rows = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                hit = {x for _, x in search.iter(t)} if ids else ()
+                rows += [(i, d) for x in hit for i in ids[x]]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["item_id", "doc_id"])
+
+    return run
 
 
 def labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from kinmatch.functions import kernels as K
 from kinmatch.functions import text as X
+from kinmatch.functions.romanise import romanised
 from kinmatch.operators import augment, candidates, corpus, decide, features, index, metrics, model, splits
 from kinmatch.plans import oracle_parts as O
 from kinmatch.sources import bindings as B
@@ -268,6 +269,24 @@ def _(s, d):
 for _name, _short in (("topk_name", "nm"), ("topk_addr", "ad"), ("topk_nameaddr", "na"), ("topk_skeleton", "sk")):
     query(_name, O.on_pages(f"WITH {O.DOCS},\n{_top_sql(_short)} SELECT * FROM top"))(lambda s, d, v=_short: _retrieve(s, d, v))
 
+#: Latin letters and Cyrillic ones of the same sound, for ``native_twins``.
+_LATIN, _CYRILLIC = "abdefgiklmnoprstuvwcyh", "абдефгиклмнопрстуввкых"
+
+
+@query("native_twins", "SELECT DISTINCT p_name AS name, p_name AS twin FROM part WHERE NOT regexp_matches(p_name, '[jqxz]')")
+def _(s, d):
+    """Part names in Cyrillic letters as queries against all names in Latin ones: the nearest by
+    skeleton of each."""
+    names = B.table(s, d, "part").select(F.col("p_name").alias("name")).distinct().where(~F.col("name").rlike("[jqxz]"))
+    rows = names.select(F.crc32(F.col("name").cast("binary")).alias("id"), "name", F.lit("").alias("addr"), F.lit("all").alias("country"))
+    native = rows.withColumn("name", F.translate("name", _LATIN, _CYRILLIC)).withColumn("src", F.lit(1))
+    rec = working.cut(romanised(rows.withColumn("src", F.lit(2)).unionByName(native)), "twins")
+    top = index.retrieve(rec, replace(SPECS["sk"], max_df_frac=1.0), 1)
+    twin = rec.where("src = 2").select(F.col("id").alias("cid"), F.col("name").alias("twin"))
+    own = rows.select(F.col("id").alias("s1"), "name")
+    return top.join(own, "s1").join(twin, "cid").select("name", "twin")
+
+
 _KEYS = f"""{O.on_pages(O.core(*AFFIX))},
 ck1 AS (SELECT id, src, country, core, {O.numbers('addr')} AS nums, core[1] AS c1, array_to_string(core, ' ') AS cs FROM core WHERE len(core) > 0),
 ck2 AS (SELECT *, {O.skeleton('c1')} AS sk1, array_to_string(list_sort(list_filter(string_split({O.skeleton('cs')}, ' '), lambda w: w <> '')), ' ') AS sks FROM ck1),

@@ -11,7 +11,8 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 ORACLES = (
     "norm_tokens", "norm_skeleton", "norm_numbers", "corpus_idf", "corpus_affix_bigram", "core_tokens", "query_prune_budget",
-    "topk_name", "key_candidates", "two_hop_expand", "label_left_join", "prune_adaptive", "feat_edit", "feat_support",
+    "topk_name", "key_candidates", "two_hop_expand", "label_left_join", "prune_adaptive", "feat_set_similarity", "feat_pair_numbers", "native_twins",
+    "char_ngrams_set", "word_ngrams", "leak_recall", "error_patterns", "blocking_ceiling",
     "meta_features", "decide_expected_f", "search_rule_grid", "macro_f05", "family_folds", "sample_by_family",
     "test_mix_weights", "write_id_lists",
 )
@@ -30,6 +31,17 @@ def test_query_equals_oracle(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_items_of_any_length_are_found(spark, tmp_path):
+    from kinmatch.sources import bindings
+
+    items = [(1, "a b c d e f"), (2, "lo"), (3, "zz"), (4, "a b c d e f"), (5, "")]
+    docs = [(1, "xx a b c d e f yy"), (2, "hello"), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for most in (1000, 8):
+        assert sorted(map(tuple, bindings.leak_pairs(spark, str(tmp_path), most).collect())) == [(1, 1), (2, 2), (4, 1)]
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

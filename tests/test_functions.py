@@ -86,6 +86,21 @@ def test_romanised_scripts_meet_latin(spark):
     assert one(spark, fold_full(F.col("v")), v="Éa") == "ea"
 
 
+@pytest.mark.parametrize("a, b, want", [([], [], None), (["x"], [], None), ([], ["x"], None), (["x"], ["x", "y"], 0.5), (["x", "x"], ["x"], 1.0)])
+def test_jaccard_is_undefined_where_a_side_is_empty(spark, a, b, want):
+    df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
+    assert df.select(X.jaccard(F.col("a"), F.col("b")).alias("j")).first().j == want
+
+
+def test_records_in_other_scripts_get_words_and_skeletons(spark):
+    from kinmatch.functions.romanise import romanised
+
+    df = spark.createDataFrame([(1, "Москва Бар", "ул. 7"), (2, "Éa Bar", "rue 7"), (3, None, None)], "id long, name string, addr string")
+    got = {r.id: r for r in romanised(df).select("id", "native", X.tokens(F.col("name")).alias("t"), X.skeleton(F.col("name")).alias("k"), X.house_numbers(F.col("addr")).alias("n")).collect()}
+    assert got[1].native and not got[2].native and len(got[1].t) == 2 and got[1].k.split()[0] == "mskv" and got[1].n == ["7"]
+    assert got[2].t == ["ea", "bar"] and got[3].t == []
+
+
 @pytest.mark.parametrize("a, b, want", [("martha", "marhta", 0.961111), ("dixon", "dicksonx", 0.813333), ("", "", 0.0), ("a", "", 0.0), ("abc", "abc", 1.0), ("abc", "xyz", 0.0)])
 def test_jaro_winkler(a, b, want):
     assert K.jaro_winkler_text(a, b) == pytest.approx(want, abs=1e-6)

@@ -10,13 +10,14 @@ every order, and sizes fit. Steps:
    exact copies cost nothing further. The same pass counts tokens that repeat within a slice of
    ``SLICE`` tokens; the most frequent of the whole corpus, at most ``HEAVY`` of them, weigh the
    orders. Any table gives right results: it only moves frequent tokens out of the prefixes.
-2. Prefixes under each order. Those of the first are dealt out by token; a token with at most
+2. Prefixes under each order. Those of the first are dealt out by token, once; only tokens that
+   are among the most frequent are counted first, so that a join can split them. A token with at most
    ``BUCKET`` nodes gives pairs of fitting size, which must also share prefix tokens under the
    other orders. A token with more nodes gives no pairs: it links each of them with one of them.
 3. These candidate links tell the groups within which all links lie. A group of at most ``BLOCK``
    nodes meets once and is compared in full by matrix products. A larger one meets in blocks, each
    node in one; of what a block links one node stays and meets the others' in the next round, so a
-   family of near copies shrinks to one node however large it is, and each set moves about once.
+   family of near copies shrinks to one node however large it is, and each text moves about once.
 4. What is left of larger groups are nodes of different components that still share a prefix
    token. The largest component of such a rest needs no comparison within itself: its nodes meet
    the others in blocks, and the others meet each other.
@@ -38,6 +39,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -180,7 +182,8 @@ class _Once(set):
 
 
 def _cards(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
-    """(node, n, digest, p0, p1, ...): prefixes under the first order, and 32 bits of the others' tokens."""
+    """(node, n, digest, p0, h0, p1, ...): prefixes under the first order, tokens that are among the
+    most frequent apart from the rest, and 32 bits of the others' tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = _Once()
@@ -190,19 +193,21 @@ def _cards(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
                 s = shingles(t, n)
                 if i is not None and len(s) and once.first(i, d := digest(s)):
                     first, *others = orders.value.prefixes(s, percent)
-                    rows.append((i, len(s), d, first.view(np.int64), [o.astype(np.uint32).view(np.int32) for o in others]))
+                    often = orders.value.levels(first) > 0
+                    rows.append((i, len(s), d, first[~often].view(np.int64), first[often].view(np.int64), [o.astype(np.uint32).view(np.int32) for o in others]))
             yield pa.record_batch(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.int32()),
                     pa.array([r[2] for r in rows], pa.binary()),
                     pa.array([r[3] for r in rows], pa.list_(pa.int64())),
-                    *[pa.array([r[4][k] for r in rows], pa.list_(pa.int32())) for k in range(ORDERS - 1)],
+                    pa.array([r[4] for r in rows], pa.list_(pa.int64())),
+                    *[pa.array([r[5][k] for r in rows], pa.list_(pa.int32())) for k in range(ORDERS - 1)],
                 ],
-                names=["node", "n", "digest", "p0", *[f"p{k}" for k in range(1, ORDERS)]],
+                names=["node", "n", "digest", "p0", "h0", *[f"p{k}" for k in range(1, ORDERS)]],
             )
 
-    kind = "node long, n int, digest binary, p0 array<long>, " + ", ".join(f"p{k} array<int>" for k in range(1, ORDERS))
+    kind = "node long, n int, digest binary, p0 array<long>, h0 array<long>, " + ", ".join(f"p{k} array<int>" for k in range(1, ORDERS))
     return _texts(docs).mapInArrow(run, kind)
 
 
@@ -219,15 +224,27 @@ def _fits(u: str, v: str, percent: int) -> F.Column:
     return 100 * F.least(u, v) >= percent * F.greatest(u, v)
 
 
+def _counted(cards: DataFrame) -> DataFrame:
+    """(token, node, n, m): the prefix tokens under the first order that m > 1 nodes have.
+
+    A token that is not among the most frequent is either less than ``REPEATS`` times in every
+    slice or rarer than ``HEAVY`` others, so all its rows fit one task and move once. Those of the
+    most frequent are counted before they move and meet their count in a join that can be split.
+    """
+    rare = cards.select("node", "n", F.explode("p0").alias("token")).withColumn("m", F.count("*").over(Window.partitionBy("token")))
+    often = cards.select("node", "n", F.explode("h0").alias("token"))
+    often = often.join(often.groupBy("token").agg(F.count("*").alias("m")), "token")
+    return rare.unionByName(often).where("m > 1")
+
+
 def _candidates(cards: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(pairs (u, v) that pass every order, rows (token, node) of tokens with more nodes)."""
-    rows = cards.select("node", "n", F.explode("p0").alias("token"))
-    sizes = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    counted = C.cut(rows.join(sizes, "token"), "join-tokens")
+    counted = C.cut(_counted(cards), "join-tokens")
     few = counted.where(F.col("m") <= BUCKET).select("token", "node", "n")
     a = few.select("token", F.col("node").alias("u"), F.col("n").alias("n_u"))
     b = few.select("token", F.col("node").alias("v"), F.col("n").alias("n_v"))
-    pairs = a.join(b, "token").where((F.col("u") < F.col("v")) & _fits("n_u", "n_v", percent)).select("u", "v").distinct()
+    pairs = C.cut(a.join(b, "token").where((F.col("u") < F.col("v")) & _fits("n_u", "n_v", percent)).select("u", "v").distinct(), "join-pairs")
+    cards = _some_of(cards, pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))))
     others = [f"p{k}" for k in range(1, ORDERS)]
     card_u = cards.select(F.col("node").alias("u"), *[F.col(p).alias(f"{p}_u") for p in others])
     card_v = cards.select(F.col("node").alias("v"), *[F.col(p).alias(f"{p}_v") for p in others])
@@ -258,8 +275,21 @@ def _members(nodes: DataFrame):
     return bits
 
 
+def _some_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of at least the given nodes; what is left out need not move."""
+    bits = rows.sparkSession.sparkContext.broadcast(_members(nodes))
+
+    @F.pandas_udf("boolean")
+    def held(h: pd.Series) -> pd.Series:
+        at = h.to_numpy()
+        return pd.Series((bits.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+
+    return rows.where(held(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).cast("long")))
+
+
 def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, digest, n, tokens) of at least the given nodes; equal rows of a task once."""
+    """(node, digest, text) of at least the given nodes; equal rows of a task once. Texts move, as
+    they take less room than their sets."""
     bits = docs.sparkSession.sparkContext.broadcast(_members(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,12 +302,12 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(t, n)
                 if once.first(i, d := digest(s)):
-                    rows.append((i, d, len(s), s.tobytes()))
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary())
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["node", "digest", "n", "tokens"])
+                    rows.append((i, d, t))
+            kinds = (pa.int64(), pa.binary(), pa.string())
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["node", "digest", "text"])
 
     rows = _texts(docs).where("doc_id IS NOT NULL").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("long"))
-    return rows.mapInArrow(run, "node long, digest binary, n int, tokens binary")
+    return rows.mapInArrow(run, "node long, digest binary, text string")
 
 
 def forest(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -324,7 +354,7 @@ def forest(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
     return [(nodes[find(i)], nodes[i]) for i in range(m) if root[i] != i]
 
 
-def _forests(percent: int) -> callable:
+def _forests(n: int, percent: int) -> callable:
     """Links of every block; the rows of a block follow each other, equal ones side by side."""
 
     def links(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -334,14 +364,14 @@ def _forests(percent: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets, last = None, [], [], None
         for b in batches:
-            for k, i, d, raw in zip(*(c.to_pylist() for c in b.columns)):
+            for k, i, d, t in zip(*(c.to_pylist() for c in b.columns)):
                 if k != key:
                     if len(nodes) > 1:
                         yield links(nodes, sets)
                     key, nodes, sets, last = k, [], [], None
                 if (i, d) != last:
                     nodes.append(i)
-                    sets.append(np.frombuffer(raw, dtype=np.uint64))
+                    sets.append(shingles(t, n))
                     last = i, d
         if len(nodes) > 1:
             yield links(nodes, sets)
@@ -349,17 +379,17 @@ def _forests(percent: int) -> callable:
     return run
 
 
-def _compared(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of the blocks (node, digest, block)."""
-    dealt = sets.join(blocks, ["node", "digest"]).select("block", "node", "digest", "tokens")
-    return dealt.repartition(C.partitions(sets.sparkSession), "block").sortWithinPartitions("block", "node", "digest").mapInArrow(_forests(percent), "u long, v long")
+def _compared(sets: DataFrame, blocks: DataFrame, rule: tuple[int, int]) -> DataFrame:
+    """Links (u, v) of the blocks (node, digest, block); ``rule`` is (n, percent)."""
+    dealt = sets.join(blocks, ["node", "digest"]).select("block", "node", "digest", "text")
+    return dealt.repartition(C.partitions(sets.sparkSession), "block").sortWithinPartitions("block", "node", "digest").mapInArrow(_forests(*rule), "u long, v long")
 
 
 def _bucket(salt: int, parts) -> F.Column:
     return F.pmod(F.xxhash64("node", F.lit(salt)), parts).cast("int")
 
 
-def _shrunk(sets: DataFrame, rows: DataFrame, percent: int) -> list[DataFrame]:
+def _shrunk(sets: DataFrame, rows: DataFrame, rule: tuple[int, int]) -> list[DataFrame]:
     """Tables of links (u, v) of large groups (node, digest, g): each round deals every node that
     is left to one block, and of what a block links one node stays."""
     out: list[DataFrame] = []
@@ -368,14 +398,14 @@ def _shrunk(sets: DataFrame, rows: DataFrame, percent: int) -> list[DataFrame]:
         parts = F.ceil(F.col("m") / BLOCK).cast("int")
         dealt = rows.join(size, "g").select("node", "digest", "g", "m", F.concat_ws(":", "g", _bucket(k, parts)).alias("block"))
         dealt = C.cut(dealt, "join-round")
-        links = C.cut(_compared(sets, dealt.select("node", "digest", "block"), percent), "join-links")
+        links = C.cut(_compared(sets, dealt.select("node", "digest", "block"), rule), "join-links")
         out.append(links)
         # groups that met whole are done; so are rounds that no longer shrink what is left
         rows = dealt.where(F.col("m") > BLOCK).select("node", "digest", "g")
-        n = rows.count()
+        before = rows.count()
         rows = C.cut(rows.join(links.select(F.col("v").alias("node")).distinct(), "node", "left_anti"), "join-left")
         C.drop_cut(sets.sparkSession, dealt)
-        if not n or rows.count() > 0.9 * n:
+        if not before or rows.count() > 0.9 * before:
             break
     return out
 
@@ -419,24 +449,24 @@ def _placed(rest: DataFrame, percent: int) -> DataFrame:
 
 def _verified(docs: DataFrame, cards: DataFrame, passed: DataFrame, many: DataFrame, n: int, percent: int) -> DataFrame:
     """Links (u, v) that span every component, from full comparisons."""
-    spark = docs.sparkSession
+    spark, rule = docs.sparkSession, (n, percent)
     groups = graph.components(C.cut(passed.unionAll(_stars(many)), "join-candidates"))
     C.release(spark)
     rows = C.cut(cards.select("node", "digest", "n").join(groups.withColumnRenamed("component", "g"), "node"), "join-groups")
     size = C.cut(rows.groupBy("g").agg(F.count("*").alias("m")), "join-sizes")
     small, large = (rows.join(size.where(c), "g", "left_semi") for c in (F.col("m") <= BLOCK, F.col("m") > BLOCK))
-    links = [C.cut(_compared(_sets_of(docs, rows, n), small.select("node", "digest", F.col("g").cast("string").alias("block")), percent), "join-links")]
+    links = [C.cut(_compared(_sets_of(docs, rows, n), small.select("node", "digest", F.col("g").cast("string").alias("block")), rule), "join-links")]
     C.release(spark)
     if size.where(F.col("m") > BLOCK).limit(1).count():
         large = C.cut(large, "join-large")
-        sets = C.cut(_sets_of(docs, large, n).join(large.select("node", "digest").distinct(), ["node", "digest"], "left_semi"), "join-sets").drop("n")
-        links += _shrunk(sets, large.select("node", "digest", "g"), percent)
+        sets = C.cut(_sets_of(docs, large, n).join(large.select("node", "digest").distinct(), ["node", "digest"], "left_semi"), "join-sets")
+        links += _shrunk(sets, large.select("node", "digest", "g"), rule)
         found = links[1]
         for x in links[2:]:
             found = found.unionAll(x)
         rest = _rest(large.select("node", "digest"), passed, many, graph.components(C.cut(found, "join-found")))
         rest = C.cut(rest.join(large.select("node", "digest", "n"), ["node", "digest"]), "join-rest")
-        links.append(C.cut(_compared(sets, _placed(rest, percent), percent), "join-links"))
+        links.append(C.cut(_compared(sets, _placed(rest, percent), rule), "join-links"))
     out = links[0]
     for x in links[1:]:
         out = out.unionAll(x)

@@ -36,6 +36,7 @@ rows; only doc_id and text are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,25 +60,12 @@ BUCKET = 64
 BLOCK = 256
 #: Rounds in which a large group shrinks.
 ROUNDS = 4
-#: Words whose hashes a worker keeps.
-KEEP = 500_000
 #: Bits of the filter that tells which texts are read again.
 FILTER_BITS = 1 << 24
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEEP:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
     x = x * np.uint64(0xFF51AFD7ED558CCD)
@@ -86,20 +74,60 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _values(key: np.ndarray) -> np.ndarray:
+    return _mix((key.astype(np.uint64) + np.uint64(1)) * _ODD[0])
+
+
+#: Values of every byte at the first places of a word; those of later ones are computed.
+PLACES = 64
+_first_values = _values(np.arange(PLACES << 8))
+
+
+#: Bytes of a text that are hashed at once, and what may end such a piece.
+PIECE, _BLANKS = 1 << 20, re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the words in order; a long text in pieces of whole words, which bounds the memory."""
+    pieces, at = [], 0
+    while len(text) - at > PIECE and (blank := _BLANKS.search(text, at + PIECE)):
+        pieces.append(_piece_hashes(text[at : blank.start()]))
+        at = blank.start()
+    return np.concatenate([*pieces, _piece_hashes(text[at:])])
+
+
+def _piece_hashes(text: bytes) -> np.ndarray:
+    """The sum of what each byte of a word is worth at its place."""
+    raw = np.frombuffer(text, dtype=np.uint8)
+    inside = ~_BLANK[raw]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    length = edges[1::2] - edges[::2]
+    if not len(length):
+        return np.zeros(0, dtype=np.uint64)
+    start = np.cumsum(length) - length
+    key = raw[inside] + ((np.arange(int(length.sum())) - np.repeat(start, length)) << 8)
+    return _mix(np.add.reduceat(_first_values[key] if length.max() <= PLACES else _values(key), start))
+
+
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles of a whole text; A-Z count as a-z.
 
-    ``bytes.lower`` and ``bytes.split`` know ASCII letters and blanks only, as the rule wants.
+    ``bytes.lower`` knows ASCII letters only, as the rule wants.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = word_hashes((text or "").encode().lower())
+    if not len(h):
+        return h
     width = min(n, len(h))
     out = np.full(len(h) - width + 1, width, dtype=np.uint64)
     for k in range(width):
-        out = _mix(out * _ODD[4] + h[k : len(h) - width + 1 + k] * _ODD[k % 4])
-    return np.unique(out)
+        out = out * _ODD[4] + h[k : len(h) - width + 1 + k]
+    out = _mix(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def digest(tokens: np.ndarray) -> bytes:
@@ -117,12 +145,17 @@ class Orders:
         at = np.argsort(tokens)
         self.tokens = tokens[at]
         self.level = np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(counts[at], 1)))).astype(np.uint64)
+        # most tokens are not here, which their first bits mostly tell
+        self.some = np.zeros(1 << 20, dtype=bool)
+        self.some[self.tokens >> np.uint64(44)] = True
 
     def levels(self, tokens: np.ndarray) -> np.ndarray:
-        if not len(self.tokens):
-            return np.zeros(len(tokens), dtype=np.uint64)
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == tokens, self.level[at], np.uint64(0))
+        out = np.zeros(len(tokens), dtype=np.uint64)
+        maybe = np.flatnonzero(self.some[tokens >> np.uint64(44)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.tokens, tokens[maybe]), len(self.tokens) - 1)
+            out[maybe] = np.where(self.tokens[at] == tokens[maybe], self.level[at], np.uint64(0))
+        return out
 
     def prefixes(self, tokens: np.ndarray, percent: int) -> list[np.ndarray]:
         """For each order the tokens up to the last of its prefix, ties included."""

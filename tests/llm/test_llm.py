@@ -732,3 +732,21 @@ def test_queries_equal_their_oracles(spark, name):
     want = con.sql(registry.oracle_sql()[name]).df()[list(got.columns)]
     rows = lambda d: sorted(map(str, d.itertuples(index=False, name=None)))
     assert rows(got) == rows(want)
+
+
+def test_word_hashes_tell_the_words_apart_in_texts_of_any_length(monkeypatch):
+    rng = random.Random(21)
+    texts = ["", " \t\n", "a", "x\x0by\x0cz", "b " + "a" * 300, "é é é", "a b a"]
+    texts += [" ".join("ab"[rng.randrange(2)] * rng.randrange(1, 90) for _ in range(rng.randrange(400))) for _ in range(50)]
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(ngram_join, "PIECE", piece)
+        known = {}
+        for t in texts:
+            words = t.encode().split()
+            got = ngram_join.word_hashes(t.encode()).tolist()
+            assert len(got) == len(words)
+            for w, h in zip(words, got):
+                assert known.setdefault(w, h) == h
+            n = len({tuple(words[i : i + 4]) for i in range(max(1, len(words) - 3))}) if words else 0
+            assert len(ngram_join.shingles(t, 4)) == n
+        assert len(set(known.values())) == len(known)

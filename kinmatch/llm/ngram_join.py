@@ -175,7 +175,11 @@ def _scan(n: int) -> callable:
         return pa.record_batch(list(cols), names=["doc_id", "n", "digest", "token"])
 
     def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        slice_ = np.concatenate(held)
+        held.clear()  # sorted in place, so a slice is held once
+        slice_.sort()
+        edges = np.flatnonzero(np.concatenate(([True], slice_[1:] != slice_[:-1], [True])))
+        tokens, counts = slice_[edges[:-1]], np.diff(edges)
         some = counts >= REPEATS
         tokens, counts = tokens[some].view(np.int64), counts[some]
         k = len(tokens)
@@ -192,8 +196,8 @@ def _scan(n: int) -> callable:
                 size += len(s)
                 if size >= SLICE:
                     yield repeated(held)
-                    held, size = [], 0
-        if held:
+                    size = 0
+        if size:
             yield repeated(held)
 
     return run

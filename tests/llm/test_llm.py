@@ -17,6 +17,7 @@ from kinmatch.llm import common as C
 from kinmatch.llm import (
     bpe,
     exact_dedup,
+    graph,
     html_main,
     lm_score,
     mixing,
@@ -377,6 +378,52 @@ def test_prefixes_never_miss_a_link():
                 assert len(np.intersect1d(x, y))
 
 
+def test_counts_of_tokens_do_not_depend_on_slices(spark, monkeypatch):
+    """A token that each slice has but once is as frequent as one that a single slice repeats."""
+    rows = [(i, f"one two three four w{i}a w{i}b w{i}c") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    often = ngram_join.shingles("one two three four", 4)
+    for slice_, parts in ((8, 20), (8_000_000, 1)):
+        monkeypatch.setattr(ngram_join, "SLICE", slice_)
+        both = docs.repartition(parts).select("doc_id", "text").mapInArrow(ngram_join._scan(4), "doc_id long, n long, digest binary, shard int, cells binary").cache()
+        orders = ngram_join._orders(both.where("shard IS NOT NULL").select("shard", "cells"))
+        assert both.where("shard IS NULL").count() == 40
+        assert orders.levels(often)[0] >= ngram_join.level_of(np.array([40]))[0]
+        assert np.median(orders.levels(ngram_join.shingles(rows[3][1], 4))) == 1
+        first = orders.prefixes(ngram_join.shingles(rows[3][1], 4), 85)[0]
+        assert often[0] not in first
+    cells = np.sort(np.random.default_rng(1).integers(0, ngram_join.CELLS, 5000).astype(np.uint32))
+    assert np.concatenate([ngram_join.unpacked(c) + s * ngram_join.SHARD for s, c in ngram_join.packed(cells)]).tolist() == cells.tolist()
+
+
+def test_components_merge_links_instead_of_walking_them(spark, monkeypatch):
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(999, k) for k in range(500, 540)] + [(7, 7)]
+    root = {x: x for e in links for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    sizes = []
+    cut = C.cut
+
+    def counting(df, tag):
+        out = cut(df, tag)
+        if tag == "cc-edges":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "cut", counting)
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {x: find(x) for u, v in links if u != v for x in (u, v)}
+    assert sizes[-1] == 0 and sum(sizes) < 2 * sizes[0] and len(sizes) < 8
+
+
 def texts_with(rng, *more):
     w = [rng.choice(WORDS) for _ in range(6)] + list(more)
     rng.shuffle(w)

@@ -7,11 +7,11 @@ in how they permute tokens equally frequent; a pair is a candidate only if it pa
 every order, and sizes fit. Steps:
 
 1. Equal sets collapse into one node (128-bit digests; partial minima before the shuffle), so
-   exact copies cost nothing further. The same pass counts tokens that repeat within a slice of
-   ``SLICE`` tokens; the most frequent of the whole corpus, at most ``HEAVY`` of them, weigh the
-   orders. Any table gives right results: it only moves frequent tokens out of the prefixes.
-2. Prefixes under each order. Those of the first are dealt out by token, once; only tokens that
-   are among the most frequent are counted first, so that a join can split them. A token with at most
+   exact copies cost nothing further. The same pass counts every token of the whole corpus in one
+   of ``CELLS`` cells, some one or two bytes a token to move; the logarithms of these counts weigh the
+   orders. Any counts give right results: they only move frequent tokens out of the prefixes.
+2. Prefixes under each order. Those of the first are dealt out by token, once; only tokens whose
+   cell has ``OFTEN`` or more are counted first, so that a join can split them. A token with at most
    ``BUCKET`` nodes gives pairs of fitting size, which must also share prefix tokens under the
    other orders. A token with more nodes gives no pairs: it links each of them with one of them.
 3. These candidate links tell the groups within which all links lie. A group of at most ``BLOCK``
@@ -37,6 +37,7 @@ rows; only doc_id and text are read, so other columns cannot clash.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,10 +53,13 @@ from kinmatch.llm import graph
 #: Words of a shingle and the similarity of a link, where a caller names none.
 N, PERCENT = 5, 80
 ORDERS = 3
-HEAVY = 1 << 18
+#: Cells that count tokens, and the parts in which they are added up.
+CELL_BITS, SHARD_BITS = 25, 6
+CELLS, SHARD = 1 << CELL_BITS, 1 << (CELL_BITS - SHARD_BITS)
+#: Tokens whose cells a task holds before it hands them on.
 SLICE = 8_000_000
-#: How often a slice must hold a token for it to be counted.
-REPEATS = 3
+#: From this count on the rows of a token need not fit one task.
+OFTEN = 1024
 BUCKET = 64
 BLOCK = 256
 #: Rounds in which a large group shrinks.
@@ -138,29 +142,35 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def cell_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.uint32)
+
+
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """0 for what was never seen, then eight steps to a doubling."""
+    return np.where(counts > 0, np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(counts, 1)))), 0).astype(np.uint8)
+
+
 class Orders:
-    """The global orders: by how frequent a token is, then by a hash of its own for each order."""
+    """The global orders: by how frequent the cell of a token is, then by a hash of its own for
+    each order."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        at = np.argsort(tokens)
-        self.tokens = tokens[at]
-        self.level = np.minimum(255, 1 + np.floor(8 * np.log2(np.maximum(counts[at], 1)))).astype(np.uint64)
-        # most tokens are not here, which their first bits mostly tell
-        self.some = np.zeros(1 << 20, dtype=bool)
-        self.some[self.tokens >> np.uint64(44)] = True
+        self.level = level_of(np.bincount(cell_of(tokens), weights=counts, minlength=CELLS))
 
-    def levels(self, tokens: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(tokens), dtype=np.uint64)
-        maybe = np.flatnonzero(self.some[tokens >> np.uint64(44)])
-        if len(maybe):
-            at = np.minimum(np.searchsorted(self.tokens, tokens[maybe]), len(self.tokens) - 1)
-            out[maybe] = np.where(self.tokens[at] == tokens[maybe], self.level[at], np.uint64(0))
+    @classmethod
+    def of_levels(cls, level: np.ndarray) -> Orders:
+        out = cls.__new__(cls)
+        out.level = level
         return out
 
+    def levels(self, tokens: np.ndarray) -> np.ndarray:
+        return self.level[cell_of(tokens)]
+
     def prefixes(self, tokens: np.ndarray, percent: int) -> list[np.ndarray]:
         """For each order the tokens up to the last of its prefix, ties included."""
         p = prefix_size(len(tokens), percent)
-        level = self.levels(tokens) << np.uint64(56)
+        level = self.levels(tokens).astype(np.uint64) << np.uint64(56)
         out = []
         for k in range(ORDERS):
             key = level | (_mix(tokens ^ _ODD[k]) >> np.uint64(8))
@@ -168,41 +178,82 @@ class Orders:
         return out
 
 
+def packed(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(shard, bytes) of sorted cells: their steps, low bytes first, which are nearly all that is
+    not zero."""
+    ends = np.searchsorted(cells, np.arange(0, CELLS + 1, SHARD))
+    for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+        if hi > lo:
+            steps = np.diff(cells[lo:hi], prepend=np.uint32(k * SHARD))
+            yield k, zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(part: bytes) -> np.ndarray:
+    """The places of the cells within their shard."""
+    steps = np.frombuffer(zlib.decompress(part), dtype=np.uint8).reshape(4, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view(np.uint32)[:, 0], dtype=np.int64)
+
+
 def _scan(n: int) -> callable:
-    """A row a document (doc_id, n, digest), and rows (token, count) of tokens that repeat."""
+    """A row a document (doc_id, n, digest), and rows (shard, cells) of its slices' tokens."""
 
     def rows(*cols: pa.Array) -> pa.RecordBatch:
-        return pa.record_batch(list(cols), names=["doc_id", "n", "digest", "token"])
+        return pa.record_batch(list(cols), names=["doc_id", "n", "digest", "shard", "cells"])
 
-    def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
-        slice_ = np.concatenate(held)
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells = np.concatenate(held)
         held.clear()  # sorted in place, so a slice is held once
-        slice_.sort()
-        edges = np.flatnonzero(np.concatenate(([True], slice_[1:] != slice_[:-1], [True])))
-        tokens, counts = slice_[edges[:-1]], np.diff(edges)
-        some = counts >= REPEATS
-        tokens, counts = tokens[some].view(np.int64), counts[some]
-        k = len(tokens)
-        return rows(pa.nulls(k, pa.int64()), pa.array(counts, pa.int64()), pa.nulls(k, pa.binary()), pa.array(tokens))
+        cells.sort()
+        parts = list(packed(cells))
+        k = len(parts)
+        return rows(pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([s for s, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         for b in batches:
             sets = [shingles(t, n) for t in b.column(1).to_pylist()]
-            yield rows(b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.int64()))
+            k = len(sets)
+            yield rows(b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()))
             for s in sets:
-                held.append(s)
+                held.append(cell_of(s))
                 size += len(s)
                 if size >= SLICE:
-                    yield repeated(held)
+                    yield counted(held)
                     size = 0
         if size:
-            yield repeated(held)
+            yield counted(held)
 
     return run
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, levels) from the rows (shard, cells) of a task, which come by shard."""
+
+    def row(shard: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([shard], pa.int32()), pa.array([level_of(counts).tobytes()], pa.binary())], names=["shard", "levels"])
+
+    last, counts = None, None
+    for b in batches:
+        for shard, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if shard != last:
+                if last is not None:
+                    yield row(last, counts)
+                last, counts = shard, np.zeros(SHARD, dtype=np.int64)
+            counts += np.bincount(unpacked(part), minlength=SHARD)
+    if last is not None:
+        yield row(last, counts)
+
+
+def _orders(parts: DataFrame) -> Orders:
+    """The orders from all rows (shard, cells): a byte a cell at the driver, whatever the corpus."""
+    dealt = parts.repartition(C.partitions(parts.sparkSession), "shard").sortWithinPartitions("shard")
+    level = np.zeros(CELLS, dtype=np.uint8)
+    for r in dealt.mapInArrow(_sums, "shard int, levels binary").collect():
+        level[r.shard * SHARD : (r.shard + 1) * SHARD] = np.frombuffer(r.levels, dtype=np.uint8)
+    return Orders.of_levels(level)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text")
 
@@ -219,8 +270,9 @@ class _Once(set):
 
 
 def _cards(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
-    """(node, n, digest, p0, h0, p1, ...): prefixes under the first order, tokens that are among the
-    most frequent apart from the rest, and 32 bits of the others' tokens."""
+    """(node, n, digest, p0, h0, p1, ...): prefixes under the first order, tokens that may be
+    frequent apart from the rest, and 32 bits of the others' tokens."""
+    limit = level_of(np.array([OFTEN]))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = _Once()
@@ -230,7 +282,7 @@ def _cards(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
                 s = shingles(t, n)
                 if i is not None and len(s) and once.first(i, d := digest(s)):
                     first, *others = orders.value.prefixes(s, percent)
-                    often = orders.value.levels(first) > 0
+                    often = orders.value.levels(first) >= limit
                     rows.append((i, len(s), d, first[~often].view(np.int64), first[often].view(np.int64), [o.astype(np.uint32).view(np.int32) for o in others]))
             yield pa.record_batch(
                 [
@@ -249,12 +301,13 @@ def _cards(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
 
 
 def _nodes_only(cards: DataFrame, reps: DataFrame) -> DataFrame:
-    """The cards of nodes, each once. Only sets that several rows have are looked up, so cards of
-    single ones do not move; rows that repeat a node are compared after."""
+    """The cards of nodes, each once. Only sets that several rows may have are looked up, so cards
+    of single ones do not move; rows that repeat a node are compared after."""
     more = reps.where("copies > 1").select("digest", F.col("node").alias("first"))
-    cards = C.cut(cards.join(more, "digest", "left").where("first IS NULL OR first = node"), "join-cards")
-    again = cards.where("first IS NOT NULL").dropDuplicates(["node", "digest"])
-    return cards.where("first IS NULL").unionAll(again).drop("first")
+    cards = C.cut(cards.withColumn("some", _held("digest", more)), "join-cards")
+    met = cards.where("some").join(more, "digest", "left").where("first IS NULL OR first = node").drop("some")
+    again = C.cut(met.where("first IS NOT NULL").dropDuplicates(["node", "digest"]).unionByName(met.where("first IS NULL")), "join-cards")
+    return cards.where("NOT some").drop("some").unionByName(again.drop("first"))
 
 
 def _fits(u: str, v: str, percent: int) -> F.Column:
@@ -264,9 +317,9 @@ def _fits(u: str, v: str, percent: int) -> F.Column:
 def _counted(cards: DataFrame) -> DataFrame:
     """(token, node, n, m): the prefix tokens under the first order that m > 1 nodes have.
 
-    A token that is not among the most frequent is either less than ``REPEATS`` times in every
-    slice or rarer than ``HEAVY`` others, so all its rows fit one task and move once. Those of the
-    most frequent are counted before they move and meet their count in a join that can be split.
+    A token whose cell has less than ``OFTEN`` has no more rows than that, so they fit one task and
+    move once. Those of the others are counted before they move and meet their count in a join that
+    can be split.
     """
     rare = cards.select("node", "n", F.explode("p0").alias("token")).withColumn("m", F.count("*").over(Window.partitionBy("token")))
     often = cards.select("node", "n", F.explode("h0").alias("token"))
@@ -298,11 +351,14 @@ def _stars(many: DataFrame) -> DataFrame:
     return many.join(first, "token").where("u <> node").select("u", F.col("node").alias("v")).distinct()
 
 
-def _members(nodes: DataFrame):
-    """A filter of fixed size that holds at least the given nodes."""
-    h = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
+def _place(key: str) -> F.Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).cast("long")
+
+
+def _members(keys: DataFrame, key: str = "node"):
+    """A filter of fixed size that holds at least the given keys."""
     words = (
-        nodes.select(h.alias("h"))
+        keys.select(_place(key).alias("h"))
         .groupBy(F.shiftright("h", 5).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 AS int))")).alias("bits"))
         .toPandas()
@@ -312,16 +368,21 @@ def _members(nodes: DataFrame):
     return bits
 
 
-def _some_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of at least the given nodes; what is left out need not move."""
-    bits = rows.sparkSession.sparkContext.broadcast(_members(nodes))
+def _held(key: str, keys: DataFrame) -> F.Column:
+    """Whether a row's key may be among the given ones; never false for one that is."""
+    bits = keys.sparkSession.sparkContext.broadcast(_members(keys, key))
 
     @F.pandas_udf("boolean")
     def held(h: pd.Series) -> pd.Series:
         at = h.to_numpy()
         return pd.Series((bits.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
 
-    return rows.where(held(F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).cast("long")))
+    return held(_place(key))
+
+
+def _some_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of at least the given nodes; what is left out need not move."""
+    return rows.where(_held("node", nodes))
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -515,11 +576,9 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     spark = docs.sparkSession
     C.prepare(spark)
     start = len(C.made)
-    both = C.cut(_texts(docs).mapInArrow(_scan(n), "doc_id long, n long, digest binary, token long"), "join-scan")
-    rows = both.where("token IS NULL").select("doc_id", "n", "digest")
-    counts = C.cut(both.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("c")), "join-counts")
-    heavy = C.most_frequent(counts, "token", "c", HEAVY).toPandas()
-    orders = spark.sparkContext.broadcast(Orders(heavy["token"].to_numpy(dtype=np.int64).view(np.uint64), heavy["c"].to_numpy(dtype=np.int64)))
+    both = C.cut(_texts(docs).mapInArrow(_scan(n), "doc_id long, n long, digest binary, shard int, cells binary"), "join-scan")
+    rows = both.where("shard IS NULL").select("doc_id", "n", "digest")
+    orders = spark.sparkContext.broadcast(_orders(both.where("shard IS NOT NULL").select("shard", "cells")))
     reps = C.cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "join-reps")
     cards = _nodes_only(_cards(docs, orders, n, percent), reps)
     passed, many = _candidates(cards, percent)

@@ -43,6 +43,25 @@ def test_twins_rank_first(spark):
     assert all(0 <= r.score <= 1.000001 for r in got) and all(r.cid != 300 for r in got)
 
 
+def test_top_k_in_blocks_equals_the_join(spark, monkeypatch):
+    """Blocks of few rows give what a join of all pairs gives, ties included."""
+    monkeypatch.setattr(index, "POOL_BLOCK", 7)
+    monkeypatch.setattr(index, "QUERY_BLOCK", 5)
+    rng = np.random.default_rng(2)
+    rows = lambda m: [(c, s, i + 1000 * s, f"t{t}", float(rng.integers(1, 4)) / 7) for c in ("", "a|b") for s in (2, 3) for i in range(m) for t in rng.choice(12, 3, replace=False)]
+    post = spark.createDataFrame(rows(40), "country string, src int, id long, term string, w double")
+    qv = spark.createDataFrame([(c, i - 1000 * s, s, t, w) for c, s, i, t, w in rows(20)], "country string, s1 long, src int, term string, w double")
+    dot = qv.join(post.withColumnRenamed("w", "pw"), ["country", "src", "term"]).groupBy("country", "s1", "src", "id").agg(F.round(F.sum(F.col("w") * F.col("pw")), 6).alias("score"))
+    want: dict = {}
+    for r in sorted(dot.collect(), key=lambda r: (-r.score, r.id)):
+        want.setdefault((r.country, r.s1, r.src), []).append((r.id, r.score))
+    top = index.top_k(qv, post, 4)
+    got: dict = {}
+    for r in sorted(top.collect(), key=lambda r: r["rank"]):
+        got.setdefault((r.country, r.s1, r.src), []).append((r.cid, r.score))
+    assert got == {x: v[:4] for x, v in want.items()}
+
+
 def test_query_pruning_keeps_rare_terms(spark):
     t = spark.createDataFrame([("X", 1, 1, f"t{k}", 1) for k in range(10)], "country string, src int, id long, term string, tf long")
     vocab = spark.createDataFrame([("X", 2, f"t{k}", k + 1, 1.0) for k in range(10)], "country string, src int, term string, df long, idf double")

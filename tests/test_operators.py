@@ -128,6 +128,26 @@ def test_dense_equals_numpy(spark):
     assert all(got[i, j] == want[i, j] for i in range(7) for j in range(4))
 
 
+def test_dense_in_blocks_with_ties_and_vectors_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "DENSE_QUERIES", 3)
+    monkeypatch.setattr(candidates, "DENSE_POOL", 6)
+    monkeypatch.setattr(candidates, "DENSE_ROWS", 2)
+    rng = np.random.default_rng(3)
+    vec = lambda m: [[float(x) for x in rng.integers(-2, 3, 3)] for _ in range(m)]
+    q = [*enumerate(vec(9)), (9, [1.0, 2.0]), (10, None), (11, [1.0, None, 2.0])]
+    p = [*enumerate(vec(25)), (25, [1.0, 1.0]), (26, None)]
+    df = lambda rows: spark.createDataFrame(rows, "id long, vec array<float>")
+    whole = lambda v: v is not None and None not in v
+    want = {}
+    for i, a in q:
+        scored = [(sum(x * y for x, y in zip(a, b)) if whole(a) and whole(b) and len(a) == len(b) else None, j) for j, b in p]
+        for r, (s, j) in enumerate(sorted(scored, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))[:4]):
+            want[i, r] = (j, s)
+    got = {(r.s1, r["rank"]): (r.cid, r.score) for r in candidates.dense_topk(df(q), df(p), 4).collect()}
+    assert got == want
+    assert candidates.dense_topk(df(q), df([]), 4).count() == 0 == candidates.dense_topk(df([]), df(p), 4).count()
+
+
 def test_prune(spark):
     p = [(1, 2, k, x) for k, x in enumerate((0.9, 0.8, 0.1))] + [(2, 2, k, x) for k, x in enumerate((0.9, 0.05))]
     df = spark.createDataFrame(p, "s1 long, src int, cid long, p double")

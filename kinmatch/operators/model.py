@@ -98,15 +98,19 @@ class Stack:
         return decide.exclusivity(even, out="_e").drop("p").withColumnRenamed("_e", "p").withColumn("p", clip)
 
 
-def fit_stack(feats: DataFrame, roles: DataFrame, names: list[str], monotone: bool = True) -> Stack:
-    """Each part on the entities of its own role (country, s1, role)."""
-    rows = feats.join(roles, ["country", "s1"])
-    first = fit(rows.where("role = 'm1'"), names, monotone)
-    meta = decide.meta_features(first.transform(feats, "p")).join(roles, ["country", "s1"])
+def fit_stack(feats: DataFrame, roles: DataFrame, names: list[str], monotone: bool = True, write=None) -> Stack:
+    """Each part on the entities of its own role (country, s1, role).
+
+    ``write`` cuts the lineage before each fit, whose passes else repeat every window and join.
+    """
+    keep = write or (lambda df: df)
+    first = fit(keep(feats.join(roles, ["country", "s1"]).where("role = 'm1'")), names, monotone)
+    meta = decide.meta_features(keep(first.transform(feats, "p")))
+    meta = keep(meta.join(roles.where("role IN ('m2', 'cal')"), ["country", "s1"]))
     both = names + list(P.META_FEATURES)
     second = fit(meta.where("role = 'm2'").drop("p"), both, monotone)
     cal = second.transform(meta.where("role = 'cal'").drop("p"), "p")
-    return Stack(first, second, fit_isotonic(cal))
+    return Stack(first, second, fit_isotonic(keep(cal)))
 
 
 def supcon_loss(vectors: np.ndarray, clusters: list, temperature: float = 0.05) -> float:

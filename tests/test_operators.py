@@ -148,6 +148,26 @@ def test_dense_in_blocks_with_ties_and_vectors_that_do_not_fit(spark, monkeypatc
     assert candidates.dense_topk(df(q), df([]), 4).count() == 0 == candidates.dense_topk(df([]), df(p), 4).count()
 
 
+def test_stack_computes_what_its_fits_read_once(spark):
+    """With ``write`` no fit repeats the windows; the models are those of the fit without."""
+    c = bindings.claims(spark, "/root/testdata/sf0.001").where("s1 % 7 < 3")
+    feats = features.list_features(c.withColumn("rrf", F.col("p")).drop("p"))
+    role = F.element_at(F.array(*[F.lit(r) for r in ("m1", "m2", "cal")]), (F.pmod(F.col("s1"), F.lit(3)) + 1).cast("int"))
+    roles = c.select("country", "s1", role.alias("role")).distinct()
+    written = []
+
+    def write(df):
+        written.append(df)
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    names = ["rrf", "x_n_cands"]
+    one, two = model.fit_stack(feats, roles, names), model.fit_stack(feats, roles, names, write=write)
+    assert len(written) == 4
+    rows = lambda s: {(r.s1, r.src, r.cid): r.p for r in s.score(feats).collect()}
+    a, b = rows(one), rows(two)
+    assert a.keys() == b.keys() and all(a[x] == pytest.approx(b[x], abs=1e-6) for x in a)
+
+
 def test_prune(spark):
     p = [(1, 2, k, x) for k, x in enumerate((0.9, 0.8, 0.1))] + [(2, 2, k, x) for k, x in enumerate((0.9, 0.05))]
     df = spark.createDataFrame(p, "s1 long, src int, cid long, p double")

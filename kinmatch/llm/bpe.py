@@ -317,6 +317,7 @@ class Codec:
 
 
 _codecs: dict[str, Codec] = {}
+C.kept_in_workers.append(_codecs)
 
 
 def codec(spec: str) -> Codec:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -22,6 +23,20 @@ _own_dir: list[str] = []
 made: list[str] = []
 
 
+#: What passes keep in a Python worker from task to task.
+kept_in_workers: list[dict] = []
+
+
+def forget() -> None:
+    """Drop what earlier operators' passes have left in this worker, which is used again."""
+    if any(kept_in_workers):
+        for x in kept_in_workers:
+            x.clear()
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches; a number of rows the user set below the bound stays, and so does
     any number of bytes."""

@@ -41,7 +41,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -209,6 +208,7 @@ def _scan(n: int) -> callable:
         return rows(pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([s for s, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.forget()
         held: list[np.ndarray] = []
         size = 0
         for b in batches:
@@ -269,9 +269,10 @@ class _Once(set):
         return True
 
 
-def _cards(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
-    """(node, n, digest, p0, h0, p1, ...): prefixes under the first order, tokens that may be
-    frequent apart from the rest, and 32 bits of the others' tokens."""
+def _cards(docs: DataFrame, orders, copied, n: int, percent: int) -> DataFrame:
+    """(node, n, digest, some, p0, h0, p1, ...): whether several rows may have the set, prefixes
+    under the first order, tokens that may be frequent apart from the rest, and 32 bits of the
+    others' tokens. One pass of Python, so a task has one worker."""
     limit = level_of(np.array([OFTEN]))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,28 +284,41 @@ def _cards(docs: DataFrame, orders, n: int, percent: int) -> DataFrame:
                 if i is not None and len(s) and once.first(i, d := digest(s)):
                     first, *others = orders.value.prefixes(s, percent)
                     often = orders.value.levels(first) >= limit
-                    rows.append((i, len(s), d, first[~often].view(np.int64), first[often].view(np.int64), [o.astype(np.uint32).view(np.int32) for o in others]))
+                    rows.append((i, len(s), d, first[~often].view(np.int64), first[often].view(np.int64), [o.astype(np.uint32).view(np.int32) for o in others], _in_filter(copied.value, d)))
             yield pa.record_batch(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.int32()),
                     pa.array([r[2] for r in rows], pa.binary()),
+                    pa.array([r[6] for r in rows], pa.bool_()),
                     pa.array([r[3] for r in rows], pa.list_(pa.int64())),
                     pa.array([r[4] for r in rows], pa.list_(pa.int64())),
                     *[pa.array([r[5][k] for r in rows], pa.list_(pa.int32())) for k in range(ORDERS - 1)],
                 ],
-                names=["node", "n", "digest", "p0", "h0", *[f"p{k}" for k in range(1, ORDERS)]],
+                names=["node", "n", "digest", "some", "p0", "h0", *[f"p{k}" for k in range(1, ORDERS)]],
             )
 
-    kind = "node long, n int, digest binary, p0 array<long>, h0 array<long>, " + ", ".join(f"p{k} array<int>" for k in range(1, ORDERS))
+    kind = "node long, n int, digest binary, some boolean, p0 array<long>, h0 array<long>, " + ", ".join(f"p{k} array<int>" for k in range(1, ORDERS))
     return _texts(docs).mapInArrow(run, kind)
 
 
+def _in_filter(bits: np.ndarray, digest: bytes) -> bool:
+    """Whether a digest may be among those of a filter; its first bits are its place."""
+    at = int.from_bytes(digest[:4], "big") % FILTER_BITS
+    return bool(bits[at >> 5] >> np.uint32(at & 31) & np.uint32(1))
+
+
+def _copied(reps: DataFrame) -> np.ndarray:
+    """A filter that holds at least the digests that several rows have."""
+    first = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    return _members(reps.where("copies > 1"), F.pmod(first, F.lit(FILTER_BITS)))
+
+
 def _nodes_only(cards: DataFrame, reps: DataFrame) -> DataFrame:
     """The cards of nodes, each once. Only sets that several rows may have are looked up, so cards
     of single ones do not move; rows that repeat a node are compared after."""
     more = reps.where("copies > 1").select("digest", F.col("node").alias("first"))
-    cards = C.cut(cards.withColumn("some", _held("digest", more)), "join-cards")
+    cards = C.cut(cards, "join-cards")
     met = cards.where("some").join(more, "digest", "left").where("first IS NULL OR first = node").drop("some")
     again = C.cut(met.where("first IS NOT NULL").dropDuplicates(["node", "digest"]).unionByName(met.where("first IS NULL")), "join-cards")
     return cards.where("NOT some").drop("some").unionByName(again.drop("first"))
@@ -355,10 +369,10 @@ def _place(key: str) -> F.Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).cast("long")
 
 
-def _members(keys: DataFrame, key: str = "node"):
-    """A filter of fixed size that holds at least the given keys."""
+def _members(keys: DataFrame, place: F.Column):
+    """A filter of fixed size that holds at least the keys at the given places."""
     words = (
-        keys.select(_place(key).alias("h"))
+        keys.select(place.alias("h"))
         .groupBy(F.shiftright("h", 5).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 AS int))")).alias("bits"))
         .toPandas()
@@ -370,14 +384,13 @@ def _members(keys: DataFrame, key: str = "node"):
 
 def _held(key: str, keys: DataFrame) -> F.Column:
     """Whether a row's key may be among the given ones; never false for one that is."""
-    bits = keys.sparkSession.sparkContext.broadcast(_members(keys, key))
+    bits = keys.sparkSession.sparkContext.broadcast(_members(keys, _place(key)))
 
-    @F.pandas_udf("boolean")
-    def held(h: pd.Series) -> pd.Series:
+    def held(h: pa.Array) -> pa.Array:
         at = h.to_numpy()
-        return pd.Series((bits.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+        return pa.array((bits.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
 
-    return held(_place(key))
+    return F.arrow_udf(held, "boolean")(_place(key))
 
 
 def _some_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -388,7 +401,7 @@ def _some_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """(node, digest, text) of at least the given nodes; equal rows of a task once. Texts move, as
     they take less room than their sets."""
-    bits = docs.sparkSession.sparkContext.broadcast(_members(nodes))
+    bits = docs.sparkSession.sparkContext.broadcast(_members(nodes, _place("node")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = _Once()
@@ -416,13 +429,21 @@ def forest(nodes: list[int], sets: list[np.ndarray], percent: int) -> list[tuple
     if m == 2:
         both[0, 1] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
     else:
-        _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(m), size)
-        some = count[col] > 1
-        rank = np.cumsum(count > 1) - 1
-        row, col = row[some], rank[col[some]]
-        order = np.argsort(col, kind="stable")
-        row, col = row[order], col[order]
+        # only tokens of several sets matter; those are sorted as numbers of (token, row)
+        common = np.concatenate(sets)
+        common.sort()
+        common = np.unique(common[1:][common[1:] == common[:-1]])
+        keys = []
+        for i, s in enumerate(sets):
+            at = np.searchsorted(common, s)
+            at = at[at < len(common)]
+            keys.append((at[common[at] == s[: len(at)]] << 32) | i)
+        del common
+        key = np.concatenate(keys)
+        keys.clear()
+        key.sort()
+        row, col = (key & 0xFFFFFFFF).astype(np.int32), (key >> 32).astype(np.int32)
+        del key
         ends = np.searchsorted(col, np.arange(int(col[-1]) + 2 if len(col) else 1))
         often = np.diff(ends)
         if m * m * len(often) / 4e9 > 1e-5 * len(often) + 4e-9 * float((often.astype(float) ** 2).sum()):
@@ -580,7 +601,9 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     rows = both.where("shard IS NULL").select("doc_id", "n", "digest")
     orders = spark.sparkContext.broadcast(_orders(both.where("shard IS NOT NULL").select("shard", "cells")))
     reps = C.cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "join-reps")
-    cards = _nodes_only(_cards(docs, orders, n, percent), reps)
+    copied = spark.sparkContext.broadcast(_copied(reps))
+    cards = _nodes_only(_cards(docs, orders, copied, n, percent), reps)
+    orders.unpersist()
     passed, many = _candidates(cards, percent)
     passed = C.cut(passed, "join-passed")
     C.release(spark)

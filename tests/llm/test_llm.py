@@ -1,8 +1,11 @@
 """The ten operators: oracles, brute force, round trips, held-out accuracy, and edge cases."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -396,6 +399,35 @@ def test_counts_of_tokens_do_not_depend_on_slices(spark, monkeypatch):
     assert np.concatenate([ngram_join.unpacked(c) + s * ngram_join.SHARD for s, c in ngram_join.packed(cells)]).tolist() == cells.tolist()
 
 
+def test_a_task_of_the_cards_has_one_python_worker(spark, monkeypatch):
+    """The filter of repeated sets is part of the pass that makes the cards, and misses none."""
+    plans, cut = [], C.cut
+
+    def seen(df, tag):
+        if tag == "join-cards":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, tag)
+
+    monkeypatch.setattr(C, "cut", seen)
+    rows = near_rows()
+    rows += [(1000 + i, t) for i, t in rows[::3]]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert plans[0].count("MapInArrow") + plans[0].count("ArrowEvalPython") == 1
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 85)
+
+
+def test_workers_of_the_join_load_no_pandas():
+    """It takes some 46 MB of every worker of an executor."""
+    code = "import sys, kinmatch.llm.ngram_join; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(corpus_pipeline.__file__)).returncode == 0
+
+
+def test_the_join_drops_what_the_tokenizer_left_in_a_worker():
+    bpe.codec(open(bpe.vocabulary_path(), encoding="utf-8").read())
+    assert bpe._codecs
+    assert not list(ngram_join._scan(4)(iter([]))) and not bpe._codecs
+
+
 def test_components_merge_links_instead_of_walking_them(spark, monkeypatch):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(999, k) for k in range(500, 540)] + [(7, 7)]

@@ -62,6 +62,34 @@ def test_top_k_in_blocks_equals_the_join(spark, monkeypatch):
     assert got == {x: v[:4] for x, v in want.items()}
 
 
+def test_retrieval_writes_lists_and_equals_its_parts(spark, monkeypatch):
+    """Lists by term, in small slices and blocks, give what rows of postings give, repeated ids and
+    odd countries included; no table has a row for each posting."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}ord" for i in range(30)]
+    rows = [(i % 50 + 100 * src, src, c, " ".join(rng.choice(words, 6)), f"{rng.integers(0, 40)} Road") for c in ("", "a|b") for src in (1, 2, 3) for i in range(60)]
+    rec = records(spark, [*rows, (7, 1, "alone", "w1ord", ""), (8, 2, "pool", "w1ord", "")])
+    spec, how = index.ViewSpec("na", "index", max_df_frac=0.6), (150, 3, 9)
+    t = index.working.cut(index.terms(rec, spec), "terms")
+    pool = t.where("src > 1")
+    vocab = index.working.cut(index.vocabulary(pool, rec, spec), "vocabulary")
+    want = index.top_k(index.query_vectors(t.where("src = 1"), vocab, *how).drop("df"), index.postings(pool, vocab), 4)
+    made, cut = {}, index.working.cut
+
+    def counting(df, tag):
+        out = cut(df, tag)
+        made[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(index.working, "cut", counting)
+    whole = index.retrieve(rec, spec, 4, *how).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, want.collect()))
+    assert max(made.values()) < t.count() / 2
+    for name, value in (("POOL_BLOCK", 7), ("QUERY_BLOCK", 5), ("SLICE", 100)):
+        monkeypatch.setattr(index, name, value)
+    assert sorted(map(tuple, index.retrieve(rec, spec, 4, *how).collect())) == sorted(map(tuple, whole))
+
+
 def test_query_pruning_keeps_rare_terms(spark):
     t = spark.createDataFrame([("X", 1, 1, f"t{k}", 1) for k in range(10)], "country string, src int, id long, term string, tf long")
     vocab = spark.createDataFrame([("X", 2, f"t{k}", k + 1, 1.0) for k in range(10)], "country string, src int, term string, df long, idf double")

@@ -90,6 +90,24 @@ def test_retrieval_writes_lists_and_equals_its_parts(spark, monkeypatch):
     assert sorted(map(tuple, index.retrieve(rec, spec, 4, *how).collect())) == sorted(map(tuple, whole))
 
 
+def test_fused_rows_move_once(spark):
+    """One exchange brings a query's rows together, for the counts and for the ranks."""
+    lists = {v: spark.range(40).selectExpr("'X' AS country", "id % 4 AS s1", "2 AS src", "id AS cid", "0.5D AS score", "cast(id / 4 AS int) AS rank") for v in candidates.VIEWS}
+    out = candidates.fuse(lists, None, 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r.s1, r.cid) for r in out.collect()) == sorted((i % 4, i) for i in range(12))
+
+
+def test_tables_that_made_a_table_go(spark):
+    """``cut_last`` leaves the last of the tables made since, with its rows."""
+    from kinmatch.sources import working
+
+    start = len(working.made)
+    out = working.cut_last(working.cut(spark.range(5), "a").selectExpr("id + 1 AS id"), "b", start)
+    assert len(working.made) == start + 1 and sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 5]
+
+
 def test_query_pruning_keeps_rare_terms(spark):
     t = spark.createDataFrame([("X", 1, 1, f"t{k}", 1) for k in range(10)], "country string, src int, id long, term string, tf long")
     vocab = spark.createDataFrame([("X", 2, f"t{k}", k + 1, 1.0) for k in range(10)], "country string, src int, term string, df long, idf double")

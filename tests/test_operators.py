@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kinmatch.functions import text as X
 from kinmatch.operators import augment, candidates, corpus, decide, features, index, metrics, model, splits
 from kinmatch.plans.linkage import Linkage
-from kinmatch.sources import bindings, tables
+from kinmatch.sources import bindings, tables, working
 from kinmatch.streaming import corpus_stream
 
 REC = "id long, src int, country string, name string, addr string"
@@ -108,6 +108,51 @@ def test_tables_that_made_a_table_go(spark):
     assert len(working.made) == start + 1 and sorted(r.id for r in out.collect()) == [1, 2, 3, 4, 5]
 
 
+def paired(spark):
+    """Every query of ``small`` with every pool record and one that is missing, and the views."""
+    rec = bindings.record_tokens(small(spark))
+    pool = rec.where("src > 1").select("country", "src", F.col("id").alias("cid")).union(spark.createDataFrame([("X", 2, 999)], "country string, src int, cid long"))
+    cand = rec.where("src = 1").select("country", F.col("id").alias("s1")).join(pool, "country").withColumn("rrf", F.lit(1.0) / (1 + F.pmod(F.col("s1") * 7 + F.col("cid"), F.lit(5))))
+    for c in [f"{v}_{x}" for v in candidates.VIEWS for x in ("score", "rank")] + ["key_hit", "nret"]:
+        cand = cand.withColumn(c, F.lit(0))
+    return cand.localCheckpoint(), features.record_view(rec, (0.1, 0.5, 0.1, 0.5))
+
+
+def test_features_in_blocks_equal_plain_joins(spark, monkeypatch):
+    """Blocks of one record give what joins of pairs with both views give; so do single features."""
+    cand, view = paired(spark)
+    cols = [c for c in view.columns if c not in ("country", "src", "id")]
+    a = view.where("src = 1").select("country", F.col("id").alias("s1"), F.struct(*cols).alias("a"))
+    b = view.where("src > 1").select("country", "src", F.col("id").alias("cid"), F.struct(*cols).alias("b"))
+    plain = features.fuzzy_features(features.builtin_features(features.list_features(cand).join(a, ["country", "s1"], "left").join(b, ["country", "src", "cid"], "left")))
+    best: dict = {}
+    for r in sorted(cand.collect(), key=lambda r: (-r.rrf, r.cid)):
+        best.setdefault((r.s1, r.src), r.cid)
+    grams = {r.id: (set(r.name_grams), set(r.addr_grams)) for r in view.collect()}
+    names = [f for f in features.PAIR_FEATURES if f in plain.columns]
+    want = {(r.s1, r.cid): tuple(r)[3:] for r in plain.select("s1", "src", "cid", *[F.col(f).cast("double") for f in names]).collect()}
+    monkeypatch.setattr(features, "QUERY_BLOCK", (1, 1))
+    monkeypatch.setattr(features, "POOL_BLOCK", 1)
+    got = features.featurize(cand, view).collect()
+    assert {(r.s1, r.cid): tuple(r[f] for f in names) for r in got} == want and len(got) == len(want) == 84
+    for r in got:
+        for mine, theirs, f in zip(grams.get(r.cid, ((), ())), grams.get(best[r.s1, 5 - r.src], ((), ())), ("x_support_name", "x_support_addr")):
+            assert r[f] == (pytest.approx(len(mine & theirs) / len(mine | theirs)) if mine and theirs else None)
+    some = ["addr_contain", "num_rel", "x_rrf_rank"]
+    few = features.featurize(cand, view.select("country", "src", "id", *features.reads(some)), some)
+    assert few.columns == ["country", "s1", "src", "cid", "addr_contain", "num_rel", "x_rrf_rank"]  # in the order of PAIR_FEATURES
+    assert sorted(map(str, few.collect())) == sorted(str(x) for x in features.featurize(cand, view).select(*few.columns).collect())
+
+
+def test_pairs_move_before_they_have_views(spark):
+    """Pairs and either side's views are dealt once; no joined row moves, and none is sorted."""
+    cand, view = paired(spark)
+    with working.by_block(spark):
+        plan = features.join_views(cand, view).select("s1", "cid", "a.name_grams", F.col("b.addr_grams").alias("h"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and plan.count("Exchange hashpartitioning") == 3 and plan.count("SortMergeJoin") == 0
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 def test_query_pruning_keeps_rare_terms(spark):
     t = spark.createDataFrame([("X", 1, 1, f"t{k}", 1) for k in range(10)], "country string, src int, id long, term string, tf long")
     vocab = spark.createDataFrame([("X", 2, f"t{k}", k + 1, 1.0) for k in range(10)], "country string, src int, term string, df long, idf double")

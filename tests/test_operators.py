@@ -153,6 +153,18 @@ def test_pairs_move_before_they_have_views(spark):
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
 
 
+def test_features_of_lists_read_no_views(spark):
+    """What only candidates tell is joined with nothing; records of one id still make a row each."""
+    cand, view = paired(spark)
+    keys, some = view.select("country", "src", "id"), ["rrf", "x_rrf_rank", "x_rrf_gap", "x_n_cands"]
+    got = features.featurize(cand, keys, some)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(str(r) for r in df.collect())
+    assert rows(got) == rows(features.featurize(cand, view).select(*got.columns))
+    twice = keys.union(keys.where("id IN (0, 101)"))
+    assert features.featurize(cand, twice, some).count() == 84 + 14 + 6 + 1
+
+
 def test_query_pruning_keeps_rare_terms(spark):
     t = spark.createDataFrame([("X", 1, 1, f"t{k}", 1) for k in range(10)], "country string, src int, id long, term string, tf long")
     vocab = spark.createDataFrame([("X", 2, f"t{k}", k + 1, 1.0) for k in range(10)], "country string, src int, term string, df long, idf double")

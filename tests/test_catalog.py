@@ -42,6 +42,17 @@ def test_items_of_any_length_are_found(spark, tmp_path):
         assert sorted(map(tuple, bindings.leak_pairs(spark, str(tmp_path), most).collect())) == [(1, 1), (2, 2), (4, 1)]
 
 
+def test_scores_of_retrieval_write_no_table_of_pairs(spark):
+    """They are the fused rows as they are: neither a table of them nor one of views is made."""
+    from kinmatch.sources import working
+
+    start = len(working.made)
+    got = entry.queries()["feat_retrieval"](spark, SF)
+    assert not [x for x in working.made[start:] if any(f"/{tag}-" in x for tag in ("fused", "record-view", "features"))]
+    fused = entry.queries()["fuse_rrf"](spark, SF).collect()
+    assert {(r.s1, r.src, r.cid): (r.rrf, r.nret, r.sk_rank) for r in got.collect()} == {(r.s1, r.src, r.cid): (round(r.rrf, 6), r.nret, r.sk_rank) for r in fused}
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -3,13 +3,15 @@
 Two bigram models of the same order, smoothing and vocabulary are compared: one of the target
 text (every document labelled good), one of the whole corpus. The vocabulary is every word of the
 corpus and one entry for any other; counts of words and bigrams are exact and come from every
-document, so what is gathered grows with the corpus. Nothing of that size is collected: words of a
-document go to the slice of the table where the counts of their bigrams and of the words
-themselves meet, are counted and scored there, and the losses return to the documents.
+document, so what is gathered grows with the corpus. Nothing of that size is collected: a batch of
+documents asks the slices of the words' digests for the counts of its bigrams, each slice counts
+what it is asked for, by all batches and by the target, and answers with counts in the order asked.
 
 The ``HOT`` most frequent words at most would make slices uneven. Their counts and those of
-bigrams of two of them are collected, a square table, and scored where the text is; other bigrams
-that end in one are dealt by both words. That decides where a count is held, not what it is.
+bigrams of two of them are collected, a square table, and scored where the text is; any other
+bigram is asked for with its rare word, the second if both are. That decides where a count is
+held, not what it is. There are so many slices that one holds some ``SLICE_WORDS`` rare words of
+the corpus, whatever the number of partitions; which document a word is of never leaves its batch.
 
 A document's score is the mean over its words of target loss less background loss, in nats:
 lower is more like the target. Words are told apart by 64-bit digests, bigrams by 64 bits of both.
@@ -21,11 +23,9 @@ texts are read whole; an empty table gives no rows; only doc_id and text are rea
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,80 +41,138 @@ SLICE = 1 << 12
 #: Weight of the unigram prior behind a history, in words.
 PRIOR = 8.0
 #: Distinct words that a task counts before it hands them on.
-FLUSH = 300_000
+FLUSH = 600_000
 #: Words, and documents, that a task deals out at once.
-DEAL, DEAL_DOCS = 300_000, 1 << 15
+DEAL, DEAL_DOCS = 600_000, 1 << 15
+#: Rare words of the corpus in a slice, about.
+SLICE_WORDS = 1_500_000
 #: Bits that stand for the hashed ids of good documents.
 BITS = 1 << 26
-#: Words whose digests a task keeps.
-KEEP = 500_000
+#: Bytes of text whose words get their digests at once, and bytes of a word that do so with others.
+PIECE, LONG = 1 << 20, 256
 
 
 def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count: Counter[str] = Counter()
+def _mix(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+    """64 bits of one or two arrays of digests."""
+    x = a if b is None else a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def out() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
 
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            count.update(tokens(t))
-            if len(count) >= FLUSH:
-                yield out()
-                count.clear()
-    if count:
-        yield out()
+#: The first so many bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def _digests(words: bytes) -> np.ndarray:
+    """64-bit digests of words that each end in a blank; 0 is left for the start of a text."""
+    ends = np.flatnonzero(np.frombuffer(words, dtype=np.uint8) == 32)
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
+    length = ends - starts
+    at_any = np.ndarray(len(words), dtype="<u8", buffer=words + bytes(8), strides=(1,))
+    out = _mix(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (at_any[starts] & _FIRST[np.minimum(length, 8)]))
+    some = np.flatnonzero((length > 8) & (length <= LONG))
+    done = 8
+    while len(some):
+        left = length[some] - done
+        out[some] = _mix(out[some] * np.uint64(0x9E3779B97F4A7C15) ^ (at_any[starts[some] + done] & _FIRST[np.minimum(left, 8)]))
+        some = some[left > 8]
+        done += 8
+    for k in np.flatnonzero(length > LONG):
+        out[k] = int.from_bytes(blake2b(words[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    out[out == 0] = 1
+    return out
 
 
-class Digests(dict):
-    """Word to a 64-bit digest; 0 is left for the start of a text."""
+def digests(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the words of all texts in a row, and how many words each text has."""
+    out, held, size, length = [np.zeros(0, np.uint64)], [], 0, np.zeros(len(texts), dtype=np.int64)
+    for k, t in enumerate(texts):
+        words = tokens(t)
+        if words:
+            length[k] = len(words)
+            held.append(" ".join(words).encode("utf-8", "surrogatepass"))
+            size += len(held[-1])
+        if size > PIECE:
+            out.append(_digests(b" ".join([*held, b""])))
+            held, size = [], 0
+    if held:
+        out.append(_digests(b" ".join([*held, b""])))
+    return np.concatenate(out), length
+
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KEEP:
-            self.clear()
-        got = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
-        self[word] = got
-        return got
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """First columns, digests and lengths of some documents at a time; the text is the last column."""
+    ids, held, lengths, n = [], [], [], 0
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            part = b.slice(at, 64)
+            word, length = digests(part.column(part.num_columns - 1).to_pylist())
+            ids += part.column(0).to_pylist() if part.num_columns > 1 else [None] * len(length)
+            held.append(word)
+            lengths.append(length)
+            n += len(word)
+            if n >= DEAL or len(ids) > DEAL_DOCS - 64:
+                yield ids, np.concatenate(held), np.concatenate(lengths)
+                ids, held, lengths, n = [], [], [], 0
+    if ids:
+        yield ids, np.concatenate(held), np.concatenate(lengths)
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = tokens(text)
-        return np.fromiter((self[w] for w in words), dtype=np.uint64, count=len(words))
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def out() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(count)], names=["word", "n"])
+
+    for _, word, _ in _groups(batches):
+        more, n = np.unique(word, return_counts=True)
+        key, place = np.unique(np.concatenate([key, more]), return_inverse=True)
+        count = np.bincount(place, np.concatenate([count, n]), len(key)).astype(np.int64)
+        if len(key) >= FLUSH:
+            yield out()
+            key, count = key[:0], count[:0]
+    if len(key):
+        yield out()
 
 
 class Numbers:
-    """Frequent words to numbers: 0 for the start of a text, 1 for all other words.
+    """Digests of frequent words to numbers: 0 for the start of a text, 1 for all other words.
 
     ``distinct`` is the size of the vocabulary, one entry for words not in the corpus included.
     """
 
-    def __init__(self, words: list[str], distinct: int):
-        self.of = {w: k + 2 for k, w in enumerate(words)}
+    def __init__(self, words: np.ndarray, distinct: int):
         self.size = len(words) + 2
         self.distinct = distinct
-        digest = np.array([Digests()[w] for w in words], dtype=np.uint64)
-        order = np.argsort(digest)
-        self.digest, self.number = digest[order], order + 2
-        #: The digest of each number; only those of frequent words and of the start are used.
-        self.by_number = np.concatenate([np.zeros(2, dtype=np.uint64), digest])
+        order = np.argsort(words)
+        self.digest, self.number = words[order], (order + 2).astype(np.int32)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        get = self.of.get
-        words = tokens(text)
-        return np.fromiter((get(w, 1) for w in words), dtype=np.int64, count=len(words))
+        return self.of_digests(digests([text])[0])
 
     def of_digests(self, digest: np.ndarray) -> np.ndarray:
         if not len(self.digest):
-            return np.ones(len(digest), dtype=np.int64)
+            return np.ones(len(digest), dtype=np.int32)
         at = np.minimum(np.searchsorted(self.digest, digest), len(self.digest) - 1)
-        return np.where(self.digest[at] == digest, self.number[at], 1)
+        return np.where(self.digest[at] == digest, self.number[at], np.int32(1))
 
 
-def _bigrams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([[0], ids[:-1]]).astype(np.int64), ids
+def _edges(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first and the last words of texts that lie in a row."""
+    some = length[length > 0]
+    ends = np.cumsum(some)
+    return ends - some, ends - 1
+
+
+def _before(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    out = np.roll(ids, 1)
+    out[starts] = 0
+    return out
 
 
 def _padded(n: int) -> int:
@@ -128,27 +186,11 @@ def _tables(numbers) -> callable:
         size = numbers.value.size
         pair = np.zeros(_padded(size * size), dtype=np.int64)
         word = np.zeros(_padded(size), dtype=np.int64)
-        held: list[np.ndarray] = []
-        held_words = 0
-
-        def add() -> None:
-            if held:
-                both = [_bigrams(x) for x in held]
-                before, ids = np.concatenate([x for x, _ in both]), np.concatenate([y for _, y in both])
-                pair[:] += np.bincount(before * size + ids, minlength=len(pair))
-                word[:] += np.bincount(ids, minlength=len(word))
-                word[0] += len(held)
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                ids = numbers.value(t)
-                if len(ids):
-                    held.append(ids)
-                    held_words += len(ids)
-                if held_words > DEAL:
-                    add()
-                    held, held_words = [], 0
-        add()
+        for _, digest, length in _groups(batches):
+            ids, (starts, _) = numbers.value.of_digests(digest), _edges(length)
+            pair += np.bincount(_before(ids, starts) * np.int64(size) + ids, minlength=len(pair))
+            word += np.bincount(ids, minlength=len(word))
+            word[0] += len(starts)
         rows = np.concatenate([pair, word]).reshape(-1, SLICE)
         some = np.flatnonzero(rows.any(axis=1))
         for at in range(0, len(some), 64):
@@ -212,7 +254,7 @@ def count_table(texts: DataFrame, numbers, size: int) -> Bigrams:
     parts = texts.mapInArrow(_tables(numbers), "slice int, counts binary")
     pairs = _padded(size * size)
     n = min(C.partitions(spark), (pairs + _padded(size)) // SLICE)
-    rows = parts.repartition(n, "slice").sortWithinPartitions("slice").mapInArrow(_sum_slices, "slice int, counts binary").toPandas()
+    rows = parts.repartitionById(n, "slice").sortWithinPartitions("slice").mapInArrow(_sum_slices, "slice int, counts binary").toPandas()
     whole = np.zeros(pairs + _padded(size), dtype=np.int64)
     for k, raw in zip(rows["slice"], rows["counts"]):
         whole[k * SLICE : (k + 1) * SLICE] = np.frombuffer(raw, dtype="<i8")
@@ -221,63 +263,44 @@ def count_table(texts: DataFrame, numbers, size: int) -> Bigrams:
 
 def vocabulary(docs: DataFrame, size: int = HOT) -> Numbers:
     """Numbers of the most frequent words, at most ``size``, and the size of the vocabulary."""
-    words = docs.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = C.cut(words, "lm-words")
     top = C.most_frequent(counts, "word", "n", size).toPandas().sort_values(["n", "word"], ascending=[False, True])
     distinct = counts.count()
     C.drop_cut(docs.sparkSession, counts)
-    return Numbers(top["word"].tolist(), distinct + 1)
-
-
-def _mix(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
-    """64 bits of one or two arrays of digests."""
-    x = a if b is None else a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _laid_out(held: list[np.ndarray], numbers: Numbers) -> tuple[np.ndarray, ...]:
-    """Words, words before, both by number, and the last words, of non-empty texts in a row."""
-    word = np.concatenate(held)
-    ends = np.cumsum([len(x) for x in held])
-    starts = np.concatenate([[0], ends[:-1]])
-    number = numbers.of_digests(word)
-    before, before_number = np.roll(word, 1), np.roll(number, 1)
-    before[starts], before_number[starts] = 0, 0
-    last = np.zeros(len(word), dtype=bool)
-    last[ends - 1] = True
-    return word, before, number, before_number, last
-
-
-def _slice_of(word: np.ndarray, before: np.ndarray, number: np.ndarray, slices: int) -> np.ndarray:
-    """Frequent words by bigram, others whole."""
-    return (np.where(number > 1, _mix(word, before), _mix(word)) % np.uint64(slices)).astype(np.int32)
-
-
-def _by_slice(at: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(at, kind="stable")
-    columns = [c[order] for c in columns]
-    some, starts = np.unique(at[order], return_index=True)
-    for k, lo, hi in zip(some.tolist(), starts.tolist(), [*starts[1:].tolist(), len(at)]):
-        yield k, b"".join(c[lo:hi].tobytes() for c in columns)
-
-
-def _split(raw: bytes, kinds: list[str]) -> list[np.ndarray]:
-    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
-    out, at = [], 0
-    for k in kinds:
-        out.append(np.frombuffer(raw, dtype=k, count=n, offset=at))
-        at += n * np.dtype(k).itemsize
+    return Numbers(top["word"].to_numpy(dtype=np.int64).view(np.uint64), distinct + 1)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of 64 bits or of counts, in as few bytes as their largest needs; equal bytes of
+    neighbours lie together, as their compression wants."""
+    head, out = [], []
+    for c in columns:
+        c = c.view(np.uint64) if c.dtype.itemsize == 8 else c
+        c = c.astype(np.min_scalar_type(int(c.max())) if len(c) else np.uint8)
+        head += [len(c), c.itemsize]
+        out.append(c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes())
+    return b"".join([np.array([len(columns), *head], dtype="<i8").tobytes(), *out])
+
+
+def _unpack(raw: bytes) -> list[np.ndarray]:
+    """The columns, as unsigned numbers."""
+    m = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
+    at, out = 8 + 16 * m, []
+    for n, size in np.frombuffer(raw, dtype="<i8", count=2 * m, offset=8).reshape(-1, 2).tolist():
+        planes = np.frombuffer(raw, dtype=np.uint8, count=n * size, offset=at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{size}").ravel())
+        at += n * size
     return out
 
 
-#: What a dealt row has: a batch's documents, bigrams of the target, or words of a batch: those
-#: where the word is frequent, where the word before is, and where none is.
-DOCS, TARGET, WORDS, AFTER_HOT, NO_HOT = range(5)
+#: What a dealt row has: a batch's documents, what the target asks for, what a batch asks for or
+#: what it is answered.
+DOCS, TARGET, WORDS = range(3)
 DEALT = "slice int, kind int, batch long, data binary"
 _DEALT = pa.schema([("slice", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), ("data", pa.binary())])
-_OF_DOCS, _OF_TARGET, _OF_WORDS, _OF_SUMS = ["<i8", "u1", "<i8", "<f8", "<f8"], ["<u8", "<u8", "<i8"], {WORDS: ["<u2", "<u8", "<u2"], AFTER_HOT: ["<u8", "<u2", "<u2"], NO_HOT: ["<u8", "<u8", "<u2"]}, ["<u2", "<f8", "<f8"]
+#: Of a rare word: it ends its text, the word before is rare, the word after is frequent.
+LAST, AFTER_RARE, HOT_NEXT = 1, 2, 4
 
 
 def _dealt(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -292,134 +315,140 @@ def _dealt(rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBat
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), _DEALT)], schema=_DEALT)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    for b in batches:
+        slices, kinds, numbers = (c.to_pylist() for c in b.columns[:3])
+        for k in range(b.num_rows):
+            yield slices[k], kinds[k], numbers[k], b.column(3)[k].as_py()
+
+
+def _asked(word: np.ndarray, number: np.ndarray, starts: np.ndarray, ends: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Iterator[tuple[int, bytes]]]:
+    """Places of rare words in the order of their digests, what is known of them, how many there
+    are of each, and by slice: distinct rare words and what they meet."""
+    rare = np.flatnonzero(number == 1)
+    place = rare[np.argsort(word[rare])]
+    own = word[place]
+    new = np.diff(own, prepend=np.uint64(0)) != 0
+    words, of = own[new], np.cumsum(new) - 1
+    last = np.zeros(len(word), dtype=bool)
+    last[ends] = True
+    flags = last[place].astype(np.uint8)
+    before_number = _before(number, starts)[place]
+    flags |= np.where(before_number == 1, np.uint8(AFTER_RARE), np.uint8(0))
+    next_number = number[np.minimum(place + 1, len(number) - 1)]
+    flags |= np.where((flags & LAST == 0) & (next_number > 1), np.uint8(HOT_NEXT), np.uint8(0))
+
+    def by_slice() -> Iterator[tuple[int, bytes]]:
+        after_rare, hot_next = flags & AFTER_RARE > 0, flags & HOT_NEXT > 0
+        met = [
+            (hot_next, next_number.astype(np.uint16)),
+            (~after_rare, before_number.astype(np.uint16)),
+            (after_rare, word[place - 1]),
+        ]
+        columns = [(np.bincount(of[some], minlength=len(words)).astype(np.uint32), x[some]) for some, x in met]
+        upto = [np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) for n, _ in columns]
+        some, first = np.unique((((words >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)).astype(np.int32), return_index=True)
+        for k, lo, hi in zip(some.tolist(), first.tolist(), [*first[1:].tolist(), len(words)]):
+            yield k, _pack(words[lo:hi], *(n[lo:hi] for n, _ in columns), *(x[u[lo] : u[hi]] for (_, x), u in zip(columns, upto)))
+
+    return place, flags, np.bincount(of, minlength=len(words)).astype(np.uint32), by_slice()
+
+
 def _target(numbers, slices: int) -> callable:
-    """Counts of the target's bigrams, less those of two frequent words."""
+    """What the target has of words and bigrams, less those of frequent words only."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
-        digests, held, n = Digests(), [], 0
-
-        def out() -> Iterator[tuple[int, int, int, bytes]]:
-            if held:
-                word, before, number, before_number, _ = _laid_out(held, numbers.value)
-                rest = (number == 1) | (before_number == 1)
-                word, before, number = word[rest], before[rest], number[rest]
-                _, first, count = np.unique(_mix(word, before), return_index=True, return_counts=True)
-                word, before, number = word[first], before[first], number[first]
-                for k, data in _by_slice(_slice_of(word, before, number, slices), [word, before, count.astype(np.int64)]):
-                    yield k, TARGET, 0, data
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                x = digests(t)
-                if len(x):
-                    held.append(x)
-                    n += len(x)
-                if n >= DEAL:
-                    yield from out()
-                    held, n = [], 0
-        yield from out()
+        for _, word, length in _groups(batches):
+            *_, asked = _asked(word, numbers.value.of_digests(word), *_edges(length), slices)
+            for k, data in asked:
+                yield k, TARGET, 0, data
 
     return lambda batches: _dealt(rows(batches))
 
 
 def _documents(numbers, models, slices: int) -> callable:
-    """Documents with the losses of their frequent bigrams, and the words of other bigrams."""
+    """Documents with the losses of their frequent bigrams, and what they ask of other bigrams."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
-        task, made = TaskContext.get().partitionId(), 0
-        digests, ids, texts, n = Digests(), [], [], 0
-
-        def out() -> Iterator[tuple[int, int, int, bytes]]:
+        task = TaskContext.get().partitionId()
+        for made, (ids, word, length) in enumerate(_groups(batches)):
             batch = task << 32 | made
-            length = np.array([len(x) for x in texts], dtype=np.int64)
-            sums = np.zeros((2, len(texts)))
-            if length.any():
-                word, before, number, before_number, last = _laid_out([x for x in texts if len(x)], numbers.value)
-                doc = np.repeat(np.arange(len(texts)), length)
-                here = (number > 1) & (before_number != 1)
-                known = (number > 1) & ~last
-                for k, m in enumerate(models.value):
-                    sums[k] += np.bincount(doc[here], m.pair_loss(m.pair[before_number[here] * len(m.word) + number[here]], m.word[number[here]]), len(texts))
-                    sums[k] += np.bincount(doc[known], m.history_loss(m.word[number[known]]), len(texts))
-                    sums[k] += (length > 0) * m.history_loss(m.word[0])
-                at, tag = _slice_of(word, before, number, slices), (doc * 2 + last).astype(np.uint16)
-                for kind, some in ((WORDS, (number > 1) & ~here), (AFTER_HOT, (number == 1) & (before_number != 1)), (NO_HOT, (number == 1) & (before_number == 1))):
-                    left = (number if kind == WORDS else word)[some].astype(_OF_WORDS[kind][0])
-                    right = (before_number if kind == AFTER_HOT else before)[some].astype(_OF_WORDS[kind][1])
-                    for k, data in _by_slice(at[some], [left, right, tag[some]]):
-                        yield k, kind, batch, data
+            number, (starts, ends) = numbers.value.of_digests(word), _edges(length)
+            doc = np.repeat(np.arange(len(ids), dtype=np.uint16), length)
+            before = _before(number, starts)
+            here = np.flatnonzero((number > 1) & (before != 1))
+            known = number > 1
+            known[ends] = False
+            sums = np.zeros((2, len(ids)))
+            for k, m in enumerate(models.value):
+                sums[k] += np.bincount(doc[here], m.pair_loss(m.pair[before[here] * np.int64(len(m.word)) + number[here]], m.word[number[here]]), len(ids))
+                sums[k] += np.bincount(doc[known], m.history_loss(m.word[number[known]]), len(ids))
+                sums[k] += (length > 0) * m.history_loss(m.word[0])
+            del before, here, known
+            place, flags, each, asked = _asked(word, number, starts, ends, slices)
+            for k, data in asked:
+                yield k, WORDS, batch, data
             known_id = np.array([x is not None for x in ids], dtype=np.uint8)
-            columns = [np.array([x or 0 for x in ids], dtype=np.int64), known_id, length, *sums]
-            yield batch * 0x9E3779B1 % slices, DOCS, batch, b"".join(c.tobytes() for c in columns)
-
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids.append(i)
-                texts.append(digests(t))
-                n += len(texts[-1])
-                if n >= DEAL or len(ids) >= DEAL_DOCS:
-                    yield from out()
-                    ids, texts, n, made = [], [], 0, made + 1
-        if ids:
-            yield from out()
+            yield batch * 0x9E3779B1 % slices, DOCS, batch, _pack(np.array([x or 0 for x in ids], dtype=np.int64), known_id, length, *sums, each, doc[place], flags)
 
     return lambda batches: _dealt(rows(batches))
 
 
-def _score_slice(numbers: Numbers, models, target: list[bytes], parts: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
-    """Sums of losses, by document, of the words that lie in one slice."""
-    parts.sort(key=lambda x: x[0])
-    own = []
-    for _, kind, raw in parts:
-        left, right, tag = _split(raw, _OF_WORDS[kind])
-        own.append((numbers.by_number[left] if kind == WORDS else left, numbers.by_number[right] if kind == AFTER_HOT else right, tag))
-    word, before, tag = (np.concatenate([x[k] for x in own]) for k in range(3))
-    of_target = [_split(raw, _OF_TARGET) for raw in target]
-    t_word, t_before, t_n = (np.concatenate([np.zeros(0, k), *(x[j] for x in of_target)]) for j, k in enumerate(_OF_TARGET))
-
-    def counts(own_key: np.ndarray, target_key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys of the corpus, how often the corpus and the target have them, and their places."""
-        key, place, n = np.unique(own_key, return_inverse=True, return_counts=True)
-        at = np.minimum(np.searchsorted(key, target_key), len(key) - 1)
-        hit = key[at] == target_key
-        return key, place, np.stack([np.bincount(at[hit], t_n[hit], len(key)), n])
-
-    _, pair, of_pair = counts(_mix(word, before), _mix(t_word, t_before))
-    words, place, of_word = counts(word, t_word)
-    number = numbers.of_digests(words)
-    hot = number > 1
-    losses = []
-    for k, m in enumerate(models):
-        n = np.where(hot, m.word[number], of_word[k])
-        history = np.where(hot, 0.0, m.history_loss(n))
-        losses.append(m.pair_loss(of_pair[k][pair], n[place]) + np.where(tag & 1, 0.0, history[place]))
-    at = 0
-    for batch, same in groupby(zip(parts, own), key=lambda x: x[0][0]):
-        here = slice(at, at := at + sum(len(x[2]) for _, x in same))
-        some, place_of = np.unique(tag[here] >> 1, return_inverse=True)
-        yield 0, WORDS, batch, b"".join([some.astype("<u2").tobytes(), *(np.bincount(place_of, l[here], len(some)).tobytes() for l in losses)])
-
-
-def _scored(numbers, models) -> callable:
-    """Rows of sorted slices: documents as they are, words as sums of losses."""
+def _score_slice(size: int, target: list[bytes], parts: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """Counts of all that is asked for in one slice, by batch: of words, then of bigrams."""
+    rows = [_unpack(raw) for raw in [*(raw for _, raw in parts), *target]]
+    own = len(parts)
+    words = np.concatenate([r[0] for r in rows]).astype(np.uint64)
+    _, word_of = np.unique(words, return_inverse=True)
+
+    def counts(key_of: np.ndarray, mine: int, n: np.ndarray | None = None) -> list[np.ndarray]:
+        """How often corpus and target have what stands at each of my places."""
+        top = int(key_of.max()) + 1 if len(key_of) else 0
+        of_both = (np.bincount(key_of[some], None if n is None else n[some], top) for some in (slice(mine), slice(mine, None)))
+        return [x.astype(np.int64)[key_of[:mine]] for x in of_both]
+
+    def cut(x: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+        return np.split(x, np.cumsum(sizes)[:-1])
+
+    sizes = [len(r[0]) for r in rows[:own]]
+    n = np.concatenate([r[2].astype(np.int64) + r[3] for r in rows])
+    answers = [cut(x, sizes) for x in counts(word_of, sum(sizes), n)]
+    for j in range(3):
+        each = np.concatenate([r[1 + j] for r in rows])
+        met = np.concatenate([r[4 + j] for r in rows])
+        key = _mix(np.repeat(words, each), met.astype(np.uint64)) if j == 2 else np.repeat(word_of, each) * np.int64(size) + met.astype(np.int64)
+        del each, met
+        _, key_of = np.unique(key, return_inverse=True)
+        del key
+        sizes = [len(r[4 + j]) for r in rows[:own]]
+        answers += [cut(x, sizes) for x in counts(key_of, sum(sizes))]
+    for k, (batch, _) in enumerate(parts):
+        yield batch, _pack(rows[k][4], *(x[k] for x in answers))
+
+
+def _scored(numbers) -> callable:
+    """Rows of sorted slices: documents as they are, answers to what was asked."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
         key, target, parts = None, [], []
-        for b in batches:
-            for k, kind, batch, raw in zip(*(c.to_pylist() for c in b.columns)):
-                if kind == DOCS:
-                    yield k, kind, batch, raw
-                    continue
-                if k != key:
-                    if parts:
-                        yield from _score_slice(numbers.value, models.value, target, parts)
-                    key, target, parts = k, [], []
-                if kind == TARGET:
-                    target.append(raw)
-                else:
-                    parts.append((batch, kind, raw))
-        if parts:
-            yield from _score_slice(numbers.value, models.value, target, parts)
+
+        def out() -> Iterator[tuple[int, int, int, bytes]]:
+            if parts:
+                for batch, data in _score_slice(numbers.value.size, target, parts):
+                    yield key, WORDS, batch, data
+
+        for k, kind, batch, raw in _rows(batches):
+            if kind == DOCS:
+                yield k, kind, batch, raw
+                continue
+            if k != key:
+                yield from out()
+                key, target, parts = k, [], []
+            if kind == TARGET:
+                target.append(raw)
+            else:
+                parts.append((batch, raw))
+        yield from out()
 
     return lambda batches: _dealt(rows(batches))
 
@@ -427,28 +456,41 @@ def _scored(numbers, models) -> callable:
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents from their batches' rows, which come sorted, the documents first."""
-    key, doc, sums = None, None, None
-
-    def out() -> pa.RecordBatch:
-        ids, known, n = doc
-        mean = sums / np.maximum(n, 1)
-        return pa.record_batch([pa.array(ids, mask=known == 0), pa.array(n), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], schema=_SCHEMA)
+def _gather(models) -> callable:
+    """Documents of the batches' rows, which come sorted: the documents, then answers by slice."""
+
+    def out(raw: bytes, answers: list[list[np.ndarray]]) -> pa.RecordBatch:
+        ids, known, n, *sums, each, doc, flags = _unpack(raw)
+        n = n.astype(np.int64)
+        if answers:
+            number, *counts = (np.concatenate(x) for x in zip(*answers))
+            after_rare, hot_next, ended = flags & AFTER_RARE > 0, flags & HOT_NEXT > 0, flags & LAST > 0
+            for k, m in enumerate(models.value):
+                of_word, of_next, of_hot, of_rare = counts[1 - k :: 2]
+                count = np.repeat(of_word, each)
+                pair = np.empty(len(doc), dtype=np.int64)
+                pair[~after_rare], pair[after_rare] = of_hot, of_rare
+                loss = m.pair_loss(pair, count) + np.where(ended, 0.0, m.history_loss(count))
+                loss[hot_next] += m.pair_loss(of_next, m.word[number])
+                sums[k] = sums[k].astype(np.uint64).view(np.float64) + np.bincount(doc, loss, len(ids))
+        else:
+            sums = [x.astype(np.uint64).view(np.float64) for x in sums]
+        mean = [x / np.maximum(n, 1) for x in sums]
+        return pa.record_batch([pa.array(ids.astype(np.uint64).view(np.int64), mask=known == 0), pa.array(n), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], schema=_SCHEMA)
 
-    for b in batches:
-        for _, kind, batch, raw in zip(*(c.to_pylist() for c in b.columns)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, answers = None, []
+        for _, kind, _, raw in _rows(batches):
             if kind == DOCS:
-                if key is not None:
-                    yield out()
-                *doc, t, c = _split(raw, _OF_DOCS)
-                key, sums = batch, np.stack([t, c])
+                if docs is not None:
+                    yield out(docs, answers)
+                docs, answers = raw, []
             else:
-                some, t, c = _split(raw, _OF_SUMS)
-                sums[0, some] += t
-                sums[1, some] += c
-    if key is not None:
-        yield out()
+                answers.append(_unpack(raw))
+        if docs is not None:
+            yield out(docs, answers)
+
+    return run
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, hot: int = HOT) -> DataFrame:
@@ -463,10 +505,11 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, hot: int = HOT)
     models = spark.sparkContext.broadcast((count_table(target, numbers, own.size), count_table(docs.select("text"), numbers, own.size)))
     C.release(spark)
     n = C.partitions(spark)
-    rows = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(_documents(numbers, models, n), DEALT)
-    rows = rows.unionByName(target.mapInArrow(_target(numbers, n), DEALT))
-    sums = rows.repartition(n, "slice").sortWithinPartitions("slice", "kind").mapInArrow(_scored(numbers, models), DEALT)
-    out = sums.repartition(n, "batch").sortWithinPartitions("batch", "kind").mapInArrow(_gather, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    slices = n * max(1, -(-int(models.value[1].word[1]) // (n * SLICE_WORDS)))
+    rows = docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(_documents(numbers, models, slices), DEALT)
+    rows = rows.unionByName(target.mapInArrow(_target(numbers, slices), DEALT))
+    sums = rows.repartitionById(n, "slice").sortWithinPartitions("slice", "kind").mapInArrow(_scored(numbers), DEALT)
+    out = sums.repartition(n, "batch").sortWithinPartitions("batch", "kind", "slice").mapInArrow(_gather(models), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
     return out
 
 

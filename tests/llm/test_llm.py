@@ -575,6 +575,49 @@ def test_lm_target_counts_every_document_labelled_good(spark, tmp_path):
     assert got.where("abs(target_loss - background_loss) > 1e-9").count() == 0  # one and the same model
 
 
+def test_lm_digests_tell_words_apart_wherever_they_stand():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abä語") for _ in range(n)) for n in [*range(1, 40), 127, 128, 129, 255, 256, 257, 900] for _ in range(6)]
+    words += ["a" * n for n in range(1, 300)]
+    got, length = lm_score.digests([" ".join(words), None, " \u2003\x85", "\x1c".join(words[::-1]).upper()])
+    assert length.tolist() == [len(words), 0, 0, len(words)]
+    assert (got[: len(words)] == got[len(words) :][::-1]).all()
+    assert len(set(got.tolist())) == len(set(words))
+    assert [lm_score.digests([w])[0][0] for w in words[:50]] == got[:50].tolist()
+
+
+#: Scores a corpus in one partition by a session of its own, prints the peak MB of a Python worker.
+LM_PEAK = r"""
+import re, sys, threading, time
+import psutil
+from pyspark.sql import SparkSession
+from kinmatch.llm import lm_score
+peak = [0]
+def watch():
+    while True:
+        for p in psutil.Process().children(recursive=True):
+            try:
+                if "pyspark.daemon" in " ".join(p.cmdline()):
+                    peak.extend(map(int, re.findall(r"VmHWM:\s+(\d+)", open(f"/proc/{p.pid}/status").read())))
+            except (psutil.Error, OSError):
+                pass
+        time.sleep(0.2)
+threading.Thread(target=watch, daemon=True).start()
+conf = {"spark.master": "local[1]", "spark.sql.shuffle.partitions": "1", "spark.ui.enabled": "false", "spark.checkpoint.dir": "file://" + sys.argv[1]}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+text = "array_join(transform(sequence(1, 1500), x -> concat('w', pmod(xxhash64(id, x), 200000))), ' ') AS text"
+docs = spark.range(0, 4000, 1, 2).selectExpr("id AS doc_id", text)
+assert lm_score.cross_entropy_difference(docs, docs.where("doc_id % 3 = 0")).where("n_tokens = 1500").count() == 4000
+print("peak", max(peak) // 1024)
+"""
+
+
+def test_lm_workers_stay_small_however_much_one_partition_holds(tmp_path):
+    run = subprocess.run([sys.executable, "-c", LM_PEAK, str(tmp_path)], capture_output=True, text=True, timeout=600, env=os.environ | {"OMP_NUM_THREADS": "1"})
+    assert run.returncode == 0, run.stderr[-2000:]
+    assert int(run.stdout.split("peak")[1]) < 600  # six million words in one slice take more
+
+
 # ---- exact dedup
 def brute_dedup(rows):
     groups = {}

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,56 @@ def test_expected_f_equals_all_subsets():
 @pytest.mark.parametrize("p, k", [([0.40], 0), ([0.55], 1), ([0.90, 0.60, 0.35, 0.20], 1), ([], 0)])
 def test_decisions(p, k):
     assert K.decide(np.array(p)) == k
+
+
+def _names(n):
+    rng, out = random.Random(7), ["", " ", "a", "ab ab", "x" * 64, "x" * 65, "ab " * 30 + "z", "ab " * 40 + "zz"]
+    for _ in range(n):
+        letters, most = rng.choice(["ab", "abcde", "abcdefghijk", "aé漢𝄞b"]), rng.choice([3, 8, 20])
+        out.append(" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, most))) for _ in range(rng.choice([0, 1, 2, 5, 9, 40]))))
+    return out
+
+
+def test_batches_equal_kernels():
+    from kinmatch.functions import batches as B
+
+    rng, names = random.Random(8), _names(120)
+    a, b = ([rng.choice([*names, None]) for _ in range(1500)] for _ in range(2))
+    for batch, one in ((B.jaro_winkler_batch, K.jaro_winkler_text), (B.token_sort_batch, K.token_sort_ratio), (B.token_set_batch, K.token_set_ratio)):
+        assert list(batch(pa.array(a, pa.string()), pa.array(b, pa.string()))) == [one(x or "", y or "") for x, y in zip(a, b)]
+    a, b = ([[x for x in rng.choices(names, k=rng.randint(0, 3)) if x] for _ in range(500)] for _ in range(2))
+    got = B.alias_batch(*(pa.array([B.ITEM.join(x) for x in side]) for side in (a, b))).to_pylist()
+    assert got == [max((K.token_set_ratio(p, q) for p in x for q in y), default=None) for x, y in zip(a, b)]
+
+
+def test_word_batches_equal_kernels():
+    from kinmatch.functions import batches as B
+
+    rng, recs = random.Random(9), []
+    for s in _names(120):
+        words = s.split()
+        recs.append((words, {w: rng.choice([0.0, 1.5, 8 * rng.random()]) for w in words if rng.random() < 0.8}))
+    recs.append((["a", "b"], {"a": 0.0, "b": 0.0}))
+
+    pairs = [(rng.randrange(len(recs)), rng.randrange(len(recs))) for _ in range(1500)]
+    got = B.words_batch(*(pa.array([B.pack(*recs[p[k]]) for p in pairs]) for k in (0, 1)))
+    for (i, j), row in zip(pairs, got):
+        (x, u), (y, v) = recs[i], recs[j]
+        want = (K.monge_elkan_words(x, y, u), K.monge_elkan_words(y, x, v), K.soft_tfidf_words(x, u, y, v))
+        assert [None if np.isnan(z) else pytest.approx(z, abs=1e-12) for z in row] == list(want)
+
+
+def test_pairs_of_short_names_take_their_steps_together(monkeypatch):
+    """No kernel runs once a pair, unless a text is long."""
+    from kinmatch.functions import batches as B
+
+    def alone(*_):
+        raise AssertionError("one pair at a time")
+
+    for name in ("jaro_winkler_text", "indel_ratio", "abbreviates", "token_similarity"):
+        monkeypatch.setattr(K, name, alone)
+    a, b = pa.array(["acme ltd", "rd"] * 500), pa.array(["acne limited", "road"] * 500)
+    assert B.token_sort_batch(a, b)[1] == pytest.approx(4 / 6)
+    assert B.words_batch(*(pa.array([f"{s}\x1e1.0\x1e1" for s in x.to_pylist()]) for x in (a, b)))[1] == pytest.approx([0.8, 0.8, 0.0])
+    with pytest.raises(AssertionError, match="one pair"):
+        B.token_sort_batch(pa.array(["x" * 65]), pa.array(["y"]))

@@ -211,3 +211,28 @@ def test_pairs_of_short_names_take_their_steps_together(monkeypatch):
     assert B.words_batch(*(pa.array([f"{s}\x1e1.0\x1e1" for s in x.to_pylist()]) for x in (a, b)))[1] == pytest.approx([0.8, 0.8, 0.0])
     with pytest.raises(AssertionError, match="one pair"):
         B.token_sort_batch(pa.array(["x" * 65]), pa.array(["y"]))
+
+
+def test_shared_and_lone_words_equal_brute_force(monkeypatch):
+    """Either side's shared weight and lone words, in batches that must be halved too; no word pair is alone."""
+    from kinmatch.functions import batches as B
+
+    rng = random.Random(10)
+    lists = [[w for w in s.split() if rng.random() < 0.8] for s in _names(60)] + [["rd", "12", "st"], ["road", "12", "street"], ["13", "road"]]
+    weight = {w: 8 * rng.random() for x in lists for w in x}
+    affix = {w: float(rng.random() < 0.3) for w in weight}
+    pairs = [(rng.choice(lists), rng.choice(lists)) for _ in range(400)]
+    want = {"w": [], "n": []}
+    for a, b in pairs:
+        x, y, row = dict.fromkeys(a), dict.fromkeys(b), []
+        for p, q in ((x, y), (y, x)):
+            heavy = [w for w in p if w not in q and weight[w] >= 6 and not w.isdigit()]
+            row.append([sum(weight[w] for w in of) for of in (p, [w for w in p if w in q], heavy)])
+        want["w"].append([z for one in zip(*row) for z in one])
+        lone = lambda p, q: sum(w not in q and not affix[w] and not any(K.abbreviates(w, o) or K.abbreviates(o, w) for o in q) for w in p)
+        want["n"].append([lone(x, y), lone(y, x)])
+    sides = lambda of: [pa.array([B.pack(p[k], of) for p in pairs]) for k in (0, 1)]
+    for cells in (B.CELLS, 4000):
+        monkeypatch.setattr(B, "CELLS", cells)
+        assert np.allclose(B.shared_batch(*sides(weight), 6.0), want["w"], atol=1e-12)
+        assert B.lone_batch(*sides(affix)).tolist() == want["n"]
